@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, packing, simhash
 from .common import table
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.query(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash,)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.query(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op6_simhash, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
