@@ -14,6 +14,7 @@ import codecs
 import functools
 import hashlib
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +29,9 @@ from .common import slices
 #: The published split pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Longer pre-tokens, in bytes, go through the transducer; shorter ones lie within its lookahead.
+WHOLE = 256
+
 
 def byte_letters() -> dict[str, int]:
     """Letter -> byte of byte-level vocabularies: printable Latin-1 stands for itself, other bytes for letters from U+0100 on."""
@@ -55,7 +59,7 @@ class Vocabulary:
             self.texts[k] = token.encode()
         self.longest = max(map(len, self.ids))
         self.lookahead = self._chain() * self.longest
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.made: dict[bytes, tuple[int, bytes, bytes]] = {}  # token -> the one merge that makes it
         for k, (left, right) in enumerate(self.merges):
             self.made.setdefault(left + right, (k, left, right))
@@ -93,11 +97,12 @@ class Vocabulary:
 
     def neighbours(self, left: bytes, right: bytes) -> bool:
         """Whether ``left right`` is the encoding of its text."""
-        known = self.fits.get((left, right))
+        pair = self.ids[left] << 32 | self.ids[right]
+        known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) >= 1 << 18:
+            if len(self.fits) >= 1 << 19:
                 self.fits.clear()
-            known = self.fits[left, right] = self._apart(left, right) if self.one_way else self.merged(left + right) == [left, right]
+            known = self.fits[pair] = self._apart(left, right) if self.one_way else self.merged(left + right) == [left, right]
         return known
 
     def _apart(self, left: bytes, right: bytes) -> bool:
@@ -172,6 +177,32 @@ class Transducer:
         return list(map(self.v.ids.__getitem__, tokens))
 
 
+def certain(v: Vocabulary, data: bytes) -> list[int]:
+    """Ids of a whole pre-token, all of which are certain once its end is seen: the longest token that suits
+    the one before it, taking back tokens after which none does."""
+    ids, fits, out, ends, at, top, n = v.ids, v.fits, [], [], 0, v.longest, len(data)
+    while at < n:
+        last = out[-1] << 32 if out else None
+        for end in range(min(n, at + top), at, -1):
+            token = ids.get(data[at:end])
+            if token is not None:
+                if last is None:
+                    break
+                good = fits.get(last | token)
+                if good or good is None and v.neighbours(v.texts[out[-1]], data[at:end]):
+                    break
+        else:
+            out.pop()
+            end = ends.pop()
+            at = ends[-1] if ends else 0
+            top = end - at - 1
+            continue
+        out.append(token)
+        ends.append(end)
+        at, top = end, v.longest
+    return out
+
+
 class Codec:
     """Whole texts to ids and back, in blocks."""
 
@@ -179,17 +210,16 @@ class Codec:
         self.v = Vocabulary(path)
         self.split = regex.compile(PATTERN)
         self.transducer = Transducer(self.v)
-        pack = lambda ids: np.array(ids, "<u4").tobytes()
-        self.chunks = Chunker(lambda chunk: pack(list(self.stream(chunk))), {k: pack([i]) for k, i in self.v.specials.items()})
+        pack = lambda ids: array("I", ids).tobytes()
+        self.chunks = Chunker(lambda chunk: pack(self.stream(chunk)), {k: pack([i]) for k, i in self.v.specials.items()})
         self.decimal = [str(k) for k in range(len(self.v.texts))]
 
     def stream(self, text: str) -> Iterator[int]:
         """Ids of a text without special tokens, as soon as they are certain."""
-        for m in self.split.finditer(text):
-            data = m.group().encode("utf-8", "surrogatepass")
-            whole = self.v.ids.get(data)
-            if whole is not None:
-                yield whole
+        for part in [text] if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) else self.split.findall(text):
+            data = part.encode("utf-8", "surrogatepass")
+            if len(data) <= WHOLE:
+                yield from certain(self.v, data)
                 continue
             yield from self.transducer.push(data)
             yield from self.transducer.finish()
