@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mpegts, packing, quality, simhash
+from . import bpe, chat, langid, mpegts, packing, quality, simhash, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -34,9 +38,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.query(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_mpegts, op4_chat, op6_simhash, op7_quality, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_mpegts, op4_chat, op6_simhash, op7_quality, op9_langid, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE}
