@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, mpegts, packing, quality, simhash, toxicity
+from . import bpe, chat, langid, linededup, mpegts, packing, quality, simhash, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.query(table(spark, sf_dir, "conversations"))
 
 
+def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.query(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_mpegts, op4_chat, op6_simhash, op7_quality, op9_langid, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_mpegts, op4_chat, op5_linededup, op6_simhash, op7_quality, op9_langid, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE}
