@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, linededup, mpegts, packing, quality, simhash, toxicity
+from . import bpe, chat, htmltext, langid, linededup, mpegts, packing, quality, simhash, toxicity
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.query(table(spark, sf_dir, "pages"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.query(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_mpegts, op4_chat, op5_linededup, op6_simhash, op7_quality, op9_langid, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_mpegts, op4_chat, op5_linededup, op6_simhash, op7_quality, op8_html, op9_langid, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE}

@@ -1,21 +1,46 @@
-"""Corpus pipeline: quality rules, language, line dedup, near-duplicates, packing."""
+"""Corpus pipeline: quality rules, language, line dedup, near-duplicates, packing.
+
+Each stage takes the rows that its predecessor kept, as ``docs``, and is written before the next one reads it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorline.llm import simhash
+from anchorline.llm import langid, linededup, packing, quality, simhash
 from anchorline.llm.common import materialize, table
+from anchorline.llm.queries import vocabulary_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the isolation forest reject go."""
+    return quality.kept_rows(docs, table(spark, sf_dir, "labels"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language go."""
+    return langid.kept_rows(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines whose template recurs across documents go, but for their first place; documents stay, with ``n_chars`` as it is then."""
+    return linededup.without_recurring(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
-    keep = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """One document of each near-duplicate group stays, the one with the smallest id. Rows with a null id stay."""
+    groups = simhash.near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
+    first = docs.where("doc_id is not null").join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return first.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
+    return packing.query(docs, vocabulary_path())
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("quality_rules", quality_rules), ("language", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", packing_stage)]
 ORACLE_SQL = None
 
 
