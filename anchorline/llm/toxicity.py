@@ -30,6 +30,8 @@ LEAST_PRECISION, CHANCE, MOST_UNITS = 0.75, 1e-5, 4000
 SEGMENT, CLEAN_SEGMENTS = 64, 3
 #: Hashed features, training steps, step size, penalty.
 BUCKETS, STEPS, RATE, PENALTY = 1 << 16, 80, 0.25, 1e-3
+#: Log odds of a word of which nothing is known; not learned, so that new words are clean until something speaks against them.
+UNSEEN = -6.0
 #: Documents whose id's crc32 has this remainder are never learned from; score from which a document counts as toxic.
 FOLDS, HELD_OUT, TOXIC_SCORE = 3, 1, 0.7
 
@@ -112,7 +114,7 @@ class Chain:
     document: tuple[float, float, float] = (0.0, 2.0, 0.0)
 
     def score(self, toxic_words: float, words: int) -> float:
-        """Of a document, from the sum of its marginals and its length."""
+        """Of a document, from its expected toxic words and its length."""
         z = float(np.dot(self.document, evidence(toxic_words, words)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if words else 0.0
 
@@ -139,8 +141,9 @@ def train(segments: list[tuple[list[str], list[bool]]], steps: int = STEPS) -> C
     step = np.repeat(np.arange(1, len(shape.running)), shape.running[1:])
     before = later - shape.at[step] + shape.at[step - 1]
     seen = np.array([((1 - y[before]) * y[later]).sum(), (y[before] * (1 - y[later])).sum(), (y[before] * y[later]).sum()])
-    theta = np.concatenate([np.zeros(BUCKETS), [-6.0], moves, [0.0]])
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    theta = np.concatenate([np.zeros(BUCKETS), [UNSEEN], moves, [0.0]])
+    m, v, known = np.zeros_like(theta), np.zeros_like(theta), np.ones_like(theta)
+    known[BUCKETS] = 0
     for k in range(1, steps + 1):
         w, bias, moves, start = theta[:BUCKETS], theta[BUCKETS], theta[BUCKETS + 1 : BUCKETS + 4], theta[-1]
         x = np.exp(np.clip(w[feats].sum(axis=1) + bias, -30, 30))[words]
@@ -150,10 +153,10 @@ def train(segments: list[tuple[list[str], list[bool]]], steps: int = STEPS) -> C
         pairs = np.stack([chain[0] * xs[later], forward[before] * chain[1], forward[before] * chain[2] * xs[later]])
         expected = (pairs / (1 + pairs.sum(axis=0))).sum(axis=1)
         wrong = np.bincount(words, p - y, len(number))
-        g = np.concatenate([np.bincount(feats.ravel(), np.repeat(wrong, feats.shape[1]), BUCKETS), [wrong.sum()], expected - seen, [(p - y)[:first].sum()]]) / len(segments)
+        g = np.concatenate([np.bincount(feats.ravel(), np.repeat(wrong, feats.shape[1]), BUCKETS), [0.0], expected - seen, [(p - y)[:first].sum()]]) / len(segments)
         g += PENALTY / len(segments) * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta = theta - RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+        theta = theta - RATE * known * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     return Chain(theta[:BUCKETS].tolist(), float(theta[BUCKETS]), theta[BUCKETS + 1 : BUCKETS + 4], float(theta[-1]))
 
 
@@ -211,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
 
     made = rows.mapInArrow(cut, "words array<string>, toxic array<boolean>").collect()
     model = train(sorted((list(r["words"]), list(r["toxic"])) for r in made))
-    known = marginal_sums(rows, model).join(F.broadcast(rows.select("doc_id", "toxic").distinct()), "doc_id").select("toxic_words", "words", "toxic").where("words > 0").collect()
+    known = expected(rows, model).join(F.broadcast(rows.select("doc_id", "toxic").distinct()), "doc_id").select("toxic_words", "words", "toxic").where("words > 0").collect()
     if labelling and {r["toxic"] for r in known} == {0, 1}:
         known = sorted(known)
         model.document = weigh(np.array([evidence(r["toxic_words"], r["words"]) for r in known]), np.array([r["toxic"] for r in known]))
@@ -226,7 +229,8 @@ class Tagger:
         self.chain, self.start = np.exp(np.clip(model.moves, -10, 10)), float(np.exp(np.clip(model.start, -10, 10)))
 
     def __call__(self, texts: list[str | None]) -> list[tuple[float, int, list[dict]]]:
-        """For each text the sum of its marginals, its words and its spans."""
+        """For each text its expected toxic words, its words and its spans. Expected are the marginals of offending words; where
+        none offends, half the largest, so that many words of little doubt never add up to one of much."""
         odds = []
         for text in texts:
             words = (text or "").split()
@@ -241,7 +245,7 @@ class Tagger:
         for k, s in enumerate(shape.order):
             own = p[shape.places(k)]
             hits = np.flatnonzero(own >= 0.5)
-            out[s] = float(own.sum()), len(own), self.spans(texts[s], own, hits) if len(hits) else []
+            out[s] = float(own[hits].sum() if len(hits) else own.max(initial=0.0) / 2), len(own), self.spans(texts[s], own, hits) if len(hits) else []
         return out
 
     @staticmethod
@@ -272,7 +276,7 @@ def tagged(docs: DataFrame, model: Chain) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, toxic_words double, words long, score double, spans array<struct<start:long,end:long,marginal:double>>")
 
 
-def marginal_sums(docs: DataFrame, model: Chain) -> DataFrame:
+def expected(docs: DataFrame, model: Chain) -> DataFrame:
     return tagged(docs, model).select("doc_id", "toxic_words", "words")
 
 
