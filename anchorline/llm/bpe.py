@@ -29,6 +29,8 @@ from .common import slices
 #: The published split pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Marks that are pre-tokens of their own after a letter.
+MARKS = frozenset(".,:;!?")
 #: Longer pre-tokens, in bytes, go through the transducer; shorter ones lie within its lookahead.
 WHOLE = 256
 
@@ -58,6 +60,10 @@ class Vocabulary:
         for token, k in self.specials.items():
             self.texts[k] = token.encode()
         self.longest = max(map(len, self.ids))
+        self.reach: dict[bytes, int] = {}  # longest token that begins with three bytes
+        for token in self.ids:
+            if len(token) > 2:
+                self.reach[token[:3]] = max(self.reach.get(token[:3], 0), len(token))
         self.lookahead = self._chain() * self.longest
         self.fits: dict[int, bool] = {}
         self.made: dict[bytes, tuple[int, bytes, bytes]] = {}  # token -> the one merge that makes it
@@ -180,17 +186,14 @@ class Transducer:
 def certain(v: Vocabulary, data: bytes) -> list[int]:
     """Ids of a whole pre-token, all of which are certain once its end is seen: the longest token that suits
     the one before it, taking back tokens after which none does."""
-    ids, fits, out, ends, at, top, n = v.ids, v.fits, [], [], 0, v.longest, len(data)
+    ids, fits, reach, out, ends, at, top, n = v.ids, v.fits, v.reach, [], [], 0, v.longest, len(data)
     while at < n:
         last = out[-1] << 32 if out else None
-        for end in range(min(n, at + top), at, -1):
-            token = ids.get(data[at:end])
-            if token is not None:
-                if last is None:
-                    break
-                good = fits.get(last | token)
-                if good or good is None and v.neighbours(v.texts[out[-1]], data[at:end]):
-                    break
+        for end in range(min(n, at + min(top, reach.get(data[at : at + 3], 2))), at, -1):
+            if (token := ids.get(data[at:end])) is None:
+                continue
+            if last is None or (good := fits.get(last | token)) or good is None and v.neighbours(v.texts[out[-1]], data[at:end]):
+                break
         else:
             out.pop()
             end = ends.pop()
@@ -210,10 +213,18 @@ class Codec:
         self.v = Vocabulary(path)
         self.split = regex.compile(PATTERN)
         self.transducer = Transducer(self.v)
-        pack = lambda ids: array("I", ids).tobytes()
-        self.chunks = Chunker(lambda chunk: pack(self.stream(chunk)), {k: pack([i]) for k, i in self.v.specials.items()})
+        self.chunks = Chunker(self.packed, {k: array("I", [i]).tobytes() for k, i in self.v.specials.items()})
         self.decimal = [str(k) for k in range(len(self.v.texts))]
 
+    def packed(self, chunk: str) -> bytes:
+        """Packed ids of a chunk. A word and the one mark after it are pre-tokens of their own, so the word is looked up without it."""
+        word = chunk[1:]
+        if word.isalpha() and chunk[0] == " " and len(word) <= WHOLE // 4:
+            return array("I", certain(self.v, chunk.encode())).tobytes()
+        if word[-1:] in MARKS and word[:-1].isalpha() and chunk[0] == " ":
+            return self.chunks.spaced[word[:-1]] + array("I", certain(self.v, word[-1:].encode())).tobytes()
+        return array("I", self.stream(chunk)).tobytes()
+
     def stream(self, text: str) -> Iterator[int]:
         """Ids of a text without special tokens, as soon as they are certain."""
         for part in [text] if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) else self.split.findall(text):
