@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .geometry import half_up, let, normalize_box, region_for
+from .base import let
+from .geometry import half_up, normalize_box, region_for
 from .text import js_left, js_trim
 
 #: Kinds of images, and caps of answers.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .base import let
+
 #: White space that is trimmed, beyond ASCII also Unicode spaces and the byte-order mark.
 SPACE = r" \t\n\x0B\f\r\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
@@ -35,15 +37,15 @@ def js_left(text: Column, units: Column | int) -> Column:
 
 def _numeric(text: Column, pattern: str, to_hex) -> Column:
     """Character references that match ``pattern`` (digits in group 1) decoded; ones that name no character stay."""
-    parts = F.split(text, f"(?i)(?={pattern})")
-
     def decoded(part: Column) -> Column:
         digits = F.regexp_replace(F.regexp_extract(part, f"(?i)^{pattern}", 1), "^0+(?=.)", "")
-        code = to_hex(digits)
+        return let(F.struct(digits.alias("digits"), to_hex(digits).alias("code")), lambda d: named(part, d["digits"], d["code"]))
+
+    def named(part: Column, digits: Column, code: Column) -> Column:
         good = (digits != "") & (F.length(code) <= 6) & (F.lpad(code, 6, "0") <= "10FFFF") & ~F.lpad(code, 6, "0").between("00D800", "00DFFF")
         return F.when(good, F.concat(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), F.regexp_replace(part, f"(?i)^{pattern}", ""))).otherwise(part)
 
-    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(parts, decoded), "")).otherwise(text)
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&#")), F.array_join(F.transform(F.split(t, f"(?i)(?={pattern})"), decoded), "")).otherwise(t))
 
 
 def xml_unescape(text: Column) -> Column:
@@ -77,7 +79,8 @@ def xml_attr(tag: Column, key: str) -> Column:
 
 def xml_number(value: Column, fallback: float = 0) -> Column:
     """An attribute as a number: empty is 0, no number is ``fallback``."""
-    return F.when(js_trim(value) == "", F.lit(0.0)).otherwise(F.coalesce(F.when(~F.isnan(value.try_cast("double")), value.try_cast("double")), F.lit(float(fallback))))
+    number = lambda v: let(v.try_cast("double"), lambda n: F.coalesce(F.when(~F.isnan(n), n), F.lit(float(fallback))))
+    return let(js_trim(value), lambda v: F.when(v == "", F.lit(0.0)).otherwise(number(v)))
 
 
 def part_text(content: Column) -> Column:

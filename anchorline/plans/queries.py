@@ -433,7 +433,7 @@ def b10_extract_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = lambda df, k: df.withColumn("doc_id", F.col("doc_id") * 3 + k)
     given = shifted(words, 0).unionByName(shifted(books, 1)).unionByName(shifted(maps, 2))
     kind = F.get(F.array(F.lit("docx"), F.lit("xlsx"), F.lit("xmind")), (F.col("doc_id") % 3).cast("int"))
-    found, _ = corpus.parse_parts(given.repartition("doc_id"), given.select("doc_id").distinct().withColumn("doc_type", kind))
+    found, _ = corpus.parse_parts(given, given.select("doc_id").distinct().withColumn("doc_type", kind))
     return found.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("chars"))
 
 
