@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from anchorline.functions import geometry, text
@@ -21,9 +22,24 @@ def zipped(parts):
     return out.getvalue()
 
 
-def corpus(spark, named):
-    rows = [(k, name, "", len(data), bytearray(data)) for k, (name, data) in enumerate(named)]
-    return [df.collect() for df in extract_corpus(spark.createDataFrame(rows, "doc_id long, name string, mime string, length long, content binary"))]
+#: Files of all container types; each test looks at its own.
+FILES: dict[str, bytes] = {}
+
+
+def file(name, parts):
+    FILES[name] = zipped(parts) if isinstance(parts, dict) else parts
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Blocks and errors by file name, of one run over all files."""
+    names = sorted(FILES)
+    rows = [(k, name, "", len(FILES[name]), bytearray(FILES[name])) for k, name in enumerate(names)]
+    _, blocks, errors = extract_corpus(spark.createDataFrame(rows, "doc_id long, name string, mime string, length long, content binary"))
+    found = {name: [] for name in names}
+    for b in blocks.collect():
+        found[names[b["doc_id"]]].append(b)
+    return {n: sorted(b, key=lambda b: b["block_no"]) for n, b in found.items()}, {names[r["doc_id"]]: r["error"].split(":")[0] for r in errors.collect()}
 
 
 def one(spark, column):
@@ -36,46 +52,62 @@ def test_routing(spark):
     assert [r["doc_type"] for r in routing.route_document_type(df).collect()] == [t for *_, t in given]
 
 
-def test_docx_table_cell_with_image(spark):
-    xml = '<w:document><w:body><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r><w:drawing><a:blip r:embed="rId5"/></w:drawing></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
-    parts = {"word/document.xml": xml.replace("<w:p/>", ""), "word/_rels/document.xml.rels": '<Relationships><Relationship Id="rId5" Target="media/image1.png"/></Relationships>', "word/media/image1.png": b"\x89PNG\r\n\x1a\n"}
-    _, blocks, errors = corpus(spark, [("a.docx", zipped(parts))])
-    blocks = sorted(blocks, key=lambda b: b["block_no"])
+DOCX = '<w:document><w:body><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r><w:drawing><a:blip r:embed="rId5"/></w:drawing></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
+file("a.docx", {"word/document.xml": DOCX, "word/_rels/document.xml.rels": '<Relationships><Relationship Id="rId5" Target="media/image1.png"/></Relationships>', "word/media/image1.png": b"\x89PNG\r\n\x1a\n"})
+file("bare.docx", {"word/document.xml": "<w:document>just <b>words</b></w:document>"})
+
+
+def test_docx_table_cell_with_image(corpus):
+    blocks, errors = corpus[0]["a.docx"], corpus[1]
     assert [(b["type"], b["id"], b["location"]["kind"], b["location"]["row"], b["location"]["col"]) for b in blocks] == [("text", "p-1", "table-cell", 1, 1), ("image", "p-1-img-1", "table-cell-anchor", 1, 1)]
-    assert blocks[1]["mime"] == "image/png" and not errors
+    assert blocks[1]["mime"] == "image/png" and "a.docx" not in errors
+    assert [(b["id"], b["text"]) for b in corpus[0]["bare.docx"]] == [("p-1", "just words")]
 
 
-def test_xlsx_cells_and_orphan_drawing(spark):
-    anchor = '<xdr:oneCellAnchor><xdr:from><xdr:col>0</xdr:col><xdr:row>1</xdr:row></xdr:from><a:blip r:embed="r1"/></xdr:oneCellAnchor>'
-    parts = {
+ANCHOR = '<xdr:oneCellAnchor><xdr:from><xdr:col>0</xdr:col><xdr:row>1</xdr:row></xdr:from><a:blip r:embed="r1"/></xdr:oneCellAnchor>'
+file(
+    "a.xlsx",
+    {
         "xl/workbook.xml": '<sheet name="数据" r:id="rId1"/><sheet r:id="gone"/>', "xl/_rels/workbook.xml.rels": '<Relationship Id="rId1" Target="worksheets/sheet1.xml"/>', "xl/sharedStrings.xml": "<si><t>标题</t></si><si><t>兼容格式</t></si>",
         "xl/worksheets/sheet1.xml": '<row><c t="s"><v>0</v></c><c t="inlineStr"><is><t>数值</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="B2"><v>42</v></c></row><row r="9"><c><v>&lt;x&gt;</v></c></row><row><c><v>y</v></c></row>',
-        "xl/drawings/drawing1.xml": anchor, "xl/drawings/_rels/drawing1.xml.rels": '<Relationship Id="r1" Target="../media/i.gif"/>', "xl/media/i.gif": "gif",
-    }
-    _, blocks, _ = corpus(spark, [("a.xlsx", zipped(parts))])
+        "xl/drawings/drawing1.xml": ANCHOR, "xl/drawings/_rels/drawing1.xml.rels": '<Relationship Id="r1" Target="../media/i.gif"/>', "xl/media/i.gif": "gif",
+    },
+)
+
+
+def test_xlsx_cells_and_orphan_drawing(corpus):
+    blocks = corpus[0]["a.xlsx"]
     found = {b["id"]: b["text"] for b in blocks if b["type"] == "text"}
     assert found == {"sheet-数据-A1": "标题", "sheet-数据-B1": "数值", "sheet-数据-A2": "兼容格式", "sheet-数据-B2": "42", "sheet-数据-A9": "<x>", "sheet-数据-A10": "y"}
     last = max(blocks, key=lambda b: b["block_no"])
     assert (last["id"], last["location"]["range"], last["location"]["sheet"]) == ("xlsx-img-1", "2:1-1:1", None)
 
 
-def test_pptx_without_size_and_empty_slide(spark):
-    parts = {"ppt/slides/slide2.xml": "<p:sp><a:t>b</a:t></p:sp>", "ppt/slides/slide10.xml": "<p:sp></p:sp>", "ppt/slides/slide1.xml": "<p:sp><a:t>a </a:t><a:t> c</a:t></p:sp>"}
-    _, blocks, _ = corpus(spark, [("a.pptx", zipped(parts))])
-    rows = [(b["id"], b["text"]) for b in sorted(blocks, key=lambda b: b["block_no"])]
-    assert rows == [("slide-1-text-1", "a c"), ("slide-2-text-1", "b"), ("slide-10-empty", "[空白或未解析的幻灯片]")]
-    assert blocks[0]["location"]["bbox"] in ([0, 0, 0, 0], None)
+file("a.pptx", {"ppt/slides/slide2.xml": "<p:sp><a:t>b</a:t></p:sp>", "ppt/slides/slide10.xml": "<p:sp></p:sp>", "ppt/slides/slide1.xml": "<p:sp><a:t>a </a:t><a:t> c</a:t></p:sp>"})
+
+
+def test_pptx_without_size_and_empty_slide(corpus):
+    blocks = corpus[0]["a.pptx"]
+    assert [(b["id"], b["text"]) for b in blocks] == [("slide-1-text-1", "a c"), ("slide-2-text-1", "b"), ("slide-10-empty", "[空白或未解析的幻灯片]")]
+    assert blocks[0]["location"]["bbox"] == [0, 0, 0, 0]
+
+
+TREE = [{"title": "产品", "rootTopic": {"title": "中心", "children": {"attached": [{"title": "需求", "notes": {"plain": {"content": "备注内容"}}}]}}}]
+file("a.xmind", {"content.json": json.dumps(TREE), "attachments/image.png": b"x", "thumbnail.png": b"y"})
+file("b.xmind", {"content.xml": "<map><topic><title>中心</title><topic><title>分支</title><notes><plain>说明</plain></notes></topic></topic></map>"})
+file("broken.xmind", bytes([1, 2, 3]))
+file("none.xmind", {"x": "y"})
+file("bad.xmind", {"content.json": "{"})
+file("old.doc", b"x")
+file("what.zip", b"x")
 
 
-def test_xmind_trees(spark):
-    tree = [{"title": "产品", "rootTopic": {"title": "中心", "children": {"attached": [{"title": "需求", "notes": {"plain": {"content": "备注内容"}}}]}}}]
-    xml = "<map><topic><title>中心</title><topic><title>分支</title><notes><plain>说明</plain></notes></topic></topic></map>"
-    _, blocks, errors = corpus(spark, [("a.xmind", zipped({"content.json": json.dumps(tree), "attachments/image.png": b"x", "thumbnail.png": b"y"})), ("b.xmind", zipped({"content.xml": xml})), ("broken.xmind", bytes([1, 2, 3])), ("none.xmind", zipped({"x": "y"})), ("bad.xmind", zipped({"content.json": "{"}))])
-    by = {k: [(b["text"], b["location"]["topicPath"]) for b in sorted(blocks, key=lambda b: b["block_no"]) if b["doc_id"] == k] for k in (0, 1)}
-    assert by[0] == [("中心", "中心"), ("需求", "中心 > 需求"), ("[备注]\n备注内容", "中心 > 需求")]
-    assert by[1] == [("分支", "中心 > 分支"), ("[备注]\n说明", "中心 > 分支"), ("中心", "中心")]
-    assert not any(b["type"] == "image" for b in blocks)
-    assert {r["doc_id"]: r["error"].split(":")[0] for r in errors} == {2: "bad_container", 3: "missing_main_part", 4: "bad_topics"}
+def test_xmind_trees(corpus):
+    by = lambda name: [(b["text"], b["location"]["topicPath"]) for b in corpus[0][name]]
+    assert by("a.xmind") == [("中心", "中心"), ("需求", "中心 > 需求"), ("[备注]\n备注内容", "中心 > 需求")]
+    assert by("b.xmind") == [("分支", "中心 > 分支"), ("[备注]\n说明", "中心 > 分支"), ("中心", "中心")]
+    assert not any(b["type"] == "image" for b in corpus[0]["a.xmind"])
+    assert corpus[1] == {"broken.xmind": "bad_container", "none.xmind": "missing_main_part", "bad.xmind": "bad_topics", "old.doc": "unsupported_codec", "what.zip": "unsupported"}
 
 
 def test_deep_topic_tree():
