@@ -15,16 +15,16 @@ _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 def words_of(text: str) -> list[str]:
     """Parts between lone spaces. Every part but the first has lost its leading space."""
-    parts = text.split(" ")
-    if "" not in parts and list(map(str.strip, parts)) == parts:
-        return parts
+    words = text.split()
+    if len(text) - sum(map(len, words)) == len(words) - 1:  # all white space is single characters between words
+        return text.split(" ")
     return _LONE_SPACE.split(text)
 
 
 class Memory(dict):
     """key -> make(key), for at most ``2 * size`` recent keys."""
 
-    def __init__(self, make: Callable[[str], bytes], size: int = 1 << 18, longest: int = 256):
+    def __init__(self, make: Callable[[str], bytes], size: int = 3 << 17, longest: int = 256):
         super().__init__()
         self.make, self.size, self.longest, self.old = make, size, longest, {}
 
