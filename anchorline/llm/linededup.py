@@ -18,7 +18,7 @@ from xxhash import xxh64_intdigest
 
 from .common import materialize, slices
 
-#: Leading tokens of the tree, equal tokens of a template, distinct lines of a leaf before it is split by more tokens.
+#: Leading tokens of the tree, equal tokens of a template, templates of a leaf from which on blocks of tokens pick those to compare with.
 DEPTH, SIMILAR, LEAF_LINES = 3, 0.8, 10_000
 #: Lines of fewer tokens are left alone. A template recurs in this many different texts; in two, if it is longer than LONG tokens.
 LEAST_TOKENS, LEAST_TEXTS, LONG = 4, 3, 50
@@ -95,56 +95,51 @@ def candidate_lines(docs: DataFrame, leaves: DataFrame, depth: int, least_tokens
     return some.join(leaves, "leaf", "left_semi").groupBy("line_key").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens")).select("leaf", "line_key", "tokens")
 
 
-def bounded_leaves(lines: DataFrame, depth: int, leaf_lines: int) -> DataFrame:
-    """``leaf, line_key, tokens`` of distinct lines, leaves of more than ``leaf_lines`` split by ever more leading tokens."""
-    done = []
-    while True:
-        large = lines.groupBy("leaf").count().where((F.col("count") > leaf_lines)).select("leaf")
-        if large.isEmpty():
-            done.append(lines)
-            break
-        done.append(lines.join(large, "leaf", "left_anti"))
-        depth *= 2
-        deeper = lines.join(large, "leaf", "left_semi").withColumn("leaf", F.xxhash64(F.lit(depth), F.size("tokens"), F.slice("tokens", 1, depth)))
-        lines = materialize(deeper, "template-lines")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def templates(rows: list[tuple[int, np.ndarray]], similar: float) -> list[tuple[int, int]]:
+def templates(rows: list[tuple[int, np.ndarray]], similar: float, depth: int = DEPTH, leaf_lines: int = LEAF_LINES) -> list[tuple[int, int]]:
     """``(line_key, template)`` for lines of one leaf, in key order; a template is named by its first line.
 
     A line joins the template with which it has most equal tokens, the first of equals, if they are at least
     ``similar`` of all; positions at which they differ become variable and count as unequal from then on.
+
+    From ``leaf_lines`` templates on, a line is compared only with those that can take it: as at most ``spare``
+    tokens may be unequal, one of ``spare + 1`` blocks behind the leading tokens is equal whole. The result is the same.
     """
+    n = len(rows[0][1])
+    spare = next(k for k in range(n, -1, -1) if k == 0 or n - k >= similar * n)
+    cuts = np.linspace(min(depth, max(0, n - spare - 1)), n, spare + 2).astype(int).tolist()
+    blocks = list(zip(cuts, cuts[1:], strict=False))
     names: list[int] = []
-    kept = np.empty((len(rows), len(rows[0][1])), np.int64)
+    kept = np.empty((len(rows), n), np.int64)
     fixed = np.empty(kept.shape, bool)
+    index: dict[tuple[int, bytes], list[int]] = {}
     out = []
     for key, tokens in rows:
-        if names:
-            equal = ((kept[: len(names)] == tokens) & fixed[: len(names)]).sum(axis=1)
-            best = int(equal.argmax())
-            if equal[best] >= similar * len(tokens):
+        own = [(k, tokens[a:b].tobytes()) for k, (a, b) in enumerate(blocks)] if len(rows) > leaf_lines else []
+        some = np.arange(len(names)) if len(names) < leaf_lines else np.array(sorted({t for x in own for t in index.get(x, ())}), np.int64)
+        if len(some):
+            equal = ((kept[some] == tokens) & fixed[some]).sum(axis=1)
+            at = int(equal.argmax())
+            best = int(some[at])
+            if equal[at] >= similar * n:
                 fixed[best] &= kept[best] == tokens
                 out.append((key, names[best]))
                 continue
+        for x in own:
+            index.setdefault(x, []).append(len(names))
         kept[len(names)], fixed[len(names)] = tokens, True
         names.append(key)
         out.append((key, key))
     return out
 
 
-def generalised(leaves: DataFrame, similar: float) -> DataFrame:
+def generalised(leaves: DataFrame, similar: float, depth: int, leaf_lines: int) -> DataFrame:
     """``line_key, template`` of lines that share a template with another line of their leaf."""
 
     def run(batches):
         leaf, held = None, []
 
         def close():
-            found = templates(held, similar) if len(held) > 1 else []
+            found = templates(held, similar, depth, leaf_lines) if len(held) > 1 else []
             shared = {t for k, t in found if k != t}
             return [x for x in found if x[1] in shared]
 
@@ -170,7 +165,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILA
     shared = distinct.groupBy("leaf").count().where("count > 1").select("leaf")
     shared = materialize(shared, "shared-leaves")
     candidates = materialize(candidate_lines(docs, shared, depth, least_tokens), "template-lines")
-    template = generalised(bounded_leaves(candidates, depth, leaf_lines), similar)
+    template = generalised(candidates, similar, depth, leaf_lines)
     named = materialize(lines.join(template, "line_key", "left").select(*_ROW, "pos", "n", F.coalesce("template", "line_key").alias("template")), "named-lines")
     texts = named.groupBy("template", "text_key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("n").alias("n"))
     recurring = texts.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.max("n").alias("n"))

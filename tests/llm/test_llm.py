@@ -315,6 +315,15 @@ def test_line_templates_generalise(spark):
     assert small.count() == 3
 
 
+def test_line_templates_in_leaves_of_any_size(spark):
+    lines = [f"the quick brown {w} jumps over seven small sleeping dogs" for w in ("fox", "cat", "hen", "cow", "pig", "ant")]
+    assert linededup.recurring_lines(frame(spark, lines), leaf_lines=4).count() == 5
+    rng = random.Random(11)
+    for n in (4, 5, 9, 17):
+        rows = [(k, np.array([1, 2, 3, *(rng.randrange(3 if j % 2 else 9) for j in range(n - 3))], np.int64)) for k in range(600)]
+        assert linededup.templates(rows, 0.8, leaf_lines=3) == linededup.templates(rows, 0.8)
+
+
 def page(body):
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{body}</body></html>"
 
