@@ -20,8 +20,9 @@ from .common import materialize, slices
 
 #: Leading tokens of the tree, equal tokens of a template, templates of a leaf from which on blocks of tokens pick those to compare with.
 DEPTH, SIMILAR, LEAF_LINES = 3, 0.8, 10_000
-#: Lines of fewer tokens are left alone. A template recurs in this many different texts; in two, if it is longer than LONG tokens.
+#: A template recurs in LEAST_TEXTS different texts; in two, if it is longer than LONG tokens; in SHORT_TEXTS, if all its lines are short: of fewer tokens than LEAST_TOKENS and fewer characters than SHORT_CHARS.
 LEAST_TOKENS, LEAST_TEXTS, LONG = 4, 3, 50
+SHORT_CHARS, SHORT_TEXTS = 20, 10
 
 #: What a variable field becomes; bits of the bitmap of leaves.
 VARIABLE, SIEVE_BITS = "<*>", 1 << 24
@@ -39,20 +40,25 @@ def signed(value: int) -> int:
 
 
 def routed(line: str, depth: int, least_tokens: int) -> tuple[int, int, int, list[str]] | None:
-    """Token count, leaf of the tree, key of the masked line, and its tokens; None for a line of too few."""
+    """Token count (below zero for a short line), leaf of the tree, key of the masked line, and its tokens; None for a line without any.
+
+    A line of few tokens that are all variable fields is keyed as it is: without that all numbers would be one template.
+    """
     tokens = line.split()
     n = len(tokens)
-    if n < least_tokens:
+    if not n:
         return None
     if _DIGIT.search(line):
-        tokens = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
+        masked = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
+        if n >= least_tokens or masked.count(VARIABLE) < n:
+            tokens = masked
     coded = " ".join(tokens).encode("utf-8", "surrogatepass")
     lead = f"{n} {' '.join(tokens[:depth])}".encode("utf-8", "surrogatepass")
-    return n, signed(xxh64_intdigest(lead)), signed(xxh64_intdigest(coded)), tokens
+    return -n if n < least_tokens and len(line.strip()) < SHORT_CHARS else n, signed(xxh64_intdigest(lead)), signed(xxh64_intdigest(coded)), tokens
 
 
 def lines_of(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
-    """One row a line: its row and position, token count, tree leaf, and key of the line with variable fields masked."""
+    """One row a line: its row and position, token count (below zero for a short line), tree leaf, and key of the line with variable fields masked."""
 
     def run(batches):
         for part in slices(batches):
@@ -169,7 +175,8 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILA
     named = materialize(lines.join(template, "line_key", "left").select(*_ROW, "pos", "n", F.coalesce("template", "line_key").alias("template")), "named-lines")
     texts = named.groupBy("template", "text_key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("n").alias("n"))
     recurring = texts.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.max("n").alias("n"))
-    recurring = recurring.where((F.col("texts") >= least_texts) | (F.col("n") > long) & (F.col("texts") >= 2)).select("template", "first")
+    enough = F.when(F.col("n") > long, 2).when(F.col("n") > 0, least_texts).otherwise(max(least_texts, SHORT_TEXTS))
+    recurring = recurring.where(F.col("texts") >= enough).select("template", "first")
     repeated = named.join(recurring, "template").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
     return repeated.groupBy(*_ROW).agg(F.collect_set("pos").alias("positions"))
 

@@ -324,6 +324,14 @@ def test_line_templates_in_leaves_of_any_size(spark):
         assert linededup.templates(rows, 0.8, leaf_lines=3) == linededup.templates(rows, 0.8)
 
 
+def test_line_dedup_of_few_tokens(spark):
+    texts = [f"All rights reserved.\nSee also\n{100 + k}\n这一行没有空格但是它在每一个文本里都会重复出现一次啊\nown line {'q' * k} of this text {'z' * k}" for k in range(12)]
+    rows = linededup.query(frame(spark, texts)).orderBy("doc_id").collect()
+    assert rows[0]["text"] == texts[0] and all(r["text"] == "\n".join(t.split("\n")[2:5:2]) for r, t in zip(rows[1:], texts[1:], strict=True))
+    few = linededup.query(frame(spark, texts[:4])).orderBy("doc_id").collect()
+    assert all(r["text"] == "\n".join(t.split("\n")[k] for k in (1, 2, 4)) for r, t in zip(few[1:], texts[1:4], strict=True))
+
+
 def page(body):
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{body}</body></html>"
 
