@@ -3,7 +3,8 @@
 Lines are routed down a fixed-depth tree: token count, then leading tokens, where a token
 with a digit is a variable field. In a leaf, lines of enough equal tokens share a
 template, whose differing positions become variable fields too. A template that recurs
-across documents stays where it comes first and is dropped everywhere else.
+across documents stays where it comes first and is dropped everywhere else. So is a
+passage that recurs word by word inside of lines or over several: see :mod:`passages`.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from . import passages
 from .common import materialize, slices
 
 #: Leading tokens of the tree, equal tokens of a template, templates of a leaf from which on blocks of tokens pick those to compare with.
@@ -164,8 +166,8 @@ def generalised(leaves: DataFrame, similar: float, depth: int, leaf_lines: int)
     return dealt.mapInArrow(run, "line_key long, template long")
 
 
-def recurring_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, leaf_lines: int = LEAF_LINES, least_tokens: int = LEAST_TOKENS, least_texts: int = LEAST_TEXTS, long: int = LONG) -> DataFrame:
-    """``doc_id, text_key, positions``: lines of each row (by number, from 0) that repeat a template from elsewhere."""
+def repeated_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, leaf_lines: int = LEAF_LINES, least_tokens: int = LEAST_TOKENS, least_texts: int = LEAST_TEXTS, long: int = LONG) -> DataFrame:
+    """``doc_id, text_key, pos``: lines (by number, from 0) that repeat a template from elsewhere."""
     lines = materialize(lines_of(docs, depth, least_tokens), "lines")
     distinct = lines.groupBy("line_key").agg(F.first("leaf").alias("leaf"))
     shared = distinct.groupBy("leaf").count().where("count > 1").select("leaf")
@@ -177,18 +179,23 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILA
     recurring = texts.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.max("n").alias("n"))
     enough = F.when(F.col("n") > long, 2).when(F.col("n") > 0, least_texts).otherwise(max(least_texts, SHORT_TEXTS))
     recurring = recurring.where(F.col("texts") >= enough).select("template", "first")
-    repeated = named.join(recurring, "template").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
-    return repeated.groupBy(*_ROW).agg(F.collect_set("pos").alias("positions"))
+    return named.join(recurring, "template").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")))).select(*_ROW, "pos")
+
+
+def recurring_lines(docs: DataFrame, **parameters) -> DataFrame:
+    """``doc_id, text_key, positions``: lines of each row that repeat a template from elsewhere."""
+    return repeated_lines(docs, **parameters).groupBy(*_ROW).agg(F.collect_set("pos").alias("positions"))
 
 
 def without_recurring(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with recurring lines dropped from ``text``, and ``dropped_lines array<string>`` beside it.
+    """``docs`` with recurring lines and passages dropped from ``text``, and ``dropped_lines array<string>`` (lines, and pieces inside of lines) beside it.
 
     Null texts stay null. A text whose lines all go is empty. Rows that repeat another row whole are treated
     alike; texts that repeat another count once, so copies of one document do not make its lines recur.
     Other columns stay, whatever their names; an empty table gives an empty one.
     """
-    found = recurring_lines(docs, **parameters).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("positions").alias("_positions"))
+    windows = passages.recurring_windows(keyed(docs)).select(*_ROW, (-1 - F.col("start")).alias("pos"))  # below zero, beside the lines
+    found = repeated_lines(docs, **parameters).unionByName(windows).groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_set("pos").alias("_positions"))
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     marked = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_doc"]) & (key == found["_key"]), "left").drop("_doc", "_key")
     schema = docs.schema
@@ -201,9 +208,7 @@ def without_recurring(docs: DataFrame, **parameters) -> DataFrame:
             for k, drop in enumerate(positions):
                 gone.append([])
                 if drop:
-                    wanted, lines = set(drop), texts[k].split("\n")
-                    gone[-1] = [x for i, x in enumerate(lines) if i in wanted]
-                    texts[k] = "\n".join(x for i, x in enumerate(lines) if i not in wanted)
+                    texts[k], gone[-1] = passages.without(texts[k], {x for x in drop if x >= 0}, [-1 - x for x in drop if x < 0])
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(part.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.list_(pa.string()))], [*schema.names, "dropped_lines"])
 
@@ -211,7 +216,7 @@ def without_recurring(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id``, the text that is left, and how many lines and characters recur elsewhere."""
+    """Per document: ``doc_id``, the text that is left, and how many lines (or pieces of lines) and characters recur elsewhere."""
     slim = docs.select("doc_id", "text")
     return without_recurring(slim).select(
         "doc_id", "text", F.size("dropped_lines").cast("long").alias("n_dropped_lines"),

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from anchorline.llm import bpe, chat, htmltext, langid, linededup, mpegts, packing, quality, simhash, toxicity
+from anchorline.llm import bpe, chat, htmltext, langid, linededup, mpegts, packing, passages, quality, simhash, toxicity
 from anchorline.llm.queries import vocabulary_path
 
 PATH = vocabulary_path()
@@ -332,6 +332,27 @@ def test_line_dedup_of_few_tokens(spark):
     assert all(r["text"] == "\n".join(t.split("\n")[k] for k in (1, 2, 4)) for r, t in zip(few[1:], texts[1:4], strict=True))
 
 
+def test_passages_recur_whole(spark):
+    rng = random.Random(12)
+    own = lambda n: ["".join(rng.choices("abcdefghij", k=10)) for _ in range(n)]
+    shared = [own(n) for n in (50, 51, 60, 200)]
+    laid = lambda words: "".join(w + rng.choice(["  ", " ", " ", " ", "\n", "\n\n"]) for w in words)
+    texts = [laid(own(30) + shared[a] + own(rng.randrange(9)) + shared[b] + own(5)) for a in range(4) for b in range(4) if a != b] + ["word " * 400, "\n" + "word " * 500, None, "a b"]
+    texts += ["".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(70))]
+    texts += [f"前{texts[-1]}後 one"]
+    rows = linededup.query(frame(spark, texts)).orderBy("doc_id").collect()
+    words = [passages.words_of(r["text"] or "") for r in rows]
+    seen = defaultdict(set)
+    for k, w in enumerate(words):
+        for at in range(len(w) - 50):
+            seen[tuple(w[at : at + 51])].add(k)
+    assert all(len(x) == 1 for x in seen.values())
+    kept = {w for ws in words for w in ws}
+    assert kept == {w for t in texts for w in passages.words_of(t or "")}
+    assert sum(set(shared[0]) <= set(w) for w in words) == 6 and all(sum(set(s) <= set(w) for w in words) == 1 for s in shared[1:])
+    assert rows[0]["text"] == texts[0] and rows[-1]["text"] == "前後 one" and [len(w) for w in words[12:14]] == [51, 0]
+
+
 def page(body):
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{body}</body></html>"
 
