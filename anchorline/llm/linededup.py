@@ -19,6 +19,7 @@ from xxhash import xxh64_intdigest
 
 from . import passages
 from .common import materialize, slices
+from .passages import signed
 
 #: Leading tokens of the tree, equal tokens of a template, templates of a leaf from which on blocks of tokens pick those to compare with.
 DEPTH, SIMILAR, LEAF_LINES = 3, 0.8, 10_000
@@ -37,10 +38,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
 
-def signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
-
-
 def routed(line: str, depth: int, least_tokens: int) -> tuple[int, int, int, list[str]] | None:
     """Token count (below zero for a short line), leaf of the tree, key of the masked line, and its tokens; None for a line without any.
 
@@ -194,8 +191,9 @@ def without_recurring(docs: DataFrame, **parameters) -> DataFrame:
     alike; texts that repeat another count once, so copies of one document do not make its lines recur.
     Other columns stay, whatever their names; an empty table gives an empty one.
     """
-    windows = passages.recurring_windows(keyed(docs)).select(*_ROW, (-1 - F.col("start")).alias("pos"))  # below zero, beside the lines
-    found = repeated_lines(docs, **parameters).unionByName(windows).groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_set("pos").alias("_positions"))
+    windows = passages.recurring_windows(keyed(docs)).select(*_ROW, F.struct("start", "end").alias("pos"))
+    lines = repeated_lines(docs, **parameters).select(*_ROW, F.struct(F.col("pos").alias("start"), F.lit(-1).alias("end")).alias("pos"))  # -1: a line
+    found = lines.unionByName(windows).groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_set("pos").alias("_positions"))
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     marked = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_doc"]) & (key == found["_key"]), "left").drop("_doc", "_key")
     schema = docs.schema
@@ -208,7 +206,7 @@ def without_recurring(docs: DataFrame, **parameters) -> DataFrame:
             for k, drop in enumerate(positions):
                 gone.append([])
                 if drop:
-                    texts[k], gone[-1] = passages.without(texts[k], {x for x in drop if x >= 0}, [-1 - x for x in drop if x < 0])
+                    texts[k], gone[-1] = passages.without(texts[k], {x["start"] for x in drop if x["end"] < 0}, [(x["start"], x["end"]) for x in drop if x["end"] >= 0])
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(part.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.list_(pa.string()))], [*schema.names, "dropped_lines"])
 

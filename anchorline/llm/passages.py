@@ -3,17 +3,20 @@
 A passage counts from WINDOW words on. Each window of so many words is marked by the least
 hash of the GRAM-word runs in it, so equal windows have equal marks, and neighbouring ones
 mostly share theirs. A first pass counts the few distinct marks of each text; a second one
-lets only windows leave their task whose mark was seen in two texts. These are grouped by
-their own hash: no window that recurs word by word is missed.
+lets only windows leave their task whose mark was seen in two texts, neighbours of one mark
+as one row. Rows that are equal whole are told apart by one hash; only the first of them,
+and only if its mark also stands in other rows, is compared window by window. So no window
+that recurs word by word is missed, and near copies do not multiply their windows.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -21,6 +24,8 @@ from .common import materialize, slices
 
 #: Words of the least passage that counts, and of the runs whose least hash marks it.
 WINDOW, GRAM = 51, 16
+#: Windows of one mark in a row, at most.
+ROW_WINDOWS = 64
 
 #: Bits of the bitmap of marks; an odd multiplier and its inverse modulo 2**64.
 SIEVE_BITS = 1 << 26
@@ -38,6 +43,10 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text) if not text.isascii() and _SOME_UNSPACED.search(text) else text.split()
 
 
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def powers(by: int, n: int) -> np.ndarray:
     out = np.full(n, by, np.uint64)
     out[:1] = 1
@@ -78,9 +87,9 @@ def sieve(shared: DataFrame) -> np.ndarray:
 
 
 def recurring_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``doc_id, text_key, start``: windows (by their first word, from 0) of ``rows(doc_id, text_key, text)`` that repeat one from elsewhere.
+    """``doc_id, text_key, start, end``: runs of words (by number, from 0, without the end) of ``rows(doc_id, text_key, text)`` that repeat windows from elsewhere.
 
-    A window recurs if it is in two different texts. Its first place is not among the rows, nor are places that overlap that.
+    A window recurs if it is in two different texts. Its first place is not among the runs, nor are places that overlap that.
     """
 
     def counted(batches):
@@ -98,31 +107,52 @@ def recurring_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     def compared(batches):
         seen = bits.value
         for part in slices(batches):
-            ids, keys, starts, found = [], [], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            out = [[], [], [], [], [], []]
             for doc_id, key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 hashes, own = marks(text, window, gram)
                 at = np.flatnonzero(seen[(own % np.uint64(SIEVE_BITS)) >> np.uint64(6)] >> (own & np.uint64(63)) & np.uint64(1))
-                if len(at):
-                    ids += [doc_id] * len(at)
-                    keys += [key] * len(at)
-                    starts.append(at.astype(np.int32))
-                    found.append(runs(hashes, window)[at].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.concatenate(starts)), pa.array(np.concatenate(found))], ["doc_id", "text_key", "start", "window"])
-
-    windows = materialize(rows.select("doc_id", "text_key", "text").mapInArrow(compared, "doc_id long, text_key long, start int, window long"), "windows")
-    grouped = windows.groupBy("window").agg(F.min(F.struct("doc_id", "text_key", "start")).alias("first"), F.min("text_key").alias("a"), F.max("text_key").alias("b"))
-    joined = windows.join(grouped.where("a <> b").select("window", "first"), "window")
-    beside = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("start") < F.col("first.start") + window)
-    return joined.where(~beside).select("doc_id", "text_key", "start")
-
-
-def without(text: str, lines: set[int], starts: list[int], window: int = WINDOW) -> tuple[str, list[str]]:
-    """The text without the given lines and windows, and what went: whole lines, and pieces inside of lines."""
-    spans = [m.span() for m in WORD.finditer(text)]
+                if not len(at):
+                    continue
+                found, single = runs(hashes, window), own[at]
+                breaks = np.flatnonzero((np.diff(at) > 1) | (single[1:] != single[:-1])) + 1
+                edges = [0, *breaks.tolist(), len(at)]
+                for low, high in itertools.pairwise(edges):
+                    for k in range(low, high, ROW_WINDOWS):
+                        whole = found[at[k : min(k + ROW_WINDOWS, high)]]
+                        for column, x in zip(out, (doc_id, key, int(at[k]), int(single[k].view(np.int64)), signed(xxh64_intdigest(whole.tobytes())), whole.view(np.int64)), strict=True):
+                            column.append(x)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+            flat = np.concatenate(out[5]) if out[5] else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out[5])]), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(out, kinds, strict=False)), lists], ["doc_id", "text_key", "start", "mark", "run", "windows"])
+
+    found = materialize(rows.select("doc_id", "text_key", "text").mapInArrow(compared, "doc_id long, text_key long, start int, mark long, run long, windows array<long>"), "windows")
+    place = F.struct("doc_id", "text_key", "start").alias("place")
+
+    def firsts(of: DataFrame, by: str, recurs) -> DataFrame:
+        return of.groupBy(by).agg(F.min(place).alias("first"), recurs.alias("recurs")).where("recurs").select(by, "first")
+
+    def beside(words) -> Column:
+        return F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("start") < F.col("first.start") + words)
+
+    two = F.min("text_key") != F.max("text_key")
+    words = F.size("windows") + (window - 1)
+    told = found.join(firsts(found, "run", two), "run", "left")
+    kept = F.col("first").isNull() | beside(words)
+    mixed = found.groupBy("mark").agg((F.min("run") != F.max("run")).alias("mixed")).where("mixed").select("mark")
+    left = told.where(kept).join(mixed, "mark", "left_semi").select("doc_id", "text_key", F.col("start").alias("at"), F.col("first").isNotNull().alias("shared"), F.posexplode("windows").alias("k", "window"))
+    left = materialize(left.select("doc_id", "text_key", (F.col("at") + F.col("k")).alias("start"), "shared", "window"), "windows")
+    again = left.join(firsts(left, "window", two | F.max("shared")), "window").where(~beside(F.lit(window)))
+    return told.where(~kept).select("doc_id", "text_key", "start", (F.col("start") + words).alias("end")).unionByName(again.select("doc_id", "text_key", "start", (F.col("start") + window).alias("end")))
+
+
+def without(text: str, lines: set[int], found: list[tuple[int, int]]) -> tuple[str, list[str]]:
+    """The text without the given lines and runs of words, and what went: whole lines, and pieces inside of lines."""
+    spans = [m.span() for m in WORD.finditer(text)] if found else []
     steps = np.zeros(len(spans) + 1, np.int32)
-    if starts:
-        np.add.at(steps, starts, 1)
-        np.add.at(steps, np.array(starts) + window, -1)
+    if found:
+        np.add.at(steps, [a for a, _ in found], 1)
+        np.add.at(steps, [b for _, b in found], -1)
     gone = (np.cumsum(steps) > 0).tolist()
     kept, dropped, at, w = [], [], 0, 0
     for number, line in enumerate(text.split("\n")):
