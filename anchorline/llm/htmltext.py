@@ -30,14 +30,20 @@ PATH, EMBED, WORDS, NUMBERS, HIDDEN = 1024, 24, 64, 10, 20
 
 #: Elements without an end tag, elements inside a block, elements whose content is no text, elements that a sibling ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-SILENT = frozenset("script style noscript template head title textarea select button svg math iframe object canvas audio video".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mstyle mpadded mphantom menclose merror semantics annotation annotation-xml".split())
+SILENT = frozenset("script style noscript template head title textarea select button svg annotation annotation-xml iframe object canvas audio video".split())
 RAW = frozenset("script style textarea title".split())
 ENDED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+#: What stands in a head; silent elements that a block ends if their own end tag is left out, and what they hold; what ends an open svg.
+HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+OMITTED, HELD = frozenset("select button noscript".split()), INLINE | VOID | SILENT | {"option", "optgroup"}
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article section main nav header footer aside form figure".split())
 
 #: A comment, a tag (quoted values may hold ``>``, unless a quote is never closed), or a declaration; each may be cut off by the end.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+(?=>)|[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_SELF_CLOSED = re.compile(r"(?<!=)(?:^|\s|[\"']|(?:^|\s)[^\s=]+)/\Z")
+_AGAIN = {tag: re.compile(f"<(/?){tag}\\b", re.I) for tag in OMITTED}
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -48,6 +54,30 @@ def names(tag: str, attributes: str) -> tuple[str, ...]:
     return (f"<{tag}", *(w for x in found for w in _NAME.findall(x.lower())))
 
 
+def still_open(stack: list[tuple[str, tuple[str, ...]]], tag: str, page: str, at: int) -> int:
+    """How many open elements stay so at a start tag inside a silent one, where end tags may be left out."""
+    stay = len(stack)
+    for k in range(len(stack) - 1, -1, -1):
+        name = stack[k][0]
+        if name == "head":
+            return stay if tag in HEAD else k
+        if name == "svg":
+            if tag not in BREAKOUT:
+                return stay
+            stay = k
+        elif name in OMITTED:
+            if tag != name:
+                if tag in HELD:
+                    return stay
+                after = _AGAIN[name].search(page, at)
+                if after and after[1]:
+                    return stay
+            stay = k
+        elif name in SILENT or name in ("foreignobject", "desc"):
+            return stay
+    return stay
+
+
 def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """``(path words, text, characters in links)`` of each leaf block with text, in page order; references decoded, white space folded."""
     page = page or ""
@@ -72,6 +102,8 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     end = len(page)
     while at < end:
         m = _TOKEN.search(page, at)
+        if silent and stack[-1][0] == "head" and page[at : m.start() if m else end].strip():
+            pop()
         if not silent and (piece := page[at : m.start() if m else end]):
             held.append(piece)
             linked += len(piece) * any(tag == "a" for tag, _ in stack)
@@ -92,7 +124,11 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                         pop()
                     break
             continue
-        if tag in VOID:
+        if silent:
+            stay = still_open(stack, tag, page, at)
+            while len(stack) > stay:
+                pop()
+        if tag in VOID or tag in ("svg", "math") and _SELF_CLOSED.search(m[3]):
             continue
         if tag not in INLINE and stack:
             # Unclosed inline elements and a paragraph end where a new block begins.

@@ -366,6 +366,24 @@ def test_html_blocks():
     assert [t for _, t, _ in htmltext.blocks_of("<div>" * 3000 + "x")] == ["x"]
 
 
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("<html><head><title>T</title><meta charset=x><body><p>one", ["one"]),
+        ("<head><link><noscript><link><p>one", ["one"]),
+        ("<head><title>T</title>one<p>two", ["one", "two"]),
+        ("<head><noscript><img src=x></noscript><title>T</title></head><p>one", ["one"]),
+        ("<div>a <svg/> b</div><div>c <svg width='1' /> d</div><svg><text>no</text></svg>e", ["a", "b", "c", "d", "e"]),
+        ("<svg><path><p>one", ["one"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x</annotation></math> holds", ["so x=2 holds"]),
+        ("<select><option>no<p>one<button>no<div>two</div><noscript>no<h2>three", ["one", "two", "three"]),
+        ("<button><div>no</div></button><noscript><p>no</p></noscript><p>one", ["one"]),
+    ],
+)
+def test_html_omitted_end_tags(given, want):
+    assert [t for _, t, _ in htmltext.blocks_of(given)] == want
+
+
 def test_html_gradients():
     rng = np.random.default_rng(0)
     net = htmltext.Labeller.new()
