@@ -31,8 +31,8 @@ def content_hash(text: Column) -> Column:
 
 def legacy_hash(text: Column) -> Column:
     """The 32-bit hash ``h * 33 xor unit`` over UTF-16 units, in base 36 after an ``h``; for keys of old caches."""
-    units = F.transform(F.sequence(F.lit(0), F.greatest(js_length(text) - 1, F.lit(0))), lambda k: F.conv(F.hex(F.substring(F.encode(text, "UTF-16BE"), 2 * k + 1, F.lit(2))), 16, 10).cast("long"))
-    units = F.when(js_length(text) > 0, units).otherwise(F.array().cast("array<long>"))
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1)), lambda x: F.conv(x, 16, 10).cast("long"))
+    units = F.coalesce(units, F.array().cast("array<long>"))
     hashed = F.aggregate(units, F.lit(5381).cast("long"), lambda h, u: (h * 33).bitwiseXOR(u).bitwiseAND(F.lit(0xFFFFFFFF)))
     return F.concat(F.lit("h"), F.lower(F.conv(hashed.cast("string"), 10, 36)))
 

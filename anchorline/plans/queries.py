@@ -190,7 +190,7 @@ def m6_m7_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def m6_legacy_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select("n_nationkey", keys.legacy_hash(F.col("n_name")).alias("hash"))
+    return table(spark, sf_dir, "documents").select("doc_id", keys.legacy_hash(F.col("text")).alias("hash"))
 
 
 @registered("SELECT doc_id, (length(text) + 4)::INT AS units, substr(text, 1, 100) AS short FROM documents")

@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from anchorline.functions import answers, keys, markers
@@ -185,3 +186,17 @@ def test_registered_queries_equal_their_sql(spark, name):
     columns = sorted(found.columns)
     assert columns == sorted(want.columns)
     assert sorted(map(str, found[columns].astype(object).values.tolist())) == sorted(map(str, want[columns].astype(object).values.tolist()))
+
+
+def test_registered_inputs_grow(spark, tmp_path):
+    from anchorline.plans import derive, queries
+
+    rows = [(k, "é🙂" * k, "en", "s", 2 * k) for k in range(120)] + [(120, None, "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in derive.store(spark, str(tmp_path)).collect()} == {k for k in range(121) if k % 10 != 3}
+    found = {r["doc_id"]: r["hash"] for r in queries.m6_legacy_hash(spark, str(tmp_path)).collect()}
+    for k, text, *_ in rows:
+        h, data = 5381, (text or "").encode("utf-16-be")
+        for at in range(0, len(data), 2):
+            h = (h * 33 ^ int.from_bytes(data[at : at + 2], "big")) & 0xFFFFFFFF
+        assert found[k] == "h" + np.base_repr(h, 36).lower()
