@@ -7,12 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handled at a time inside a task, so that one Arrow batch of long texts never becomes one list of words.
-SLICE_ROWS = 256
+#: Rows and bytes handled at a time inside a task, so that one Arrow batch of long texts never becomes one list of words.
+SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
+#: Bits of a bitmap of hashed values; keys that hold more than this share of a table's rows are joined apart.
+SIEVE_BITS, HOT_SHARE = 1 << 26, 1e-3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one where none is named, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or own_dir()
+    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one where none is named and all runs on one machine, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: intermediate tables are written there")
+    return named or own_dir()
 
 
 @functools.cache
@@ -29,17 +35,53 @@ def own_dir() -> str:
     return tempfile.mkdtemp(prefix="spark-shared-")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back, so lineage is cut and lost executors cost nothing."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once into the shared folder, apart by the values of ``by``, and read it back, so lineage is cut and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of at most so many rows and, but for single rows, so many bytes."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            waiting = [batch.slice(at, rows)]
+            while waiting:
+                part = waiting.pop()
+                if part.num_rows > 1 and part.get_total_buffer_size() > size and part.nbytes > size:
+                    half = part.num_rows // 2
+                    waiting += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
+
+
+def sieve(df: DataFrame, column: str, bits: int = SIEVE_BITS) -> np.ndarray:
+    """A bitmap of fixed size of a column of hashes, made of partial sums in the tasks. It lets all of them through and few others, which an exact join sorts out later."""
+    words = df.groupBy(F.shiftright(F.pmod(column, F.lit(bits)), 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64) as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def let_through(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which unsigned hashes the bitmap lets through."""
+    return (bitmap[(hashes & np.uint64(64 * len(bitmap) - 1)) >> np.uint64(6)] >> (hashes & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def hot_join(rows: DataFrame, named: DataFrame, key: str, how: str = "inner", share: float = HOT_SHARE) -> DataFrame:
+    """``rows.join(named, key, how)`` for ``named`` with one row a key and ``how`` inner, left or left_semi.
+
+    Keys with more than ``share`` of all rows, of which there are fewer than ``1 / share``, are joined by a
+    broadcast, so that no key's rows meet in one task; all others are joined by a shuffle.
+    """
+    counts = rows.groupBy(key).count()
+    most = max(1.0, share * (rows.count() or 1))
+    hot = materialize(counts.where(F.col("count") > most).select(key), "hot-keys")
+    few = F.broadcast(named.join(F.broadcast(hot), key, "left_semi"))
+    marked = rows.join(F.broadcast(hot.withColumn("hot_key", F.lit(True))), key, "left")
+    apart, rest = marked.where("hot_key").drop("hot_key"), marked.where("hot_key is null").drop("hot_key")
+    return apart.join(few, key, how).unionByName(rest.join(named, key, how))
 
 
 def fold(column, mod: int):

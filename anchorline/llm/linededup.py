@@ -5,21 +5,22 @@ with a digit is a variable field. In a leaf, lines of enough equal tokens share
 template, whose differing positions become variable fields too. A template that recurs
 across documents stays where it comes first and is dropped everywhere else. So is a
 passage that recurs word by word inside of lines or over several: see :mod:`passages`.
+
+One scan counts leaves and marks, a second one lets out the lines and windows of those that
+are in two texts, a third one drops what recurs.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from pyspark.sql.types import ArrayType, StringType
 
 from . import passages
-from .common import materialize, slices
-from .passages import signed
+from .common import hot_join, let_through, materialize, sieve, slices
+from .wordhash import Words, mixed, parts, runs, summed
 
 #: Leading tokens of the tree, equal tokens of a template, templates of a leaf from which on blocks of tokens pick those to compare with.
 DEPTH, SIMILAR, LEAF_LINES = 3, 0.8, 10_000
@@ -27,77 +28,102 @@ DEPTH, SIMILAR, LEAF_LINES = 3, 0.8, 10_000
 LEAST_TOKENS, LEAST_TEXTS, LONG = 4, 3, 50
 SHORT_CHARS, SHORT_TEXTS = 20, 10
 
-#: What a variable field becomes; bits of the bitmap of leaves.
-VARIABLE, SIEVE_BITS = "<*>", 1 << 24
+#: Fixed value: what stands for the hash of a variable field.
+VARIABLE = np.uint64(0x2A)
+#: Bits of the bitmap of rows with something to drop; its 64-bit words, a row each, are broadcast.
+ROW_BITS = 1 << 25
 
 _ROW = ("doc_id", "text_key")
-_DIGIT = re.compile(r"\d")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
 
-def routed(line: str, depth: int, least_tokens: int) -> tuple[int, int, int, list[str]] | None:
-    """Token count (below zero for a short line), leaf of the tree, key of the masked line, and its tokens; None for a line without any.
+class Lines:
+    """All lines with a token: number of the text, number of the line in it, token count (below zero for a short line), tree leaf, and key of the line with variable fields masked.
 
-    A line of few tokens that are all variable fields is keyed as it is: without that all numbers would be one template.
+    A token with a digit is a variable field. A line of few tokens that are all variable fields is keyed as it is:
+    without that all numbers would be one template. In texts with letters of scripts without spaces, which are
+    tokens of their own, a line is short by its characters alone.
     """
-    tokens = line.split()
-    n = len(tokens)
-    if not n:
-        return None
-    if _DIGIT.search(line):
-        masked = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
-        if n >= least_tokens or masked.count(VARIABLE) < n:
-            tokens = masked
-    coded = " ".join(tokens).encode("utf-8", "surrogatepass")
-    lead = f"{n} {' '.join(tokens[:depth])}".encode("utf-8", "surrogatepass")
-    return -n if n < least_tokens and len(line.strip()) < SHORT_CHARS else n, signed(xxh64_intdigest(lead)), signed(xxh64_intdigest(coded)), tokens
-
-
-def lines_of(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
-    """One row a line: its row and position, token count (below zero for a short line), tree leaf, and key of the line with variable fields masked."""
+
+    def __init__(self, words: Words, depth: int = DEPTH, least_tokens: int = LEAST_TOKENS):
+        data, start, end = words.data, words.start, words.end
+        before = np.cumsum(np.bincount(np.searchsorted(start, np.flatnonzero(data == 10)), minlength=len(start) + 1))[:-1]
+        new = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (words.text[1:] != words.text[:-1]))) if len(start) else start
+        self.first, self.n = new, np.diff(np.append(new, len(start)))
+        self.text = words.text[new]
+        head = np.searchsorted(np.flatnonzero(data == 10), words.at[:-1])
+        self.number = before[new] - head[self.text]
+        variable = np.zeros(len(start), bool)
+        variable[np.searchsorted(start, np.flatnonzero((data >= 48) & (data < 58)), side="right") - 1] = True
+        self.tokens = np.where(variable, VARIABLE, words.hashes)
+        last = self.first + self.n
+        sums = summed(self.tokens)
+        key = runs(sums, self.first, last)
+        fields = np.append(0, np.cumsum(variable))
+        bare = (self.n < least_tokens) & (fields[last] - fields[self.first] == self.n)
+        if bare.any():
+            words_sums, some = summed(words.hashes), parts(self.first[bare], self.n[bare])
+            key[bare] = runs(words_sums, self.first[bare], last[bare])
+            self.tokens[some] = words.hashes[some]
+            sums = summed(self.tokens)
+        self.key = mixed(key + self.n.astype(np.uint64))
+        self.leaf = mixed(runs(sums, self.first, np.minimum(last, self.first + depth)) + self.n.astype(np.uint64))
+        inside = np.flatnonzero((data & 0xC0) == 0x80)
+        ends = end[last - 1] if len(last) else last
+        chars = ends - start[new] - (np.searchsorted(inside, ends) - np.searchsorted(inside, start[new]))
+        short = (chars < SHORT_CHARS) & ((self.n < least_tokens) | np.isin(self.text, words.changed))
+        self.size = np.where(short, -self.n, self.n)
+
+
+def seen_twice(rows: DataFrame, depth: int, least_tokens: int) -> DataFrame:
+    """``key``: tree leaves of lines and marks of windows that are in two texts of ``rows(doc_id, text_key, text)``."""
 
     def run(batches):
         for part in slices(batches):
-            rows = []
-            for doc_id, key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                rows += [(doc_id, key, pos, *found[:3]) for pos, line in enumerate(text.split("\n")) if (found := routed(line, depth, least_tokens))]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "text_key", "pos", "n", "leaf", "line_key"])
-
-    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, pos int, n int, leaf long, line_key long")
-
-
-def sieve(leaves: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of hashed leaves, made of partial sums in the tasks: what it lets through is joined exactly later."""
-    bucket = F.pmod("leaf", F.lit(SIEVE_BITS))
-    words = leaves.groupBy(F.shiftright(bucket, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(leaf, 64) as int))")).alias("bits"))
-    out = np.zeros(SIEVE_BITS // 64, np.int64)
-    for r in words.collect():
-        out[r["word"]] = r["bits"]
-    return out
+            words = Words(part.column(1))
+            lines, (text, mark) = Lines(words, depth, least_tokens), passages.Windows(words).distinct()
+            of = pa.array(np.concatenate([lines.text, text]))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(of), pa.array(np.concatenate([lines.leaf, mark]).view(np.int64))], ["text_key", "key"])
+
+    keys = rows.select("text_key", "text").mapInArrow(run, "text_key long, key long")
+    return keys.groupBy("key").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b").select("key")
 
 
-def candidate_lines(docs: DataFrame, leaves: DataFrame, depth: int, least_tokens: int) -> DataFrame:
-    """``leaf, line_key, tokens`` (hashed) of distinct lines in the given leaves. Only lines that may be in one leave their task."""
-    bits = docs.sparkSession.sparkContext.broadcast(sieve(leaves))
+def candidates(docs: DataFrame, depth: int = DEPTH, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+    """Lines and windows whose leaf or mark may be in two texts; only they leave their tasks.
+
+    ``doc_id, text_key, start, n, key, whole, parts, line``: of a line its number, token count, leaf, key, and (once in a batch)
+    hashed tokens; of neighbouring windows of one mark the first word, their number, the mark, one hash of all and of each.
+    """
+    rows = keyed(docs)
+    bits = docs.sparkSession.sparkContext.broadcast(sieve(seen_twice(rows, depth, least_tokens), "key"))
 
     def run(batches):
-        words = bits.value
         for part in slices(batches):
-            seen: dict[int, tuple[int, list[int]]] = {}
-            for text in part.column(0).to_pylist():
-                for line in text.split("\n"):
-                    found = routed(line, depth, least_tokens)
-                    if found and found[2] not in seen and int(words[found[1] % SIEVE_BITS >> 6]) >> (found[1] & 63) & 1:
-                        seen[found[2]] = found[1], [signed(xxh64_intdigest(t.encode("utf-8", "surrogatepass"))) for t in found[3]]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen.values()], pa.int64()), pa.array(list(seen), pa.int64()), pa.array([t for _, t in seen.values()], pa.list_(pa.int64()))], ["leaf", "line_key", "tokens"])
-
-    some = keyed(docs).select("text").mapInArrow(run, "leaf long, line_key long, tokens array<long>")
-    return some.join(leaves, "leaf", "left_semi").groupBy("line_key").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens")).select("leaf", "line_key", "tokens")
+            words = Words(part.column(2))
+            lines = Lines(words, depth, least_tokens)
+            on = np.flatnonzero(let_through(bits.value, lines.leaf))
+            length = np.zeros(len(on), np.int64)
+            once = np.unique(lines.key[on], return_index=True)[1]
+            length[once] = lines.n[on][once]
+            tokens = lines.tokens[parts(lines.first[on], length)]
+            text, start, n, mark, whole, begin, windows = passages.Windows(words).rows(bits.value)
+            offsets = np.concatenate([np.cumsum(length) - length, begin + len(tokens), [len(tokens) + len(windows)]])
+            of = pa.array(np.concatenate([lines.text[on], text]))
+            columns = [np.concatenate([lines.number[on], start]), np.concatenate([lines.size[on], n])]
+            hashes = [np.concatenate([lines.leaf[on], mark]), np.concatenate([lines.key[on], whole])]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([tokens, windows]).view(np.int64)))
+            kind = pa.array(np.arange(len(of)) < len(on))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(of), part.column(1).take(of), *(pa.array(c, pa.int32()) for c in columns), *(pa.array(h.view(np.int64)) for h in hashes), lists, kind],
+                ["doc_id", "text_key", "start", "n", "key", "whole", "parts", "line"],
+            )
+
+    found = rows.mapInArrow(run, "doc_id long, text_key long, start int, n int, key long, whole long, parts array<long>, line boolean")
+    return materialize(found, "candidates", by="line")
 
 
 def templates(rows: list[tuple[int, np.ndarray]], similar: float, depth: int = DEPTH, leaf_lines: int = LEAF_LINES) -> list[tuple[int, int]]:
@@ -163,41 +189,56 @@ def generalised(leaves: DataFrame, similar: float, depth: int, leaf_lines: int)
     return dealt.mapInArrow(run, "line_key long, template long")
 
 
-def repeated_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, leaf_lines: int = LEAF_LINES, least_tokens: int = LEAST_TOKENS, least_texts: int = LEAST_TEXTS, long: int = LONG) -> DataFrame:
-    """``doc_id, text_key, pos``: lines (by number, from 0) that repeat a template from elsewhere."""
-    lines = materialize(lines_of(docs, depth, least_tokens), "lines")
-    distinct = lines.groupBy("line_key").agg(F.first("leaf").alias("leaf"))
-    shared = distinct.groupBy("leaf").count().where("count > 1").select("leaf")
-    shared = materialize(shared, "shared-leaves")
-    candidates = materialize(candidate_lines(docs, shared, depth, least_tokens), "template-lines")
-    template = generalised(candidates, similar, depth, leaf_lines)
-    named = materialize(lines.join(template, "line_key", "left").select(*_ROW, "pos", "n", F.coalesce("template", "line_key").alias("template")), "named-lines")
-    texts = named.groupBy("template", "text_key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("n").alias("n"))
-    recurring = texts.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.max("n").alias("n"))
+def repeated_lines(lines: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, leaf_lines: int = LEAF_LINES, least_texts: int = LEAST_TEXTS, long: int = LONG) -> DataFrame:
+    """``doc_id, text_key, pos``: lines (by number, from 0) that repeat a template from elsewhere.
+
+    ``lines(doc_id, text_key, start, n, key, whole, parts)`` are all lines whose leaf may be in two texts, as files.
+    """
+    distinct = lines.where(F.size("parts") > 0).groupBy(F.col("whole").alias("line_key")).agg(F.first("key").alias("leaf"), F.first("parts").alias("tokens"))
+    template = materialize(generalised(distinct, similar, depth, leaf_lines), "templates")
+    rows = lines.select(*_ROW, F.col("start").alias("pos"), "n", F.col("whole").alias("line_key"))
+    named = materialize(hot_join(rows, template, "line_key", "left").select(*_ROW, "pos", "n", F.coalesce("template", "line_key").alias("template")), "named-lines")
+    # Copies of one text have the same lines, so the least of each column is the first place.
+    texts = named.groupBy("template", "text_key").agg(F.min("doc_id").alias("doc_id"), F.min("pos").alias("pos"), F.max("n").alias("n"))
+    recurring = texts.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("doc_id", "text_key", "pos")).alias("first"), F.max("n").alias("n"))
     enough = F.when(F.col("n") > long, 2).when(F.col("n") > 0, least_texts).otherwise(max(least_texts, SHORT_TEXTS))
-    recurring = recurring.where(F.col("texts") >= enough).select("template", "first")
-    return named.join(recurring, "template").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")))).select(*_ROW, "pos")
+    recurring = materialize(recurring.where(F.col("texts") >= enough).select("template", "first"), "recurring")
+    at_first = F.struct("doc_id", "text_key", "pos").eqNullSafe(F.col("first"))
+    return hot_join(named, recurring, "template").where(~at_first).select(*_ROW, "pos")
 
 
-def recurring_lines(docs: DataFrame, **parameters) -> DataFrame:
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, least_tokens: int = LEAST_TOKENS, **parameters) -> DataFrame:
     """``doc_id, text_key, positions``: lines of each row that repeat a template from elsewhere."""
-    return repeated_lines(docs, **parameters).groupBy(*_ROW).agg(F.collect_set("pos").alias("positions"))
+    found = candidates(docs, depth, least_tokens).where("line")
+    return repeated_lines(found, depth, **parameters).groupBy(*_ROW).agg(F.collect_set("pos").alias("positions"))
 
 
-def without_recurring(docs: DataFrame, **parameters) -> DataFrame:
+def without_recurring(docs: DataFrame, depth: int = DEPTH, least_tokens: int = LEAST_TOKENS, **parameters) -> DataFrame:
     """``docs`` with recurring lines and passages dropped from ``text``, and ``dropped_lines array<string>`` (lines, and pieces inside of lines) beside it.
 
     Null texts stay null. A text whose lines all go is empty. Rows that repeat another row whole are treated
     alike; texts that repeat another count once, so copies of one document do not make its lines recur.
-    Other columns stay, whatever their names; an empty table gives an empty one.
+    Other columns stay, whatever their names, but for one called ``dropped_lines``, which gives way; an empty
+    table gives an empty one. Only rows with something to drop, and few others, are shuffled with their texts.
     """
-    windows = passages.recurring_windows(keyed(docs)).select(*_ROW, F.struct("start", "end").alias("pos"))
-    lines = repeated_lines(docs, **parameters).select(*_ROW, F.struct(F.col("pos").alias("start"), F.lit(-1).alias("end")).alias("pos"))  # -1: a line
-    found = lines.unionByName(windows).groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_set("pos").alias("_positions"))
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    marked = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_doc"]) & (key == found["_key"]), "left").drop("_doc", "_key")
-    schema = docs.schema
-    at = schema.names.index("text")
+    docs = docs.drop("dropped_lines")
+    both = candidates(docs, depth, least_tokens)
+    windows = both.where("not line").select(*_ROW, "start", "n", F.col("key").alias("mark"), F.col("whole").alias("run"), F.col("parts").alias("windows"))
+    windows = passages.recurring_windows(windows).select(*_ROW, F.struct("start", "end").alias("pos"))
+    lines = repeated_lines(both.where("line"), depth, **parameters).select(*_ROW, F.struct(F.col("pos").alias("start"), F.lit(-1).alias("end")).alias("pos"))  # -1: a line
+    found = materialize(lines.unionByName(windows).groupBy(*_ROW).agg(F.collect_set("pos").alias("positions")), "dropped")
+    named = [f"c{k}" for k in range(len(docs.columns))]
+    at, text = docs.columns.index("text"), named[docs.columns.index("text")]
+    doc_id = F.col(named[docs.columns.index("doc_id")]).cast("long")
+    text_key = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    bucket = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(ROW_BITS))
+    words = found.select(bucket.alias("bucket")).groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bucket % 64 as int))")).alias("bits"))
+    words = materialize(words, "rows-with-drops")
+    rows = docs.toDF(*named).withColumn("doc_id", doc_id).withColumn("text_key", text_key).withColumn("bucket", bucket)
+    rows = rows.join(F.broadcast(words), F.shiftright("bucket", 6) == F.col("word"), "left").withColumn("hit", F.coalesce(F.getbit("bits", F.col("bucket") % 64) == 1, F.lit(False)))
+    of = found.toDF("of", "of_key", "positions")
+    some = rows.where("hit").join(of, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")), "left").select(*named, "positions")
+    schema = docs.toDF(*named).schema.add("dropped_lines", ArrayType(StringType()))
 
     def run(batches):
         for part in slices(batches):
@@ -208,9 +249,10 @@ def without_recurring(docs: DataFrame, **parameters) -> DataFrame:
                 if drop:
                     texts[k], gone[-1] = passages.without(texts[k], {x["start"] for x in drop if x["end"] < 0}, [(x["start"], x["end"]) for x in drop if x["end"] >= 0])
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(part.columns[:-1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.list_(pa.string()))], [*schema.names, "dropped_lines"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.list_(pa.string()))], [*named, "dropped_lines"])
 
-    return marked.select(*(docs[c] for c in schema.names), "_positions").mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", dropped_lines array<string>")
+    others = rows.where(~F.col("hit")).select(*named, F.array().cast("array<string>").alias("dropped_lines"))
+    return some.mapInArrow(run, schema).unionByName(others).toDF(*docs.columns, "dropped_lines")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -2,62 +2,29 @@
 
 A passage counts from WINDOW words on. Each window of so many words is marked by the least
 hash of the GRAM-word runs in it, so equal windows have equal marks, and neighbouring ones
-mostly share theirs. A first pass counts the few distinct marks of each text; a second one
-lets only windows leave their task whose mark was seen in two texts, neighbours of one mark
-as one row. Rows that are equal whole are told apart by one hash; only the first of them,
-and only if its mark also stands in other rows, is compared window by window. So no window
-that recurs word by word is missed, and near copies do not multiply their windows.
+mostly share theirs. Only windows leave their task whose mark was seen in two texts,
+neighbours of one mark as one row. Rows that are equal whole are told apart by one hash;
+only the first of them, and only if its mark also stands in other rows, is compared window
+by window. So no window that recurs word by word is missed, and near copies do not multiply
+their windows.
 """
 
 from __future__ import annotations
 
-import itertools
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from .common import materialize, slices
+from .common import hot_join, let_through, materialize, sieve
+from .wordhash import WORD, Words, parts, runs, summed
 
 #: Words of the least passage that counts, and of the runs whose least hash marks it.
 WINDOW, GRAM = 51, 16
 #: Windows of one mark in a row, at most.
 ROW_WINDOWS = 64
 
-#: Bits of the bitmap of marks; an odd multiplier and its inverse modulo 2**64.
-SIEVE_BITS = 1 << 26
-_BY = 0x9E3779B97F4A7C15
-_BACK = pow(_BY, -1, 1 << 64)
-
-#: Letters of scripts without spaces are words of their own.
-_UNSPACED = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)))
-_SOME_UNSPACED = re.compile(f"[{_UNSPACED}]")
-WORD = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
-
-
-def words_of(text: str) -> list[str]:
-    """What :data:`WORD` finds."""
-    return WORD.findall(text) if not text.isascii() and _SOME_UNSPACED.search(text) else text.split()
-
-
-def signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
-
-
-def powers(by: int, n: int) -> np.ndarray:
-    out = np.full(n, by, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def runs(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of ``width`` words, equal for equal runs wherever they stand."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(_BY, len(hashes)))])
-    return (sums[width:] - sums[:-width]) * powers(_BACK, len(hashes) - width + 1)
-
 
 def least(x: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours."""
@@ -68,65 +35,47 @@ def least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - n)], x[width - n :])
 
 
-def marks(text: str, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of a text and the mark of each of its windows; no marks for a text of fewer words."""
-    words = words_of(text) if len(text) >= window else []
-    if len(words) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-    return hashes, least(runs(hashes, gram), window - gram + 1)
-
-
-def sieve(shared: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of marks, made of partial sums in the tasks; windows that it lets through are compared exactly later."""
-    bucket = F.pmod("mark", F.lit(SIEVE_BITS))
-    words = shared.groupBy(F.shiftright(bucket, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(mark, 64) as int))")).alias("bits")).toArrow()
-    out = np.zeros(SIEVE_BITS // 64, np.uint64)
-    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
-    return out
-
-
-def recurring_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``doc_id, text_key, start, end``: runs of words (by number, from 0, without the end) of ``rows(doc_id, text_key, text)`` that repeat windows from elsewhere.
-
+class Windows:
+    """All windows that lie in one text each: number of the text, first word, and mark."""
+
+    def __init__(self, words: Words, window: int = WINDOW, gram: int = GRAM):
+        self.words, self.window = words, window
+        self.sums = summed(words.hashes)
+        each = np.maximum(0, words.counts - (window - 1))
+        self.text, self.start = np.repeat(np.arange(len(each)), each), parts(words.first[:-1], each)
+        self.mark = np.zeros(0, np.uint64)
+        if len(self.start):
+            places = np.arange(len(words.hashes) - gram + 1)
+            self.mark = least(runs(self.sums, places, places + gram), window - gram + 1)[self.start]
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Text and mark of windows whose neighbour before has another mark."""
+        if not len(self.text):
+            return self.text, self.mark
+        new = np.append(True, (self.text[1:] != self.text[:-1]) | (self.mark[1:] != self.mark[:-1]))
+        return self.text[new], self.mark[new]
+
+    def rows(self, bitmap: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Rows of neighbouring windows of one mark that the bitmap lets through: text, first word in it, number, mark, hash of all, and where in the last array its windows begin."""
+        on = let_through(bitmap, self.mark)
+        text, start, mark = self.text[on], self.start[on], self.mark[on]
+        begin = np.flatnonzero(np.append(True, (np.diff(start) > 1) | (text[1:] != text[:-1]) | (mark[1:] != mark[:-1]))) if len(text) else text
+        length = np.diff(np.append(begin, len(text)))
+        cut = -(-length // ROW_WINDOWS)
+        nth = parts(np.zeros(len(cut), np.int64), cut)
+        begin, length = np.repeat(begin, cut) + nth * ROW_WINDOWS, np.minimum(ROW_WINDOWS, np.repeat(length, cut) - nth * ROW_WINDOWS)
+        whole = runs(self.sums, start[begin], start[begin] + length + (self.window - 1))
+        return text[begin], start[begin] - self.words.first[text[begin]], length, mark[begin], whole, begin, runs(self.sums, start, start + self.window)
+
+
+def recurring_windows(found: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc_id, text_key, start, end``: runs of words (by number, from 0, without the end) that repeat windows from elsewhere.
+
+    ``found(doc_id, text_key, start, n, mark, run, windows)`` are the rows of all windows whose mark may be in two texts, as files.
     A window recurs if it is in two different texts. Its first place is not among the runs, nor are places that overlap that.
     """
-
-    def counted(batches):
-        for part in slices(batches):
-            keys, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                own = np.unique(marks(text, window, gram)[1]).view(np.int64)
-                keys.append(np.full(len(own), key, np.int64))
-                found.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(found))], ["text_key", "mark"])
-
-    shared = rows.select("text_key", "text").mapInArrow(counted, "text_key long, mark long").groupBy("mark").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b").select("mark")
-    bits = rows.sparkSession.sparkContext.broadcast(sieve(shared))
-
-    def compared(batches):
-        seen = bits.value
-        for part in slices(batches):
-            out = [[], [], [], [], [], []]
-            for doc_id, key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                hashes, own = marks(text, window, gram)
-                at = np.flatnonzero(seen[(own % np.uint64(SIEVE_BITS)) >> np.uint64(6)] >> (own & np.uint64(63)) & np.uint64(1))
-                if not len(at):
-                    continue
-                found, single = runs(hashes, window), own[at]
-                breaks = np.flatnonzero((np.diff(at) > 1) | (single[1:] != single[:-1])) + 1
-                edges = [0, *breaks.tolist(), len(at)]
-                for low, high in itertools.pairwise(edges):
-                    for k in range(low, high, ROW_WINDOWS):
-                        whole = found[at[k : min(k + ROW_WINDOWS, high)]]
-                        for column, x in zip(out, (doc_id, key, int(at[k]), int(single[k].view(np.int64)), signed(xxh64_intdigest(whole.tobytes())), whole.view(np.int64)), strict=True):
-                            column.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-            flat = np.concatenate(out[5]) if out[5] else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out[5])]), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(out, kinds, strict=False)), lists], ["doc_id", "text_key", "start", "mark", "run", "windows"])
-
-    found = materialize(rows.select("doc_id", "text_key", "text").mapInArrow(compared, "doc_id long, text_key long, start int, mark long, run long, windows array<long>"), "windows")
+    context = found.sparkSession.sparkContext
+    slim = found.drop("windows")
     place = F.struct("doc_id", "text_key", "start").alias("place")
 
     def firsts(of: DataFrame, by: str, recurs) -> DataFrame:
@@ -136,14 +85,40 @@ def recurring_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -
         return F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("start") < F.col("first.start") + words)
 
     two = F.min("text_key") != F.max("text_key")
-    words = F.size("windows") + (window - 1)
-    told = found.join(firsts(found, "run", two), "run", "left")
-    kept = F.col("first").isNull() | beside(words)
-    mixed = found.groupBy("mark").agg((F.min("run") != F.max("run")).alias("mixed")).where("mixed").select("mark")
-    left = told.where(kept).join(mixed, "mark", "left_semi").select("doc_id", "text_key", F.col("start").alias("at"), F.col("first").isNotNull().alias("shared"), F.posexplode("windows").alias("k", "window"))
-    left = materialize(left.select("doc_id", "text_key", (F.col("at") + F.col("k")).alias("start"), "shared", "window"), "windows")
-    again = left.join(firsts(left, "window", two | F.max("shared")), "window").where(~beside(F.lit(window)))
-    return told.where(~kept).select("doc_id", "text_key", "start", (F.col("start") + words).alias("end")).unionByName(again.select("doc_id", "text_key", "start", (F.col("start") + window).alias("end")))
+    words = F.col("n") + (window - 1)
+    told = hot_join(slim, firsts(slim, "run", two), "run", "left").select("doc_id", "text_key", "start", "n", "mark", (F.col("first").isNull() | beside(words)).alias("kept"), F.col("first").isNotNull().alias("shared"))
+    told = materialize(told, "passages")
+    several = slim.groupBy("mark").agg((F.min("run") != F.max("run")).alias("several")).where("several").select("mark")
+    place_key = F.xxhash64("doc_id", "text_key", "start").alias("at")
+    left = materialize(hot_join(told.where("kept").select("doc_id", "text_key", "start", "mark", "shared", place_key), several, "mark", "left_semi").drop("mark"), "compared")
+    left_places = context.broadcast(sieve(left, "at"))
+
+    def held(batches):
+        for part in batches:
+            yield part.filter(pa.array(let_through(left_places.value, part.column(0).to_numpy().view(np.uint64))))
+
+    some = found.select(place_key, "doc_id", "text_key", "start", "windows").mapInArrow(held, "at long, doc_id long, text_key long, start int, windows array<long>")
+    those = left.select(F.col("doc_id").alias("of"), "text_key", "start", "at", "shared").distinct()
+    wide = some.join(those, ["at", "text_key", "start"]).where(F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text_key", "start", "shared", "windows")
+    wide = materialize(wide, "compared-windows")
+    twice = wide.select("shared", F.explode("windows").alias("window")).groupBy("window").agg(((F.count(F.lit(1)) > 1) | F.max("shared")).alias("twice")).where("twice").select("window")
+    window_bits = context.broadcast(sieve(twice, "window"))
+
+    def single(batches):
+        for part in batches:
+            lists = part.column(4)
+            windows = lists.flatten()
+            length = pc.list_value_length(lists).to_numpy()
+            row = np.repeat(np.arange(part.num_rows), length)
+            start = part.column(2).to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+            on = let_through(window_bits.value, windows.to_numpy().view(np.uint64))
+            of = pa.array(row[on])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(start[on], pa.int32()), part.column(3).take(of), windows.filter(pa.array(on))], ["doc_id", "text_key", "start", "shared", "window"])
+
+    ones = materialize(wide.mapInArrow(single, "doc_id long, text_key long, start int, shared boolean, window long"), "single-windows")
+    again = hot_join(ones, firsts(ones, "window", two | F.max("shared")), "window").where(~beside(F.lit(window)))
+    runs_gone = told.where(~F.col("kept")).select("doc_id", "text_key", "start", (F.col("start") + words).alias("end"))
+    return runs_gone.unionByName(again.select("doc_id", "text_key", "start", (F.col("start") + window).alias("end")))
 
 
 def without(text: str, lines: set[int], found: list[tuple[int, int]]) -> tuple[str, list[str]]:

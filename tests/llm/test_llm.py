@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from anchorline.llm import bpe, chat, htmltext, langid, linededup, mpegts, packing, passages, quality, simhash, toxicity
+from anchorline.llm import bpe, chat, htmltext, langid, linededup, mpegts, packing, passages, quality, simhash, toxicity, wordhash
 from anchorline.llm.queries import vocabulary_path
 
 PATH = vocabulary_path()
@@ -341,14 +341,14 @@ def test_passages_recur_whole(spark):
     texts += ["".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(70))]
     texts += [f"前{texts[-1]}後 one"]
     rows = linededup.query(frame(spark, texts)).orderBy("doc_id").collect()
-    words = [passages.words_of(r["text"] or "") for r in rows]
+    words = [wordhash.words_of(r["text"] or "") for r in rows]
     seen = defaultdict(set)
     for k, w in enumerate(words):
         for at in range(len(w) - 50):
             seen[tuple(w[at : at + 51])].add(k)
     assert all(len(x) == 1 for x in seen.values())
     kept = {w for ws in words for w in ws}
-    assert kept == {w for t in texts for w in passages.words_of(t or "")}
+    assert kept == {w for t in texts for w in wordhash.words_of(t or "")}
     assert sum(set(shared[0]) <= set(w) for w in words) == 6 and all(sum(set(s) <= set(w) for w in words) == 1 for s in shared[1:])
     assert rows[0]["text"] == texts[0] and rows[-1]["text"] == "前後 one" and [len(w) for w in words[12:14]] == [51, 0]
 
