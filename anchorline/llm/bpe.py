@@ -17,6 +17,7 @@ import json
 from array import array
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -31,8 +32,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Marks that are pre-tokens of their own after a letter.
 MARKS = frozenset(".,:;!?")
-#: Longer pre-tokens, in bytes, go through the transducer; shorter ones lie within its lookahead.
-WHOLE = 256
+#: Words up to so many letters are looked up without the mark after them.
+WORD, NONE = 64, -1
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,16 +61,20 @@ class Vocabulary:
         for token, k in self.specials.items():
             self.texts[k] = token.encode()
         self.longest = max(map(len, self.ids))
-        self.reach: dict[bytes, int] = {}  # longest token that begins with three bytes
-        for token in self.ids:
-            if len(token) > 2:
-                self.reach[token[:3]] = max(self.reach.get(token[:3], 0), len(token))
+        self.sizes = list(map(len, self.texts))
         self.lookahead = self._chain() * self.longest
         self.fits: dict[int, bool] = {}
         self.made: dict[bytes, tuple[int, bytes, bytes]] = {}  # token -> the one merge that makes it
         for k, (left, right) in enumerate(self.merges):
             self.made.setdefault(left + right, (k, left, right))
         self.one_way = len(self.made) == len(self.merges)
+        self.tokens = ahocorasick.Automaton()  # its letters are bytes
+        reached: set[bytes] = set()
+        for token, k in sorted(self.ids.items(), key=lambda x: len(x[0])):
+            if self._reached(token, reached):
+                reached.add(token)
+                self.tokens.add_word(token.decode("latin-1"), (k, len(token)))
+        self.tokens.make_automaton()
 
     def _chain(self) -> int:
         """Longest chain of merges of rising rank, each taking as its right part what the one before takes as its left part.
@@ -101,18 +106,25 @@ class Vocabulary:
             parts = out
         return parts
 
-    def neighbours(self, left: bytes, right: bytes) -> bool:
-        """Whether ``left right`` is the encoding of its text."""
-        pair = self.ids[left] << 32 | self.ids[right]
-        known = self.fits.get(pair)
-        if known is None:
-            if len(self.fits) >= 1 << 19:
-                self.fits.clear()
-            known = self.fits[pair] = self._apart(left, right) if self.one_way else self.merged(left + right) == [left, right]
+    def neighbours(self, before: int, token: int) -> bool:
+        """Whether two tokens are the encoding of their joint text; remembered, boundedly."""
+        if len(self.fits) >= 1 << 19:
+            self.fits.clear()
+        left, right = self.texts[before], self.texts[token]
+        known = self.fits[before << 32 | token] = self._apart(left, right) if self.one_way else self.merged(left + right) == [left, right]
         return known
 
-    def _apart(self, left: bytes, right: bytes) -> bool:
-        """No merge joins a part at the end of ``left`` with one at the start of ``right`` while both exist."""
+    def _reached(self, token: bytes, reached: set[bytes]) -> bool:
+        """Whether a token is the encoding of its text; only such ones are ever emitted."""
+        if len(token) < 2 or not self.one_way:
+            return self.merged(token) == [token]
+        if token not in self.made:
+            return False
+        _, left, right = self.made[token]
+        return left in reached and right in reached and self._apart(left, right, True)
+
+    def _apart(self, left: bytes, right: bytes, inside: bool = False) -> bool:
+        """No merge joins a part at the end of ``left`` with one at the start of ``right`` while both exist; ``inside``: but for that of both as they are."""
         never = len(self.merges)
         ends, x, until = [], left, never
         while x:
@@ -121,89 +133,77 @@ class Vocabulary:
         y, until = right, never
         while y:
             for x, x_until in ends:
-                if (at := self.rank.get((x, y), never)) < x_until and at <= until and at < never:
+                if (at := self.rank.get((x, y), never)) < x_until and at <= until and at < never and not (inside and x == left and y == right):
                     return False
             until, y, _ = self.made.get(y, (never, b"", b""))
         return True
 
 
 class Transducer:
-    """Push bytes of one pre-token, get the ids that no later byte can change; ``finish`` gives the rest."""
+    """Push bytes of one pre-token, get the ids that no later byte can change; ``finish`` gives the rest.
+
+    An automaton of all tokens names those that end at each byte, longest first; the first that suits the last
+    token before it is the last token of the text up to there.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.before = b""  # last token emitted
-        self.data = b""
-        self.back: list[int] = []  # length of the last token of each prefix of data
+        self.reset()
+
+    def reset(self) -> None:
+        self.before: int | None = None  # last token emitted
+        self.last: list[int] = []  # last token of each prefix behind it
+        self.emitted, self.fresh = 0, True
 
     def push(self, data: bytes) -> list[int]:
         out: list[int] = []
         step = self.v.lookahead
         for at in range(0, len(data), step):
-            self._extend(data[at : at + step])
-            if len(self.back) > step:
+            self._extend(data[at : at + step].decode("latin-1"))
+            if len(self.last) > step:
                 out += self._emit(self._settled())
         return out
 
     def finish(self) -> list[int]:
-        out = self._emit(len(self.back))
-        self.before = b""
+        out = self._emit(len(self.last))
+        self.reset()
         return out
 
-    def _extend(self, more: bytes) -> None:
-        v, ids, data, back = self.v, self.v.ids, self.data + more, self.back
-        for end in range(len(self.data) + 1, len(data) + 1):
-            for start in range(max(0, end - v.longest), end):
-                token = data[start:end]
-                if token in ids:
-                    before = data[start - back[start - 1] : start] if start else self.before
-                    if not before or v.neighbours(before, token):
-                        back.append(end - start)
-                        break
-        self.data = data
+    def _extend(self, more: str) -> None:
+        if self.fresh:
+            self.found, self.fresh = self.v.tokens.iter(more), False
+        else:
+            self.found.set(more, False)
+        last, fits, emitted = self.last, self.v.fits, self.emitted
+        known = emitted + len(last)
+        for end, (token, size) in self.found:
+            if end < known:
+                continue
+            start = end + 1 - size - emitted
+            before = last[start - 1] if start > 0 else self.before if start == 0 else NONE
+            if before is None or before != NONE and ((good := fits.get(before << 32 | token)) or good is None and self.v.neighbours(before, token)):
+                last.append(token)
+                known += 1
 
     def _settled(self) -> int:
         """The latest boundary on the way to every position that a longer text can go on from."""
-        n = len(self.back)
+        n, size = len(self.last), self.v.sizes
         heads = set(range(max(0, n - self.v.longest + 1), n + 1))
         while len(heads) > 1:
             top = max(heads)
             heads.remove(top)
-            heads.add(top - self.back[top - 1] if top else 0)
+            heads.add(top - size[self.last[top - 1]] if top else 0)
         return heads.pop()
 
     def _emit(self, upto: int) -> list[int]:
-        ends, at = [], upto
+        out, at, last, size = [], upto, self.last, self.v.sizes
         while at:
-            ends.append(at)
-            at -= self.back[at - 1]
-        tokens = [self.data[e - self.back[e - 1] : e] for e in reversed(ends)]
-        if tokens:
-            self.before, self.data, self.back = tokens[-1], self.data[upto:], self.back[upto:]
-        return list(map(self.v.ids.__getitem__, tokens))
-
-
-def certain(v: Vocabulary, data: bytes) -> list[int]:
-    """Ids of a whole pre-token, all of which are certain once its end is seen: the longest token that suits
-    the one before it, taking back tokens after which none does."""
-    ids, fits, reach, out, ends, at, top, n = v.ids, v.fits, v.reach, [], [], 0, v.longest, len(data)
-    while at < n:
-        last = out[-1] << 32 if out else None
-        for end in range(min(n, at + min(top, reach.get(data[at : at + 3], 2))), at, -1):
-            if (token := ids.get(data[at:end])) is None:
-                continue
-            if last is None or (good := fits.get(last | token)) or good is None and v.neighbours(v.texts[out[-1]], data[at:end]):
-                break
-        else:
-            out.pop()
-            end = ends.pop()
-            at = ends[-1] if ends else 0
-            top = end - at - 1
-            continue
-        out.append(token)
-        ends.append(end)
-        at, top = end, v.longest
-    return out
+            out.append(last[at - 1])
+            at -= size[out[-1]]
+        if out:
+            self.before, self.last, self.emitted = out[0], last[upto:], self.emitted + upto
+        out.reverse()
+        return out
 
 
 class Codec:
@@ -219,21 +219,22 @@ class Codec:
     def packed(self, chunk: str) -> bytes:
         """Packed ids of a chunk. A word and the one mark after it are pre-tokens of their own, so the word is looked up without it."""
         word = chunk[1:]
-        if word.isalpha() and chunk[0] == " " and len(word) <= WHOLE // 4:
-            return array("I", certain(self.v, chunk.encode())).tobytes()
-        if word[-1:] in MARKS and word[:-1].isalpha() and chunk[0] == " ":
-            return self.chunks.spaced[word[:-1]] + array("I", certain(self.v, word[-1:].encode())).tobytes()
+        if word[-1:] in MARKS and word[:-1].isalpha() and chunk[0] == " " and len(word) <= WORD:
+            return self.chunks.spaced[word[:-1]] + array("I", self.one(word[-1])).tobytes()
         return array("I", self.stream(chunk)).tobytes()
 
+    def one(self, part: str) -> list[int]:
+        """Ids of one pre-token."""
+        ids = self.transducer.push(part.encode("utf-8", "surrogatepass"))
+        return ids + self.transducer.finish()
+
     def stream(self, text: str) -> Iterator[int]:
         """Ids of a text without special tokens, as soon as they are certain."""
-        for part in [text] if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) else self.split.findall(text):
-            data = part.encode("utf-8", "surrogatepass")
-            if len(data) <= WHOLE:
-                yield from certain(self.v, data)
-                continue
-            yield from self.transducer.push(data)
-            yield from self.transducer.finish()
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            yield from self.one(text)
+            return
+        for found in self.split.finditer(text):
+            yield from self.one(found.group())
 
     def encode(self, text: str) -> Iterator[list[int]]:
         for block in self.chunks.blocks(text):

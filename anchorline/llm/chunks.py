@@ -49,19 +49,24 @@ class Chunker:
         self.specials = specials
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
 
-    def blocks(self, text: str, words: int = 1 << 15) -> Iterator[bytes]:
-        """Packed ids of ``text``, of at most ``words`` words at a time."""
+    def blocks(self, text: str, letters: int = 1 << 17) -> Iterator[bytes]:
+        """Packed ids of ``text``, of about ``letters`` letters at a time."""
         if self.cut is None or not any(x in text for x in self.specials):
-            yield from self._plain(text, words)
+            yield from self._plain(text, 0, len(text), letters)
             return
-        for k, piece in enumerate(self.cut.split(text)):
-            if k % 2:
-                yield self.specials[piece]
-            elif piece:
-                yield from self._plain(piece, words)
+        at = 0
+        for found in self.cut.finditer(text):
+            yield from self._plain(text, at, found.start(), letters)
+            yield self.specials[found.group()]
+            at = found.end()
+        yield from self._plain(text, at, len(text), letters)
 
-    def _plain(self, text: str, words: int) -> Iterator[bytes]:
-        parts = words_of(text)
-        yield self.first[parts[0]] + b"".join(map(self.spaced.__getitem__, parts[1:words]))
-        for at in range(words, len(parts), words):
-            yield b"".join(map(self.spaced.__getitem__, parts[at : at + words]))
+    def _plain(self, text: str, at: int, end: int, letters: int) -> Iterator[bytes]:
+        """A part without special tokens, cut at lone spaces."""
+        first = True
+        while at < end:
+            cut = _LONE_SPACE.search(text, at + letters, end) if at + letters < end else None
+            upto = cut.start() if cut else end
+            parts = words_of(text[at:upto])
+            yield (self.first if first else self.spaced)[parts[0]] + b"".join(map(self.spaced.__getitem__, parts[1:]))
+            at, first = upto + 1, False

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
 #: Bits of a bitmap of hashed values; keys that hold more than this share of a table's rows are joined apart.
 SIEVE_BITS, HOT_SHARE = 1 << 26, 1e-3
+#: Bits of a bitmap that is broadcast as rows.
+ROW_BITS = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,15 @@ def let_through(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(hashes & np.uint64(64 * len(bitmap) - 1)) >> np.uint64(6)] >> (hashes & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def with_hits(df: DataFrame, hashed: str, keys: DataFrame, bits: int = ROW_BITS) -> DataFrame:
+    """``df`` with a boolean column ``hit``: true if its column ``hashed`` is in the same column of ``keys``, and for few others. A bitmap of ``bits`` bits, a row a word, is broadcast."""
+    bucket = F.pmod(hashed, F.lit(bits))
+    words = keys.select(bucket.alias("bucket")).groupBy(F.shiftright("bucket", 6).alias("hit_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bucket % 64 as int))")).alias("hit_bits"))
+    words = materialize(words, "hits")
+    marked = df.join(F.broadcast(words), F.shiftright(bucket, 6) == F.col("hit_word"), "left")
+    return marked.withColumn("hit", F.coalesce(F.getbit("hit_bits", bucket % 64) == 1, F.lit(False))).drop("hit_word", "hit_bits")
+
+
 def hot_join(rows: DataFrame, named: DataFrame, key: str, how: str = "inner", share: float = HOT_SHARE) -> DataFrame:
     """``rows.join(named, key, how)`` for ``named`` with one row a key and ``how`` inner, left or left_semi.
 

@@ -7,11 +7,11 @@ language, and a temperature is fitted on sampled rows that the weights have not
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 2e-3, 1e-3, 3
 FOLDS, HELD_OUT = 5, 0
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def counts(text: str) -> np.ndarray:
@@ -138,12 +138,19 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def sample(docs: DataFrame, language_rows: int, sample_rows: int) -> list[tuple]:
-    """``(doc_id, lang, text counts)`` of a bounded number of learning rows a language, those of least hashed id."""
-    ids = learning_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("deal"))
-    languages = ids.select("lang").distinct().count()
-    each = max(16, min(language_rows, sample_rows // max(1, languages))) // 16
-    order = Window.partitionBy("lang", "deal").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
-    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id").distinct()
+    """``(doc_id, lang, text counts)`` of a bounded number of learning rows a language, those of least hashed id.
+
+    Of rows with one id and language the least text counts. Rows whose hash lies well above what the number of
+    rows of their language lets expect are left out before the rest is ordered, so that no language is ordered whole.
+    """
+    rows = learning_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    sizes = rows.groupBy("lang").count()
+    languages = sizes.count()
+    each = max(16, min(language_rows, sample_rows // max(1, languages)))
+    low = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40)) * F.col("count") < (2 * each + 64) * (1 << 40)
+    few = rows.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(low).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
+    chosen = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id", "lang")
 
     def count(batches):
         for part in slices(batches):
@@ -151,7 +158,7 @@ def sample(docs: DataFrame, language_rows: int, sample_rows: int) -> list[tuple]
             at = [np.flatnonzero(c).astype(np.int32) for c in found]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.int32).tobytes() for c, a in zip(found, at, strict=True)], pa.binary())], ["doc_id", "lang", "at", "n"])
 
-    picked = learning_rows(docs).join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    picked = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     return sorted(picked.mapInArrow(count, "doc_id long, lang string, at binary, n binary").collect(), key=lambda r: (r["doc_id"], r["lang"], r["at"], r["n"]))
 
 
@@ -198,7 +205,11 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """Rows of ``docs`` with a language: predicted, not ``und``, with a calibrated score of at least ``least``."""
+    """Rows of ``docs`` with a language: predicted, not ``und``, with a calibrated score of at least ``least``.
+
+    Null and empty texts and texts without letters go; without learning rows all go. Repeated rows stay or go together,
+    other columns stay whatever their names, and an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from . import passages
-from .common import hot_join, let_through, materialize, sieve, slices
+from .common import hot_join, let_through, materialize, sieve, slices, with_hits
 from .wordhash import Words, mixed, parts, runs, summed
 
 #: Leading tokens of the tree, equal tokens of a template, templates of a leaf from which on blocks of tokens pick those to compare with.
@@ -30,8 +30,6 @@ SHORT_CHARS, SHORT_TEXTS = 20, 10
 
 #: Fixed value: what stands for the hash of a variable field.
 VARIABLE = np.uint64(0x2A)
-#: Bits of the bitmap of rows with something to drop; its 64-bit words, a row each, are broadcast.
-ROW_BITS = 1 << 25
 
 _ROW = ("doc_id", "text_key")
 
@@ -231,11 +229,9 @@ def without_recurring(docs: DataFrame, depth: int = DEPTH, least_tokens: int = L
     at, text = docs.columns.index("text"), named[docs.columns.index("text")]
     doc_id = F.col(named[docs.columns.index("doc_id")]).cast("long")
     text_key = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    bucket = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(ROW_BITS))
-    words = found.select(bucket.alias("bucket")).groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bucket % 64 as int))")).alias("bits"))
-    words = materialize(words, "rows-with-drops")
-    rows = docs.toDF(*named).withColumn("doc_id", doc_id).withColumn("text_key", text_key).withColumn("bucket", bucket)
-    rows = rows.join(F.broadcast(words), F.shiftright("bucket", 6) == F.col("word"), "left").withColumn("hit", F.coalesce(F.getbit("bits", F.col("bucket") % 64) == 1, F.lit(False)))
+    row_key = F.xxhash64("doc_id", "text_key")
+    rows = docs.toDF(*named).withColumn("doc_id", doc_id).withColumn("text_key", text_key).withColumn("row_key", row_key)
+    rows = with_hits(rows, "row_key", found.select(row_key.alias("row_key")))
     of = found.toDF("of", "of_key", "positions")
     some = rows.where("hit").join(of, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")), "left").select(*named, "positions")
     schema = docs.toDF(*named).schema.add("dropped_lines", ArrayType(StringType()))

@@ -35,6 +35,9 @@ SEQUENCES_A_TASK = 1 << 40
 #: Line feed, tab, printable ASCII, and letters and marks that have kept their class since early Unicode.
 UNDISPUTED = re.compile("[\\n\\t -~\u00c0-\u01ff\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2010-\u2026\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 
+#: More white space in a row than the faster encoder's pattern matcher is trusted with.
+LONG_GAP = re.compile("[\\n\\t ]{4096}")
+
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group int"
 
 
@@ -127,9 +130,13 @@ def token_array(text: str | None, path: str) -> np.ndarray:
     """Ids as the tokenizers library gives them, then 0. Texts of characters whose class no Unicode version disputes
     take the faster encoder, which gives the same ids (tested)."""
     own, fast = library(path)
-    if fast is not None and UNDISPUTED.fullmatch(text or ""):
-        ids = fast.encode_to_numpy(text or "", allowed_special="all")
-    else:
+    text, ids = text or "", None
+    if fast is not None and UNDISPUTED.fullmatch(text) and not LONG_GAP.search(text):
+        try:
+            ids = fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its pattern matcher gives up on some very long texts
+            ids = None
+    if ids is None:
         ids = own.encode(text, add_special_tokens=False).ids
     return np.append(np.asarray(ids, "<u4"), np.uint32(0)).astype("<u4", copy=False)
 

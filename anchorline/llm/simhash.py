@@ -6,10 +6,16 @@ are equal. So every distinct fingerprint is indexed under its 32 high-segment va
 (one bit position wildcarded) and its whole low segment; an equality join on those 33
 keys finds every link, and the join condition verifies the distance and lets each pair
 through under exactly one key.
+
+Two bits of 64 reach few pairs of texts whose shingles have a Jaccard similarity of 0.8; they
+lie up to 11 bits apart, and segments short enough for that would pair any two texts. So
+:func:`similar_texts` adds an exact search by leading shingles.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from itertools import islice, repeat
 
 import numpy as np
@@ -17,8 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, slices
+from .common import connected_components, hot_join, let_through, materialize, sieve, slices, with_hits
+from .wordhash import Words, mixed, parts, runs, summed
 
+#: Words of a shingle and least Jaccard similarity of texts that are similar.
+WIDTH, SIMILARITY = 5, 0.8
+#: Pairs of texts of more than SURE shingles that lie further apart than FAR bits are not verified: texts of a similarity of 0.8 lie 9.7 bits apart, with a deviation of 2.9.
+SURE, FAR = 64, 22
 #: Shingle hashes turned into bits at a time: bounds a task's memory for a text of any length.
 BLOCK = 1 << 15
 
@@ -78,6 +89,138 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def ranked(words: Words, width: int) -> list[np.ndarray]:
+    """The distinct ``width``-word shingles of each text as hashes, longest shingles first: a fixed order in which rare ones tend to come early.
+
+    A text of fewer words is one shingle; one without words has the shingle zero.
+    """
+    n = np.where(words.counts >= width, words.counts - width + 1, np.minimum(words.counts, 1))
+    start = parts(words.first[:-1], n)
+    end = np.minimum(start + width, np.repeat(words.first[1:], n))
+    letters = np.append(0, np.cumsum(words.end - words.start))
+    length = np.minimum(letters[end] - letters[start], 255).astype(np.uint64)
+    rank = (np.uint64(255) - length) << np.uint64(56) | runs(summed(words.hashes), start, end) >> np.uint64(8)
+    at = np.append(0, np.cumsum(n)).tolist()
+    return [np.unique(rank[a:b]) if a < b else np.zeros(1, np.uint64) for a, b in itertools.pairwise(at)]
+
+
+def of_shingles(shingles: np.ndarray) -> int:
+    """Signed 64-bit SimHash of distinct shingles."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), BLOCK):
+        ones += np.unpackbits(mixed(shingles[at : at + BLOCK]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64)[0])
+
+
+def leading(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles, of which two texts of that similarity must share one."""
+    return shingles[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("text_key"), F.lower("text").alias("text"))
+
+
+def bucketed(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``text_key, fp, n, keys``: fingerprint, number of shingles, and those leading shingles that are in two texts; copies collapse."""
+
+    def shingles_of(part):
+        return part.column(0), ranked(Words(part.column(1)), width)
+
+    def first(batches):
+        for part in slices(batches):
+            keys, sets = shingles_of(part)
+            heads = [leading(s, similarity) for s in sets]
+            of = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(np.concatenate(heads).view(np.int64))], ["text_key", "key"])
+
+    twice = texts.mapInArrow(first, "text_key long, key long").groupBy("key").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b").select("key")
+    bits = texts.sparkSession.sparkContext.broadcast(sieve(twice, "key"))
+
+    def second(batches):
+        for part in slices(batches):
+            keys, sets = shingles_of(part)
+            heads = [h[let_through(bits.value, h)] for h in (leading(s, similarity) for s in sets)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, heads)]), pa.int32()), pa.array(np.concatenate(heads).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([of_shingles(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists], ["text_key", "fp", "n", "keys"])
+
+    return texts.mapInArrow(second, "text_key long, fp long, n int, keys array<long>").groupBy("text_key").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+
+
+def verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of distinct ``pairs(u, v)`` of text keys whose shingles have at least that Jaccard similarity."""
+    pairs = materialize(pairs, "pairs")
+    named = pairs.select(F.explode(F.array("u", "v")).alias("text_key")).distinct()
+
+    def run(batches):
+        for part in slices(batches):
+            sets = ranked(Words(part.column(1)), width)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["text_key", "shingles"])
+
+    some = with_hits(texts, "text_key", named).where("hit").select("text_key", "text").mapInArrow(run, "text_key long, shingles array<long>")
+    sets = materialize(some.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "shingles")
+    both = hot_join(pairs, sets.toDF("u", "a"), "u")
+    both = materialize(both, "pairs")
+    both = hot_join(both, sets.toDF("v", "b"), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
+
+
+def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """``text_key, root`` of all texts that are linked to another one: pairs of distinct texts whose ``width``-word shingles have at least that Jaccard similarity, all of them.
+
+    Pairs to be verified come from the fingerprints that differ in at most two bits, and from leading shingles (the
+    first ``(1 - similarity) * n + 1`` in a fixed order, of which such a pair shares one): first each text with the
+    least one of its bucket, then, within buckets, what is still in different components. So a large group of near
+    copies costs one pair a member and bucket. Before their shingles are compared, pairs are sieved by their fingerprints.
+    """
+    texts = keyed(docs)
+    found = materialize(bucketed(texts, width, similarity), "buckets")
+    nodes = found.groupBy("fp").agg(F.min("text_key").alias("u"))
+    close = links(nodes.select("fp")).toDF("fp", "other").join(nodes, "fp").join(nodes.toDF("other", "v"), "other").select("u", "v")
+    same = found.select("fp", F.col("text_key").alias("v")).join(nodes, "fp").select("u", "v")
+    rows = materialize(found.select("text_key", "fp", "n", F.explode("keys").alias("key")), "bucket-rows")
+    near = (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9) & ((F.least("n", "m") <= SURE) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("fq"))) <= FAR))
+    heads = rows.groupBy("key").agg(F.min(F.struct("text_key", "fp", "n")).alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key", F.col("head.text_key").alias("u"), F.col("head.fp").alias("fq"), F.col("head.n").alias("m"))
+    star = hot_join(rows, heads, "key").where(near).select("u", F.col("text_key").alias("v"))
+    pairs = close.unionByName(same).unionByName(star).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    linked = materialize(verified(texts, pairs, width, similarity), "links")
+    roots = materialize(connected_components(linked), "roots")
+    rooted = rows.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
+    parts_of = rooted.groupBy("key", "root").count()
+    most = parts_of.groupBy("key").agg(F.max(F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", F.col("most.root").alias("most"))
+    mixed_rows = materialize(hot_join(materialize(rooted, "rooted"), materialize(most, "most"), "key"), "mixed-buckets")
+    few = mixed_rows.where("root <> most").select("key", F.col("text_key").alias("u"), F.col("fp").alias("fq"), F.col("n").alias("m"), F.col("root").alias("of"))
+    across = mixed_rows.join(few, "key").where((F.col("root") != F.col("of")) & near).select(F.least("u", "text_key").alias("u"), F.greatest("u", "text_key").alias("v")).distinct()
+    late = verified(texts, across.join(pairs, ["u", "v"], "left_anti"), width, similarity)
+    return connected_components(linked.unionByName(late)).select(F.col("node").alias("text_key"), "root")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of equal or similar texts: that with the smallest doc_id, and of those the one whose row has the smallest hash.
+
+    A null doc_id comes after all others. Null texts count as empty. Rows that are equal whole are one. Other columns
+    stay, whatever their names; an empty table gives an empty one. Only rows that may go are shuffled with their texts.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    rows = docs.toDF(*names)
+    rows = rows.withColumn("row_key", F.xxhash64(*names)).withColumn("doc_id", doc_id.cast("long")).withColumn("text_key", F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
+    keys = materialize(rows.select("row_key", "doc_id", "text_key"), "rows")
+    roots = materialize(similar_texts(docs, width, similarity), "similar")
+    rooted = materialize(hot_join(keys, roots, "text_key", "left").select("row_key", "doc_id", F.coalesce("root", "text_key").alias("root")), "rooted-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+    first = rooted.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("root", "first")
+    group = materialize(hot_join(rooted, first, "root"), "groups")
+    gone = group.where(F.col("row_key") != F.col("first.row_key")).select("row_key").distinct()
+    again = group.where(F.col("row_key") == F.col("first.row_key")).groupBy("row_key").count().where("count > 1").select("row_key")
+    marked = with_hits(rows, "row_key", gone.unionByName(again))
+    left = marked.where("hit").join(gone, "row_key", "left_anti")
+    repeated = left.join(again, "row_key", "left_semi").dropDuplicates(names)
+    return marked.where("not hit").select(*names).unionByName(left.join(again, "row_key", "left_anti").select(*names)).unionByName(repeated.select(*names)).toDF(*docs.columns)
+
+
 def query(docs: DataFrame) -> DataFrame:
     """The digest of :func:`near_duplicates` under its contract."""
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -161,11 +161,11 @@ def train(segments: list[tuple[list[str], list[bool]]], steps: int = STEPS) -> C
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int) -> DataFrame:
-    """``doc_id, toxic, text`` of a bounded number of labelled documents outside the held-out fold."""
+    """``doc_id, toxic, text`` of a bounded number of labelled documents outside the held-out fold; of rows with one id the least text counts."""
     ids = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = [ids.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, toxic_rows), (0, clean_rows))]
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return given.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "toxic", "text")
+    return given.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def labelling_units(rows: DataFrame) -> set[str]:

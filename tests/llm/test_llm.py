@@ -93,13 +93,50 @@ def test_transducer_emits_early_and_forgets():
     v = bpe.codec(PATH).v
     machine, data = bpe.Transducer(v), "abehtions".encode() * 9000
     early = machine.push(data)
-    assert len(machine.data) <= 2 * v.lookahead + v.longest
+    assert len(machine.last) <= 2 * v.lookahead + v.longest
     ids = early + machine.finish()
     assert b"".join(v.texts[i] for i in ids) == data
-    assert all(v.neighbours(v.texts[a], v.texts[b]) for a, b in itertools.pairwise(ids))
+    assert all(v.neighbours(a, b) for a, b in itertools.pairwise(ids))
     assert all(v.merged(t) == [t] for t in list(v.ids)[:: len(v.ids) // 500])
 
 
+def small_vocabulary(path, rng, letters="abc", merges=9):
+    tokens, made = list(letters), []
+    while len(made) < merges:
+        left, right = rng.choice(tokens), rng.choice(tokens)
+        if left + right not in tokens:
+            made.append(f"{left} {right}")
+            tokens.append(left + right)
+    path.write_text(json.dumps({"added_tokens": [], "model": {"vocab": {t: k for k, t in enumerate(tokens)}, "merges": made}}))
+    return bpe.Vocabulary(str(path))
+
+
+def test_lookahead_suffices_by_brute_force(tmp_path):
+    rng = random.Random(5)
+    for k in range(40):
+        v = small_vocabulary(tmp_path / f"{k}.json", rng)
+        for _ in range(25):
+            data = "".join(rng.choices("abc", k=rng.randrange(1, 3 * v.lookahead))).encode()
+            more = "".join(rng.choices("abc", k=rng.randrange(1, 12))).encode()
+            now, later = v.merged(data), v.merged(data + more)
+            ends = list(itertools.accumulate(map(len, now)))
+            sure = [t for t, end in zip(now, ends, strict=True) if end <= len(data) - v.lookahead]
+            assert later[: len(sure)] == sure
+            machine, out = bpe.Transducer(v), []
+            for at in range(0, len(data), 3):
+                out += machine.push(data[at : at + 3])
+                assert len(machine.last) <= v.lookahead + 3
+            out += machine.finish()
+            assert [v.texts[i] for i in out] == now
+
+
+def test_long_white_space(library):
+    for text in (" " * 300_000, "\n" * 300_000, "x " + " " * 300_000 + "y", "x" * 300_000, None):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert packing.token_array(text, PATH)[:-1].tolist() == ids
+        assert [k for block in bpe.codec(PATH).encode(text or "") for k in block] == ids
+
+
 def test_transport_streams_round_trip(spark):
     texts = ODD + ["x" * n for n in (575, 576, 577, 9216, 9217, 20_000)]
     streams = mpegts.mux(frame(spark, texts))
@@ -455,3 +492,57 @@ def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert json.dumps(sorted(__spark_entry__.oracle_sql()))
+
+
+def jaccard_groups(texts, width=5, similarity=0.8):
+    """Distinct texts by brute force: text -> the texts reachable over links."""
+    distinct = sorted({t or "" for t in texts})
+    sets = []
+    for t in distinct:
+        words = wordhash.words_of(t.lower())
+        sets.append({tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else {()})
+    root = list(range(len(distinct)))
+    for a, b in itertools.combinations(range(len(distinct)), 2):
+        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    return {t: root[k] for k, t in enumerate(distinct)}
+
+
+def near_texts(rng, families=14):
+    words = [a + b for a in ("lo", "mi", "ta", "ru", "se") for b in ("na", "vi", "dor", "ke", "pum", "s")]
+    out = [None, "", " \n", "One two", "one  TWO", "one two three four five", "\u4e00\u4e01\u4e02\u4e03\u4e04\u4e05\u4e06\u4e07", "\u4e00\u4e01\u4e02\u4e03\u4e04\u4e05\u4e06\u4e07\u4e08"]
+    for f in range(families):
+        base = [rng.choice(words) for _ in range(rng.choice((12, 40, 150, 400)))]
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 25)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            out.append(" ".join(copy) if f % 2 else "\n".join(copy).upper())
+    return out
+
+
+def test_one_row_of_each_near_duplicate_group_by_brute_force(spark):
+    rng = random.Random(21)
+    texts = near_texts(rng)
+    texts += rng.choices(texts, k=20)
+    ids = [rng.randrange(1000) if k % 9 else None for k in range(len(texts))]
+    rows = [(i, t, "en", "s", k % 3, "x") for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    rows += rows[:15]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, hit int, row_key string")
+    groups = jaccard_groups(texts)
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    got = got.collect()
+    assert sorted(groups[r["text"] or ""] for r in got) == sorted(set(groups.values()))
+    least = defaultdict(lambda: float("inf"))
+    for i, t, *_ in rows:
+        least[groups[t or ""]] = min(least[groups[t or ""]], float("inf") if i is None else i)
+    assert all((float("inf") if r["doc_id"] is None else r["doc_id"]) == least[groups[r["text"] or ""]] for r in got)
+    assert {tuple(r) for r in got} <= set(rows)
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_unknown_language_has_no_letters(spark):
+    df = frame(spark, ["½ ² Ⅷ ①", "12 _ -", None, "", "ab"])
+    assert [r["lang_pred"] == "und" for r in langid.query(df).orderBy("doc_id").collect()][:4] == [True] * 4
