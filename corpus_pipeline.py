@@ -14,29 +14,27 @@ from anchorline.llm.queries import vocabulary_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the isolation forest reject go."""
+    """Documents that the base rules or the isolation forest reject go, null and empty texts among them; an empty table stays empty."""
     return quality.kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go."""
+    """Documents without a recognised language go, null texts and texts without letters among them; an empty table stays empty."""
     return langid.kept_rows(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs across documents go, but for their first place; documents stay, with ``n_chars`` as it is then."""
+    """Lines whose template recurs across documents, and passages, go, but for their first place; all rows stay, with ``n_chars`` as it is then, null for null texts."""
     return linededup.without_recurring(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id. Rows with a null id stay."""
-    groups = simhash.near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each group of equal or similar texts (five words, similarity 0.8) stays, the one with the smallest id; different texts under one id are rows of their own."""
+    return simhash.one_of_each(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences. A null or empty text is one piece of one token; repeated rows are packed each; an empty table gives no pieces."""
     return packing.query(docs, vocabulary_path())
 
 
