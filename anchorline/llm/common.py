@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes handled at a time inside a task, so that one Arrow batch of long texts never becomes one list of words.
 SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
 #: Bits of a bitmap of hashed values; keys that hold more than this share of a table's rows are joined apart.
-SIEVE_BITS, HOT_SHARE = 1 << 26, 1e-3
+SIEVE_BITS, HOT_SHARE, HOT_ROWS = 1 << 26, 1e-3, 1 << 12
 #: Bits of a bitmap that is broadcast as rows.
 ROW_BITS = 1 << 25
 
@@ -83,12 +83,13 @@ def with_hits(df: DataFrame, hashed: str, keys: DataFrame, bits: int = ROW_BITS)
 def hot_join(rows: DataFrame, named: DataFrame, key: str, how: str = "inner", share: float = HOT_SHARE) -> DataFrame:
     """``rows.join(named, key, how)`` for ``named`` with one row a key and ``how`` inner, left or left_semi.
 
-    Keys with more than ``share`` of all rows, of which there are fewer than ``1 / share``, are joined by a
-    broadcast, so that no key's rows meet in one task; all others are joined by a shuffle.
+    Keys with more than HOT_ROWS rows and more than ``share`` of all, of which there are fewer than ``1 / share``, are
+    joined by a broadcast, so that no key's rows meet in one task; all others are joined by a shuffle. ``rows`` are files.
     """
-    counts = rows.groupBy(key).count()
-    most = max(1.0, share * (rows.count() or 1))
-    hot = materialize(counts.where(F.col("count") > most).select(key), "hot-keys")
+    hot = materialize(rows.groupBy(key).count().where(F.col("count") > HOT_ROWS), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(named, key, how)
+    hot = hot.where(F.col("count") > share * rows.count()).select(key)
     few = F.broadcast(named.join(F.broadcast(hot), key, "left_semi"))
     marked = rows.join(F.broadcast(hot.withColumn("hot_key", F.lit(True))), key, "left")
     apart, rest = marked.where("hot_key").drop("hot_key"), marked.where("hot_key is null").drop("hot_key")

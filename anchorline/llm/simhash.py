@@ -28,8 +28,8 @@ from .wordhash import Words, mixed, parts, runs, summed
 
 #: Words of a shingle and least Jaccard similarity of texts that are similar.
 WIDTH, SIMILARITY = 5, 0.8
-#: Pairs of texts of more than SURE shingles that lie further apart than FAR bits are not verified: texts of a similarity of 0.8 lie 9.7 bits apart, with a deviation of 2.9.
-SURE, FAR = 64, 22
+#: Pairs of texts of more than SURE shingles that lie further apart than FAR bits of 128 are not verified: texts of a similarity of 0.8 lie 20 bits apart, with a deviation of 4, others 64.
+SURE, FAR = 32, 42
 #: Shingle hashes turned into bits at a time: bounds a task's memory for a text of any length.
 BLOCK = 1 << 15
 
@@ -104,12 +104,14 @@ def ranked(words: Words, width: int) -> list[np.ndarray]:
     return [np.unique(rank[a:b]) if a < b else np.zeros(1, np.uint64) for a, b in itertools.pairwise(at)]
 
 
-def of_shingles(shingles: np.ndarray) -> int:
-    """Signed 64-bit SimHash of distinct shingles."""
-    ones = np.zeros(64, np.int64)
+def of_shingles(shingles: np.ndarray) -> tuple[int, int]:
+    """128-bit SimHash of distinct shingles, as two signed halves."""
+    ones = np.zeros(128, np.int64)
     for at in range(0, len(shingles), BLOCK):
-        ones += np.unpackbits(mixed(shingles[at : at + BLOCK]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64)[0])
+        hashes = mixed(shingles[at : at + BLOCK])
+        both = np.stack([hashes, mixed(hashes)], axis=1)
+        ones += np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return tuple(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64).tolist())
 
 
 def leading(shingles: np.ndarray, similarity: float) -> np.ndarray:
@@ -122,7 +124,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def bucketed(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``text_key, fp, n, keys``: fingerprint, number of shingles, and those leading shingles that are in two texts; copies collapse."""
+    """``text_key, fp, more, n, keys``: two halves of the fingerprint, number of shingles, and those leading shingles that are in two texts; copies collapse."""
 
     def shingles_of(part):
         return part.column(0), ranked(Words(part.column(1)), width)
@@ -142,9 +144,10 @@ def bucketed(texts: DataFrame, width: int, similarity: float) -> DataFrame:
             keys, sets = shingles_of(part)
             heads = [h[let_through(bits.value, h)] for h in (leading(s, similarity) for s in sets)]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, heads)]), pa.int32()), pa.array(np.concatenate(heads).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([keys, pa.array([of_shingles(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists], ["text_key", "fp", "n", "keys"])
+            low, high = zip(*map(of_shingles, sets), strict=True)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists], ["text_key", "fp", "more", "n", "keys"])
 
-    return texts.mapInArrow(second, "text_key long, fp long, n int, keys array<long>").groupBy("text_key").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    return texts.mapInArrow(second, "text_key long, fp long, more long, n int, keys array<long>").groupBy("text_key").agg(*(F.first(c).alias(c) for c in ("fp", "more", "n", "keys")))
 
 
 def verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -180,10 +183,12 @@ def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMIL
     nodes = found.groupBy("fp").agg(F.min("text_key").alias("u"))
     close = links(nodes.select("fp")).toDF("fp", "other").join(nodes, "fp").join(nodes.toDF("other", "v"), "other").select("u", "v")
     same = found.select("fp", F.col("text_key").alias("v")).join(nodes, "fp").select("u", "v")
-    rows = materialize(found.select("text_key", "fp", "n", F.explode("keys").alias("key")), "bucket-rows")
-    near = (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9) & ((F.least("n", "m") <= SURE) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("fq"))) <= FAR))
-    heads = rows.groupBy("key").agg(F.min(F.struct("text_key", "fp", "n")).alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key", F.col("head.text_key").alias("u"), F.col("head.fp").alias("fq"), F.col("head.n").alias("m"))
+    rows = materialize(found.select("text_key", "fp", "more", "n", F.explode("keys").alias("key")), "bucket-rows")
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("other_more")))
+    near = (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9) & ((F.least("n", "m") <= SURE) | (apart <= FAR))
+    heads = rows.groupBy("key").agg(F.min("text_key").alias("u"), F.min_by("fp", "text_key").alias("other_fp"), F.min_by("more", "text_key").alias("other_more"), F.min_by("n", "text_key").alias("m"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
     star = hot_join(rows, heads, "key").where(near).select("u", F.col("text_key").alias("v"))
+    star = materialize(star.distinct(), "star")
     pairs = close.unionByName(same).unionByName(star).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     linked = materialize(verified(texts, pairs, width, similarity), "links")
     roots = materialize(connected_components(linked), "roots")
@@ -191,7 +196,7 @@ def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMIL
     parts_of = rooted.groupBy("key", "root").count()
     most = parts_of.groupBy("key").agg(F.max(F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", F.col("most.root").alias("most"))
     mixed_rows = materialize(hot_join(materialize(rooted, "rooted"), materialize(most, "most"), "key"), "mixed-buckets")
-    few = mixed_rows.where("root <> most").select("key", F.col("text_key").alias("u"), F.col("fp").alias("fq"), F.col("n").alias("m"), F.col("root").alias("of"))
+    few = mixed_rows.where("root <> most").select("key", F.col("text_key").alias("u"), F.col("fp").alias("other_fp"), F.col("more").alias("other_more"), F.col("n").alias("m"), F.col("root").alias("of"))
     across = mixed_rows.join(few, "key").where((F.col("root") != F.col("of")) & near).select(F.least("u", "text_key").alias("u"), F.greatest("u", "text_key").alias("v")).distinct()
     late = verified(texts, across.join(pairs, ["u", "v"], "left_anti"), width, similarity)
     return connected_components(linked.unionByName(late)).select(F.col("node").alias("text_key"), "root")
