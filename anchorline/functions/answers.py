@@ -18,28 +18,17 @@ KINDS = ("text-like", "colorful", "mixed", "decorative")
 TEXT_CAP, IMAGE_OBJECTS, GROUNDED, ATTRIBUTES = 10_000, 30, 100, 12
 
 
+_DECODER = json.JSONDecoder(parse_constant=lambda _: 1 / 0)
+
+
 def _object_in(text: str | None) -> str | None:
     """The first balanced ``{...}`` outside strings, if it is valid JSON."""
     if text is None or (first := text.find("{")) < 0:
         return None
-    depth, at, quoted = 0, first, False
-    while at < len(text):
-        c = text[at]
-        if quoted:
-            at += c == "\\"
-            quoted = c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                try:
-                    json.loads(text[first : at + 1], parse_constant=lambda _: 1 / 0)
-                except (ValueError, ZeroDivisionError, RecursionError):
-                    return None
-                return text[first : at + 1]
-        at += 1
-    return None
+    try:
+        return text[first : _DECODER.raw_decode(text, first)[1]]
+    except (ValueError, ZeroDivisionError, RecursionError):
+        return None
 
 
 @F.pandas_udf(T.StringType())

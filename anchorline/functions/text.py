@@ -49,12 +49,16 @@ def _numeric(text: Column, pattern: str, to_hex) -> Column:
 
 
 def xml_unescape(text: Column) -> Column:
-    """Named, hexadecimal, then decimal references; ``&amp;`` last."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = _numeric(text, "&#x([0-9a-f]+);", F.upper)
-    text = _numeric(text, "&#([0-9]+);", lambda digits: F.when(F.length(digits) <= 7, F.conv(digits, 10, 16)).otherwise("FFFFFFF"))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    """Named, hexadecimal, then decimal references; ``&amp;`` last. Text without any stays as it is."""
+
+    def decoded(text: Column) -> Column:
+        for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
+            text = F.replace(text, F.lit(name), F.lit(char))
+        text = _numeric(text, "&#x([0-9a-f]+);", F.upper)
+        text = _numeric(text, "&#([0-9]+);", lambda digits: F.when(F.length(digits) <= 7, F.conv(digits, 10, 16)).otherwise("FFFFFFF"))
+        return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 
 
 def xml_strip(text: Column) -> Column:

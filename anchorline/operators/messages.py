@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .references import EXPIRED, FAILED
@@ -15,30 +15,46 @@ def expand_blocks(blocks: DataFrame, segments: DataFrame, contexts: DataFrame) -
 
     ``segments`` are those of :func:`references.split_references` with the ``doc_id`` that references resolve to;
     ``contexts(doc_id, context)`` is joined once a document. If one reference of a block has none, the whole block
-    says so. Blocks without references stay as they are.
+    says so. Blocks without references, and all other columns of blocks, stay as they are.
     """
     filled = segments.join(contexts, "doc_id", "left").withColumn("failed", (F.col("kind") == "ref") & F.col("context").isNull())
     value = F.when(F.col("kind") == "ref", F.col("context")).otherwise(F.col("text"))
     joined = filled.groupBy(*KEYS).agg(F.bool_or("failed").alias("failed"), F.array_join(F.array_sort(F.collect_list(F.struct("seg_no", value.alias("value"))))["value"], "\n\n").alias("joined"))
     text = F.when(F.col("failed"), FAILED.format(EXPIRED)).when(F.col("joined").isNotNull(), F.col("joined")).otherwise(F.col("text"))
-    return blocks.join(joined, KEYS, "left").select(*KEYS, F.when(F.col("failed").isNotNull(), "text").otherwise(F.col("type")).alias("type"), text.alias("text"), F.col("failed").isNotNull().alias("expanded"))
+    others = [c for c in blocks.columns if c not in (*KEYS, "type", "text", "expanded")]
+    return blocks.join(joined, KEYS, "left").select(*KEYS, F.when(F.col("failed").isNotNull(), "text").otherwise(F.col("type")).alias("type"), text.alias("text"), *others, F.col("failed").isNotNull().alias("expanded"))
 
 
-def rebuild_messages(blocks: DataFrame, max_depth: int = 4) -> DataFrame:
-    """``conv_id, turn, content``: nested content as JSON, put together from the deepest level up; a message of one plain string stays one."""
-    block = F.to_json(F.struct("type", "text"))
-    nodes = blocks.select(*KEYS, "type", F.when(F.col("type") == "string", F.to_json(F.array("text"))).otherwise(block).alias("json"), "text")
-    for depth in range(max_depth, 0, -1):
-        deep = nodes.where(F.size("path") == depth + 1).groupBy("conv_id", "turn", F.slice("path", 1, depth).alias("path")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("path", "json")))["json"], ",").alias("inner"))
-        upper = nodes.where(F.size("path") <= depth).join(deep, KEYS, "left")
-        nodes = upper.select(*KEYS, "type", F.when(F.col("inner").isNotNull(), F.concat(F.lit('{"type":"tool-result","content":['), F.col("inner"), F.lit("]}"))).otherwise(F.col("json")).alias("json"), "text")
-    plain = F.regexp_replace("json", r"(?s)^\[(.*)\]$", "$1")
-    entry = F.when(F.col("type") == "string", plain).otherwise(F.col("json"))
-    rows = nodes.select("conv_id", "turn", "path", entry.alias("json"), ((F.size("path") == 0) & (F.col("type") == "string")).alias("bare"), "text")
-    whole = rows.groupBy("conv_id", "turn").agg(F.bool_or("bare").alias("bare"), F.first("text").alias("text"), F.array_join(F.array_sort(F.collect_list(F.struct("path", "json")))["json"], ",").alias("inner"))
-    return whole.select("conv_id", "turn", F.when(F.col("bare"), F.col("text")).otherwise(F.concat(F.lit("["), F.col("inner"), F.lit("]"))).alias("content"))
+def _closed(items: Column) -> Column:
+    """JSON of blocks in order of their paths: what follows a block tells how many open tool results end behind it."""
 
+    def piece(x: Column, k: Column) -> Column:
+        after = F.get(items, k + 1)
+        level, following = F.size(x["path"]), F.when(after.isNull(), 1).otherwise(F.size(after["path"]))
+        inside = x["opened"] & (following > level)
+        fields = F.regexp_replace(F.regexp_replace(x["json"], r"\}$", ""), r"^\{(?=.)", "{")
+        begin = F.when(x["opened"], F.concat(fields, F.when(F.length(fields) > 1, ",").otherwise(""), F.lit('"content":['))).otherwise(x["json"])
+        ends = F.greatest(level - following, F.lit(0)) + F.when(x["opened"] & ~inside, 1).otherwise(0)
+        return F.concat(begin, F.repeat(F.lit("]}"), ends), F.when(after.isNull() | inside, "").otherwise(","))
 
-def expand_messages(blocks: DataFrame, segments: DataFrame, contexts: DataFrame, max_depth: int = 4) -> DataFrame:
+    return F.array_join(F.transform(items, piece), "")
+
+
+def rebuild_messages(blocks: DataFrame) -> DataFrame:
+    """``conv_id, turn, content``: nested content as JSON; a message of one plain string stays one.
+
+    Every field of a block that was not expanded stays, as :func:`read_messages` gives it in ``block``; an expanded one is a text block.
+    """
+    new = F.to_json(F.struct(F.lit("text").alias("type"), "text"))
+    changed = F.col("expanded") if "expanded" in blocks.columns else F.lit(False)
+    own = F.coalesce("block", F.to_json(F.struct("type", "text"))) if "block" in blocks.columns else F.to_json(F.struct("type", "text"))
+    opened = F.col("opened") if "opened" in blocks.columns else F.lit(False)
+    bare = (F.size("path") == 0) & (F.col("type") == "string")
+    nodes = blocks.select("conv_id", "turn", "text", bare.alias("bare"), F.struct("path", F.when(changed, new).otherwise(own).alias("json"), opened.alias("opened")).alias("item"))
+    whole = nodes.groupBy("conv_id", "turn").agg(F.bool_or("bare").alias("bare"), F.first("text").alias("text"), F.array_sort(F.collect_list("item")).alias("items"))
+    return whole.select("conv_id", "turn", F.when(F.col("bare"), F.col("text")).otherwise(F.concat(F.lit("["), _closed(F.col("items")), F.lit("]"))).alias("content"))
+
+
+def expand_messages(blocks: DataFrame, segments: DataFrame, contexts: DataFrame) -> DataFrame:
     """:func:`expand_blocks`, then :func:`rebuild_messages`."""
-    return rebuild_messages(expand_blocks(blocks, segments, contexts), max_depth)
+    return rebuild_messages(expand_blocks(blocks, segments, contexts))

@@ -48,7 +48,7 @@ QUESTIONS_SQL = f"SELECT doc_id, {sql_list(QUESTIONS)}[(doc_id % {len(QUESTIONS)
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns with a reference in one of five forms, by turn and conversation; every sixth has none."""
-    token, name = F.concat(F.lit("tok"), F.col("conv_id") % 50), F.concat(F.lit("doc"), F.col("conv_id") % 50, F.lit(".md"))
+    token, name = F.concat(F.lit("tok"), F.col("conv_id")), F.concat(F.lit("doc"), F.col("conv_id"), F.lit(".md"))
     hidden = encode_reference_marker(name, token, F.lit("text/markdown"))
     form = (F.col("conv_id") + F.col("turn")) % 6
     marked = (

@@ -14,6 +14,7 @@ from ..operators import blocks as corpus
 from ..operators import context, docx, markdown, messages, parts, pdftext, pptx, references, releases, routing, vision, xlsx, xmind
 from ..sources.commits import FIELD, commit_fields
 from ..sources.messages import read_messages
+from ..sources.scratch import shared_dir
 from ..streaming import jobs
 from . import derive
 from .derive import table
@@ -66,15 +67,14 @@ def p5_p6_plan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vision.render_prompts(vision.plan_requests(derive.questions(spark, sf_dir))).select("doc_id", "mode", "max_tokens", "timeout_ms", "prompt")
 
 
-@registered("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'valid' WHEN 1 THEN 'not_data_url' WHEN 2 THEN 'unsupported' WHEN 3 THEN 'malformed' ELSE CASE WHEN octet_length(encode(text)) > 2000 THEN 'too_large' ELSE 'valid' END END AS verdict,
-CASE WHEN doc_id % 5 = 0 THEN octet_length(encode(text)) WHEN doc_id % 5 = 4 AND octet_length(encode(text)) <= 2000 THEN octet_length(encode(text)) END::BIGINT AS est_bytes,
-CASE WHEN doc_id % 5 = 0 OR (doc_id % 5 = 4 AND octet_length(encode(text)) <= 2000) THEN sha256(text) END AS content_sha,
-CASE WHEN doc_id % 5 = 0 OR (doc_id % 5 = 4 AND octet_length(encode(text)) <= 2000) THEN 'image/jpeg' END AS mime FROM documents WHERE doc_id % 5 <> 0 OR octet_length(encode(text)) <= 2000""")
+@registered("""WITH d AS (SELECT *, octet_length(encode(text)) AS b, doc_id % 5 AS k FROM documents), g AS (SELECT *, k IN (0, 4) AND b <= 2000 AS good FROM d)
+SELECT doc_id, CASE k WHEN 1 THEN 'not_data_url' WHEN 2 THEN 'unsupported' WHEN 3 THEN 'malformed' ELSE CASE WHEN good THEN 'valid' ELSE 'too_large' END END AS verdict,
+CASE WHEN good THEN b END::BIGINT AS est_bytes, CASE WHEN good THEN sha256(text) END AS content_sha, CASE WHEN good THEN 'image/jpeg' END AS mime FROM g""")
 def p8_image_data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.base64(F.encode("text", "UTF-8"))
     d = F.col("doc_id") % 5
     url = F.when(d == 1, "no url").when(d == 2, "data:text/plain;base64,AA==").when(d == 3, "data:image/png;base64,***").otherwise(F.concat(F.lit("data:image/JPG;base64,"), code))
-    given = table(spark, sf_dir, "documents").where((d != 0) | (F.octet_length("text") <= 2000)).select("doc_id", url.alias("url"))
+    given = table(spark, sf_dir, "documents").select("doc_id", url.alias("url"))
     return vision.parse_image_data_urls(given, "url", 2000).select("doc_id", "verdict", "est_bytes", F.sha2("content", 256).alias("content_sha"), "mime")
 
 
@@ -109,7 +109,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.lit("user/message").alias("event_type"), F.col("role").alias("source_kind"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.array(F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text"))).alias("content"))
 
 
-_CARDS = "SELECT conv_id AS session_id, conv_id || '-' || turn AS id, 'doc' || conv_id % 50 || '.md' AS name, 'text/markdown' AS mime, 'MD' AS ext, turn - 0.01::DOUBLE AS anchor_seq FROM conversations WHERE role = 'user' AND (conv_id + turn) % 6 IN (0, 4)"
+_CARDS = "SELECT conv_id AS session_id, conv_id || '-' || turn AS id, 'doc' || conv_id || '.md' AS name, 'text/markdown' AS mime, 'MD' AS ext, turn - 0.01::DOUBLE AS anchor_seq FROM conversations WHERE role = 'user' AND (conv_id + turn) % 6 IN (0, 4)"
 
 
 @registered(_CARDS)
@@ -227,7 +227,7 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.split_references(derive.messages(spark, sf_dir), ["conv_id", "turn"])
 
 
-@registered("""WITH f AS (SELECT conv_id, turn, text, (conv_id + turn) % 6 AS form, conv_id % 50 AS k FROM conversations)
+@registered("""WITH f AS (SELECT conv_id, turn, text, (conv_id + turn) % 6 AS form, conv_id AS k FROM conversations)
 SELECT conv_id, turn, CASE form WHEN 0 THEN 'hidden' WHEN 1 THEN 'link' WHEN 2 THEN 'label' WHEN 3 THEN 'bare' ELSE 'hidden' END AS form, CASE WHEN form IN (0, 1, 4) THEN 'tok' || k END AS token, 'doc' || k || '.md' AS name FROM f WHERE form < 5
 UNION ALL SELECT conv_id, turn, 'hidden', 'tok' || k, 'doc' || k || '.md' FROM f WHERE form = 4""")
 def r3_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,19 +243,19 @@ def r4_message_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, store = _segments(spark, sf_dir), derive.store(spark, sf_dir)
     by_token = references.resolve_by_token(segments.where("kind = 'ref'"), store)
-    named = segments.where("kind = 'ref'").withColumn("msg_ts", F.timestamp_seconds(F.lit(3000)))
+    named = segments.where("kind = 'ref'").withColumn("msg_ts", F.timestamp_seconds(3000 + 60 * (F.col("conv_id") - F.col("conv_id") % 50)))
     by_name = references.resolve_by_name(named, store).drop("msg_ts")
     texts = segments.where("kind = 'text'").withColumn("doc_id", F.lit(None).cast("long"))
     return by_token.unionByName(by_name).unionByName(texts)
 
 
-@registered("""WITH f AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS form, conv_id % 50 AS k FROM conversations), r AS (SELECT * FROM f WHERE form < 5 UNION ALL SELECT * FROM f WHERE form = 4)
-SELECT conv_id, turn, CASE WHEN d.doc_id IS NOT NULL AND (form IN (0, 1, 4) OR 3000 - k * 60 <= 1800) THEN d.doc_id END AS doc_id FROM r LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id < 50 AND doc_id % 10 <> 3) d ON d.doc_id = r.k""")
+@registered("""WITH f AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS form, conv_id AS k FROM conversations), r AS (SELECT * FROM f WHERE form < 5 UNION ALL SELECT * FROM f WHERE form = 4)
+SELECT conv_id, turn, CASE WHEN d.doc_id IS NOT NULL AND (form IN (0, 1, 4) OR 3000 - k % 50 * 60 <= 1800) THEN d.doc_id END AS doc_id FROM r LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 10 <> 3) d ON d.doc_id = r.k""")
 def j6_j7_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir).where("kind = 'ref'").select("conv_id", "turn", "doc_id")
 
 
-@registered(f"""WITH f AS (SELECT conv_id, turn, text, (conv_id + turn) % 6 AS form, conv_id % 50 AS k FROM conversations), r AS (SELECT f.*, d.doc_id IS NOT NULL AND (form IN (0, 1, 4) OR 3000 - k * 60 <= 1800) AS good, 'context of ' || k AS c FROM f LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id < 50 AND doc_id % 10 <> 3) d ON d.doc_id = f.k),
+@registered(f"""WITH f AS (SELECT conv_id, turn, text, (conv_id + turn) % 6 AS form, conv_id AS k FROM conversations), r AS (SELECT f.*, d.doc_id IS NOT NULL AND (form IN (0, 1, 4) OR 3000 - k % 50 * 60 <= 1800) AS good, 'context of ' || k AS c FROM f LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 10 <> 3) d ON d.doc_id = f.k),
 t AS (SELECT *, trim(text, ' ' || chr(10)) AS s, chr(10) || chr(10) AS n FROM r)
 SELECT conv_id, turn, CASE WHEN form = 5 THEN text WHEN NOT good THEN '{references.FAILED.format(references.EXPIRED)}' WHEN form = 0 THEN CASE WHEN s = '' THEN '' ELSE s || n END || c || n || 'end' WHEN form IN (1, 2) THEN 'see' || n || c || CASE WHEN s = '' THEN '' ELSE n || s END WHEN form = 3 THEN c || CASE WHEN s = '' THEN '' ELSE n || s END ELSE c || n || c || CASE WHEN s = '' THEN '' ELSE n || s END END AS text, form < 5 AS expanded FROM t""")
 def a4_expand_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,20 +265,32 @@ def a4_expand_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.expand_blocks(blocks, segments, contexts).select("conv_id", "turn", "text", "expanded")
 
 
-@registered("SELECT conv_id, turn, count(*)::BIGINT AS blocks, 2::BIGINT AS nested, max(text) AS longest FROM conversations GROUP BY conv_id, turn")
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as content with a string, a picture, and a tool result whose texts lie under as many more tool results as the turn says (modulo 8)."""
+    k = F.col("turn") % 8
+    image = F.concat(F.lit('{"attachment":{"name":"p'), F.col("conv_id"), F.lit('.png"},"type":"image"}'))
+    texts = F.concat(F.lit('{"text":"'), F.md5("text"), F.lit('","type":"text","k":'), F.col("turn"), F.lit("}"))
+    tool = F.concat(F.lit('{"type":"tool-result","toolCallId":"t'), F.col("conv_id"), F.lit('","content":['))
+    nested = F.concat(F.expr("repeat('{\"type\":\"tool-result\",\"content\":[', cast(turn % 8 as int))"), texts, F.lit(","), texts, F.repeat(F.lit("]}"), k.cast("int")))
+    content = F.concat(F.expr("substr(to_json(array(text)), 1, length(to_json(array(text))) - 1)"), F.lit(","), image, F.lit(","), tool, nested, F.lit("]}]"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", content.alias("content"), F.lit(True).alias("is_array"))
+
+
+@registered("""WITH c AS (SELECT conv_id, turn, text, turn % 8 AS k FROM conversations), d AS (SELECT *, unnest(range(0, k)) AS j FROM c)
+SELECT conv_id, turn, '0' AS path, 'string' AS type, text, NULL AS attachment FROM c
+UNION ALL SELECT conv_id, turn, '1', 'image', NULL, '{"name":"p' || conv_id || '.png"}' FROM c
+UNION ALL SELECT conv_id, turn, '2', 'tool-result', NULL, NULL FROM c
+UNION ALL SELECT conv_id, turn, '2' || repeat('.0', (j + 1)::INT), 'tool-result', NULL, NULL FROM d
+UNION ALL SELECT conv_id, turn, '2' || repeat('.0', k::INT) || '.' || i, 'text', md5(text), NULL FROM c, (VALUES (0), (1)) AS v(i)""")
 def s3_read_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inner = F.array(F.struct(F.lit("text").alias("type"), F.col("text")), F.struct(F.lit("text").alias("type"), F.col("text")))
-    content = F.to_json(F.array(F.struct(F.lit("tool-result").alias("type"), inner.alias("content"))))
-    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", content.alias("content"), F.lit(True).alias("is_array"))
-    found = read_messages(given)
-    return found.groupBy("conv_id", "turn").agg(F.count_if(F.size("path") == 1).alias("blocks"), F.count_if(F.size("path") == 2).alias("nested"), F.max("text").alias("longest"))
+    found = read_messages(_nested(spark, sf_dir))
+    return found.select("conv_id", "turn", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "type", "text", "attachment")
 
 
-@registered("SELECT conv_id, turn, '[\"' || replace(text, chr(10), '\\n') || '\",{\"type\":\"tool-result\",\"content\":[{\"type\":\"text\",\"text\":\"x\"}]}]' AS content FROM conversations")
+@registered("""WITH c AS (SELECT *, (turn % 8)::INT AS k, '{"k":' || turn || ',"text":"' || md5(text) || '","type":"text"}' AS t FROM conversations)
+SELECT conv_id, turn, substr(to_json([text])::VARCHAR, 1, length(to_json([text])::VARCHAR) - 1) || ',{"attachment":{"name":"p' || conv_id || '.png"},"type":"image"},{"toolCallId":"t' || conv_id || '","type":"tool-result","content":[' || repeat('{"type":"tool-result","content":[', k) || t || ',' || t || repeat(']}', k) || ']}]' AS content FROM c""")
 def a4_rebuild_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = F.concat(F.lit("["), F.to_json(F.struct("text")).substr(F.lit(9), F.length(F.to_json(F.struct("text"))) - 9), F.lit(',{"type":"tool-result","content":[{"type":"text","text":"x"}]}]'))
-    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", content.alias("content"), F.lit(True).alias("is_array"))
-    return messages.rebuild_messages(read_messages(given))
+    return messages.rebuild_messages(read_messages(_nested(spark, sf_dir)))
 
 
 @registered("""WITH s AS (SELECT *, sum(n_chars) OVER w AS b, count(*) OVER w AS n FROM (SELECT doc_id, n_chars, doc_id % 4 AS owner FROM documents WHERE 200 * 60 - doc_id * 60 <= 6000 ) WINDOW w AS (PARTITION BY owner ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)) SELECT doc_id, owner FROM s WHERE n <= 16 AND b <= 60000""")
@@ -439,8 +451,8 @@ def b10_extract_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, stream: DataFrame, schema: str | None = None) -> DataFrame:
     """All rows that a stream gives for what lies in its source now."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/streams"
-    where = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared_dir(spark)
+    where = f"{base}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True)
     writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{where}/rows")
@@ -448,23 +460,21 @@ def _streamed(spark: SparkSession, stream: DataFrame, schema: str | None = None)
 
 def _event_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream, whether it is a folder of files or one file in the folder of tables."""
-    path, schema = f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
-        return spark.readStream.schema(schema).parquet(path)
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/{name}.parquet*")
 
 
-@registered("SELECT event_type || '|' || user_id % 100 AS cache_key, count(DISTINCT 1)::BIGINT AS n FROM events GROUP BY 1")
+@registered("SELECT event_type || '|' || user_id % 100 AS cache_key, 1::BIGINT AS n, true AS of_the_key FROM events GROUP BY 1")
 def t4_stream_dedup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = _event_stream(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.concat_ws("|", "event_type", F.col("user_id") % 100).alias("cache_key"), "ts")
     first = _streamed(spark, jobs.stream_dedup_requests(requests, "36500 days"))
-    return first.groupBy("cache_key").agg(F.count(F.lit(1)).alias("n"))
+    asked = _requests(spark, sf_dir).select("request_id", F.col("cache_key").alias("asked"))
+    return first.join(asked, "request_id").groupBy("cache_key").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("asked") == F.col("cache_key")).alias("of_the_key"))
 
 
 @registered(_CARDS)
 def t5_stream_attachment_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    token, name = F.concat(F.lit("tok"), F.col("conv_id") % 50), F.concat(F.lit("doc"), F.col("conv_id") % 50, F.lit(".md"))
+    token, name = F.concat(F.lit("tok"), F.col("conv_id")), F.concat(F.lit("doc"), F.col("conv_id"), F.lit(".md"))
     marked = F.when(((F.col("conv_id") + F.col("turn")) % 6).isin(0, 4), F.concat("text", markers.encode_reference_marker(name, token, F.lit("text/markdown")))).otherwise(F.col("text"))
     events = _event_stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.lit("user/message").alias("event_type"), F.col("role").alias("source_kind"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.array(F.struct(F.lit("text").alias("type"), marked.alias("text"))).alias("content"))
     return _streamed(spark, jobs.stream_attachment_cards(events).withColumn("anchor_seq", F.col("anchor_seq").cast("double")))

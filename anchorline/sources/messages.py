@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Nesting levels of tool results that are opened.
-MAX_DEPTH = 4
 
+def bracket_depth(content: Column) -> Column:
+    """How deep the arrays of a JSON text are nested, brackets inside of strings aside."""
+    brackets = F.regexp_replace(F.regexp_replace(content, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]]++", "")
+    steps = F.filter(F.split(brackets, ""), lambda c: c != "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
-def read_messages(df: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``conv_id, turn, path, type, text, attachment`` of ``df(conv_id, turn, content, is_array)``.
+    def step(at: Column, c: Column) -> Column:
+        now = at["now"] + F.when(c == "[", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(steps, start, step)["most"]
+
+
+def read_messages(df: DataFrame, depth: int | None = None) -> DataFrame:
+    """``conv_id, turn, path, type, text, attachment, block, opened`` of ``df(conv_id, turn, content, is_array)``.
 
     A string is one block at the empty path; an array gives a row for each block, strings included; blocks inside
-    a tool result follow under its path. Content that should be an array and is not gives no rows.
+    a tool result follow under its path, however deep. ``block`` is the block's JSON with all its fields, without the
+    ``content`` of a tool result that was ``opened``. Content that should be an array and is not gives no rows.
+    ``depth``: how deep arrays are nested; by default the content is read once to find out.
     """
-    plain = df.where("not is_array").select("conv_id", "turn", F.array().cast("array<int>").alias("path"), F.lit("string").alias("type"), F.col("content").alias("text"), F.lit(None).cast("string").alias("attachment"))
-    level = df.where("is_array").select("conv_id", "turn", F.array().cast("array<int>").alias("path"), F.try_parse_json("content").alias("v"))
-    out = plain
-    for depth in range(max_depth):
+    if depth is None:
+        depth = df.where("is_array").agg(F.max(bracket_depth(F.col("content")))).first()[0] or 0
+    start = F.array().cast("array<int>").alias("path")
+    out = df.where("not is_array").select("conv_id", "turn", start, F.lit("string").alias("type"), F.col("content").alias("text"), F.lit(None).cast("string").alias("attachment"), F.lit(None).cast("string").alias("block"), F.lit(False).alias("opened"))
+    level = df.where("is_array").select("conv_id", "turn", start, F.try_parse_json("content").alias("v"))
+    for _ in range(depth):
         items = level.select("conv_id", "turn", "path", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("pos", "v"))
         string = F.schema_of_variant("v") == "STRING"
         kind = F.when(string, "string").otherwise(F.coalesce(F.try_variant_get("v", "$.type", "string"), F.lit("unknown")))
         text = F.when(string, F.try_variant_get("v", "$", "string")).otherwise(F.try_variant_get("v", "$.text", "string"))
-        rows = items.select("conv_id", "turn", F.concat("path", F.array("pos")).alias("path"), kind.alias("type"), text.alias("text"), F.to_json(F.try_variant_get("v", "$.attachment", "variant")).alias("attachment"), F.try_variant_get("v", "$.content", "variant").alias("v"))
+        inner = F.try_variant_get("v", "$.content", "variant")
+        opened = F.coalesce((kind == "tool-result") & F.schema_of_variant(inner).startswith("ARRAY"), F.lit(False))
+        rest = F.map_filter(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, _: k != "content")
+        rows = items.select(
+            "conv_id", "turn", F.concat("path", F.array("pos")).alias("path"), kind.alias("type"), text.alias("text"), F.to_json(F.try_variant_get("v", "$.attachment", "variant")).alias("attachment"),
+            F.when(opened, F.to_json(rest)).otherwise(F.coalesce(F.to_json("v"), F.lit("null"))).alias("block"), opened.alias("opened"), inner.alias("v"),
+        )
         out = out.unionByName(rows.drop("v"))
-        level = rows.where((F.col("type") == "tool-result") & (F.schema_of_variant("v").startswith("ARRAY"))).select("conv_id", "turn", "path", "v")
+        level = rows.where("opened").select("conv_id", "turn", "path", "v")
     return out

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@functools.cache
+def _own() -> str:
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one where none is set and all runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: intermediate tables are written there")
+    return (named or _own()).rstrip("/")
 
 
 def written_once(df: DataFrame, name: str) -> DataFrame:
-    """``df``, worked out once: as a table in the folder of ``spark.checkpoint.dir`` where one is set, else kept on the executors' disks."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.persist(StorageLevel.DISK_ONLY)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """``df``, worked out once, as a table in the shared folder. It is not deleted."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
