@@ -68,12 +68,12 @@ def xml_strip(text: Column) -> Column:
 
 def xml_runs(xml: Column) -> Column:
     """The joined text of all run elements, of word-processing, drawing and spreadsheet parts."""
-    return xml_unescape(F.array_join(F.regexp_extract_all(xml, F.lit(r"(?i)<(a:t|w:t|t)(?:\s[^>]*)?>([\s\S]*?)</\1>"), F.lit(2)), ""))
+    return xml_unescape(F.array_join(F.regexp_extract_all(xml, F.lit(r"(?is)<(a:t|w:t|t)(?:\s[^>]*)?>(.*?)</\1>"), F.lit(2)), ""))
 
 
 def xml_elements(xml: Column, tag: str, group: int = 0) -> Column:
     """All elements of one name, shortest first end tag; ``group`` 1 gives what is inside."""
-    return F.regexp_extract_all(xml, F.lit(rf"(?i)<{tag}(?:\s[^>]*)?>([\s\S]*?)</{tag}>"), F.lit(group))
+    return F.regexp_extract_all(xml, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(group))
 
 
 def xml_attr(tag: Column, key: str) -> Column:

@@ -20,7 +20,7 @@ MAX_REFS = 16
 LINK = r"\[📎\s+([^\]\n]+)\]\(sfv-document://([^)\s]+)\)"
 LABEL = r"\[📎\s+([^\]\n]+)\]"
 BARE = r"(?:\A|\n)(📎\s+([^\n]+?))\s*(?=\n|\Z)"
-ENVELOPE = r"(?i)\[\[SFV_DOCUMENT_V1\s+name=([^\s]+)\s+mime=([^\]]*)\]\]([\s\S]*?)\[\[/SFV_DOCUMENT_V1\]\]"
+ENVELOPE = r"(?is)\[\[SFV_DOCUMENT_V1\s+name=([^\s]+)\s+mime=([^\]]*)\]\](.*?)\[\[/SFV_DOCUMENT_V1\]\]"
 UPLOADED = "[已上传文档:{}]"
 EXPIRED = "文档附件引用已失效，请重新上传文档"
 FAILED = "[文档解析失败,未把文档内容当作普通文本发送:{}]"

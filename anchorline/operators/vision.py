@@ -84,7 +84,7 @@ def render_prompts(df: DataFrame) -> DataFrame:
 def parse_image_data_urls(df: DataFrame, col: str, max_bytes: int = MAX_IMAGE_BYTES) -> DataFrame:
     """``mime``, ``content``, ``est_bytes`` and ``verdict`` (valid, not_data_url, unsupported, malformed, too_large) of image data URLs."""
     given = js_trim(F.coalesce(F.col(col), F.lit("")))
-    pattern = r"(?i)^data:(image/(?:png|jpeg|jpg|webp|gif));base64,([\s\S]*)$"
+    pattern = r"(?is)^data:(image/(?:png|jpeg|jpg|webp|gif));base64,(.*)$"
     mime = F.regexp_replace(F.lower(F.regexp_extract(given, pattern, 1)), "^image/jpg$", "image/jpeg")
     code = F.regexp_replace(F.regexp_extract(given, pattern, 2), r"\s+", "")
     size = F.greatest(F.lit(0), F.floor(F.length(code) * 3 / 4).cast("long") - F.when(code.endswith("=="), 2).when(code.endswith("="), 1).otherwise(0))

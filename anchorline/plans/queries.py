@@ -138,7 +138,7 @@ SELECT doc_id, '[原文文本层]' || chr(10) || string_agg('[md-' || k || '][
 SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE trim(line) <> '') GROUP BY doc_id)""".replace("1949", str(2000 - len("\n\n[原文文本层已截断：超过 2000 字符，请分段上传或缩小文档范围]"))))
 def a1_text_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as paragraphs, with a low cap so that many texts are cut."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    docs = derive.spread(table(spark, sf_dir, "documents")).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return context.text_layer(docs, markdown.markdown_blocks(docs), 2000)
 
 
@@ -203,7 +203,7 @@ def m11_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m8_m9_image_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     good = F.concat(F.lit('Sure: ```json\n{"kind":"colorful","ocr":" {x} ","objects":[{"label":" e'), e, F.lit(' "},{"label":3}],"confidence":'), F.when(e % 3 == 0, '"none"').otherwise("7"), F.lit("} done ```"))
-    given = table(spark, sf_dir, "events").select("event_id", answers.normalize_image_result(F.when(e % 4 == 3, '{"kind": broken').otherwise(good)).alias("r"))
+    given = derive.spread(table(spark, sf_dir, "events")).select("event_id", answers.normalize_image_result(F.when(e % 4 == 3, '{"kind": broken').otherwise(good)).alias("r"))
     return given.select("event_id", F.get("r.objects", F.lit(0))["label"].alias("label"), "r.confidence", "r.kind", F.size("r.objects").alias("n_objects"))
 
 
@@ -211,7 +211,7 @@ def m8_m9_image_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m10_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity").cast("int")
     answer = F.concat(F.lit('{"answer":"a","objects":[{"label":"none"},{"label":"x","bbox":["'), q, F.lit('",5,30,10]}],"relations":[{"subject":"a","relation":"b","object":"c"},{"subject":"a"}]}'))
-    found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", answers.normalize_grounding(answer).alias("g"))
+    found = derive.spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", answers.normalize_grounding(answer).alias("g"))
     first = F.get("g.objects", F.lit(0))
     return found.select("l_orderkey", "l_linenumber", first["bbox"][0].alias("x1"), first["bbox"][2].alias("x2"), first["center"][0].alias("cx"), first["region"].alias("region"), F.size("g.objects").alias("n_objects"), F.size("g.relations").alias("n_relations"))
 
