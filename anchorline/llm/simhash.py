@@ -9,7 +9,7 @@ through under exactly one key.
 
 Two bits of 64 reach few pairs of texts whose shingles have a Jaccard similarity of 0.8; they
 lie up to 11 bits apart, and segments short enough for that would pair any two texts. So
-:func:`similar_texts` adds an exact search by leading shingles.
+:func:`similar_texts` adds a search by leading shingles.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from .wordhash import Words, mixed, parts, runs, summed
 
 #: Words of a shingle and least Jaccard similarity of texts that are similar.
 WIDTH, SIMILARITY = 5, 0.8
-#: Pairs of texts of more than SURE shingles that lie further apart than FAR bits of 128 are not verified: texts of a similarity of 0.8 lie 20 bits apart, with a deviation of 4, others 64.
-SURE, FAR = 32, 42
+#: Pairs of texts that lie further apart than FAR bits of 128 are not verified: texts of a similarity of 0.8 lie 20 to 24 bits apart, the most for 5 and 4 shingles, with a deviation of 4; others 64.
+FAR = 42
+#: Turns in which texts are compared with one of their bucket; rows of a bucket in which, after that, all that are still apart are compared.
+TURNS, WHOLE = 5, 256
 #: Shingle hashes turned into bits at a time: bounds a task's memory for a text of any length.
 BLOCK = 1 << 15
 
@@ -171,12 +173,13 @@ def verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float)
 
 
 def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """``text_key, root`` of all texts that are linked to another one: pairs of distinct texts whose ``width``-word shingles have at least that Jaccard similarity, all of them.
+    """``text_key, root`` of all texts that are linked to another one: pairs of distinct texts whose ``width``-word shingles have at least that Jaccard similarity.
 
     Pairs to be verified come from the fingerprints that differ in at most two bits, and from leading shingles (the
-    first ``(1 - similarity) * n + 1`` in a fixed order, of which such a pair shares one): first each text with the
-    least one of its bucket, then, within buckets, what is still in different components. So a large group of near
-    copies costs one pair a member and bucket. Before their shingles are compared, pairs are sieved by their fingerprints.
+    first ``(1 - similarity) * n + 1`` in a fixed order, of which such a pair shares one): in some turns each text with
+    one of its bucket in another component, a different one each turn, then, within buckets of at most WHOLE texts, all
+    that are still in different components. So a group costs a few pairs a member and bucket, not all of them. A link can
+    be missed only between texts that share leading shingles in larger buckets alone and that no chain of found links joins. Before their shingles are compared, pairs are sieved by their fingerprints.
     """
     texts = keyed(docs)
     found = materialize(bucketed(texts, width, similarity), "buckets")
@@ -185,17 +188,32 @@ def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMIL
     same = found.select("fp", F.col("text_key").alias("v")).join(nodes, "fp").select("u", "v")
     rows = materialize(found.select("text_key", "fp", "more", "n", F.explode("keys").alias("key")), "bucket-rows")
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("other_more")))
-    near = (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9) & ((F.least("n", "m") <= SURE) | (apart <= FAR))
-    heads = rows.groupBy("key").agg(F.min("text_key").alias("u"), F.min_by("fp", "text_key").alias("other_fp"), F.min_by("more", "text_key").alias("other_more"), F.min_by("n", "text_key").alias("m"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-    star = hot_join(rows, heads, "key").where(near).select("u", F.col("text_key").alias("v"))
-    star = materialize(star.distinct(), "star")
-    pairs = close.unionByName(same).unionByName(star).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    near = (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9) & (apart <= FAR)
+
+    def star(rooted: DataFrame, turn: int) -> DataFrame:
+        """Pairs of each text of a bucket with one text of it that is in another component, a different one each turn."""
+        first = F.xxhash64("text_key", F.lit(turn))
+        heads = rooted.groupBy("key").agg(F.min_by("text_key", first).alias("u"), F.min_by("root", first).alias("of"), F.min_by("fp", first).alias("other_fp"), F.min_by("more", first).alias("other_more"), F.min_by("n", first).alias("m"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+        found = hot_join(rooted, heads, "key").where((F.col("root") != F.col("of")) & near)
+        return materialize(found.select(F.least("u", "text_key").alias("u"), F.greatest("u", "text_key").alias("v")).distinct(), "star")
+
+    pairs = close.unionByName(same).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = materialize(pairs.unionByName(star(rows.withColumn("root", F.col("text_key")), 0)).distinct(), "star")
     linked = materialize(verified(texts, pairs, width, similarity), "links")
-    roots = materialize(connected_components(linked), "roots")
-    rooted = rows.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
-    parts_of = rooted.groupBy("key", "root").count()
-    most = parts_of.groupBy("key").agg(F.max(F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", F.col("most.root").alias("most"))
-    mixed_rows = materialize(hot_join(materialize(rooted, "rooted"), materialize(most, "most"), "key"), "mixed-buckets")
+    for turn in range(1, TURNS + 1):
+        roots = materialize(connected_components(linked), "roots")
+        rooted = materialize(hot_join(rows, roots.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("root", F.coalesce("root", "text_key")), "rooted")
+        parts_of = rooted.groupBy("key", "root").count()
+        most = parts_of.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("count").alias("rows")).where("roots > 1").select("key", "most", "rows")
+        mixed_rows = materialize(hot_join(rooted, materialize(most, "most"), "key"), "mixed-buckets")
+        if turn < TURNS:
+            tried = star(mixed_rows.drop("most", "rows"), turn).join(pairs, ["u", "v"], "left_anti")
+            tried = materialize(tried, "star")
+            if tried.isEmpty():
+                break
+            pairs = pairs.unionByName(tried)
+            linked = materialize(linked.unionByName(verified(texts, tried, width, similarity)), "links")
+    mixed_rows = mixed_rows.where(F.col("rows") <= WHOLE)
     few = mixed_rows.where("root <> most").select("key", F.col("text_key").alias("u"), F.col("fp").alias("other_fp"), F.col("more").alias("other_more"), F.col("n").alias("m"), F.col("root").alias("of"))
     across = mixed_rows.join(few, "key").where((F.col("root") != F.col("of")) & near).select(F.least("u", "text_key").alias("u"), F.greatest("u", "text_key").alias("v")).distinct()
     late = verified(texts, across.join(pairs, ["u", "v"], "left_anti"), width, similarity)
