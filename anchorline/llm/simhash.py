@@ -20,6 +20,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ from .wordhash import Words, mixed, parts, runs, summed
 WIDTH, SIMILARITY = 5, 0.8
 #: Pairs of texts that lie further apart than FAR bits of 128 are not verified: texts of a similarity of 0.8 lie 20 to 24 bits apart, the most for 5 and 4 shingles, with a deviation of 4; others 64.
 FAR = 42
-#: Turns in which texts are compared with one of their bucket; rows of a bucket in which, after that, all that are still apart are compared.
-TURNS, WHOLE = 5, 256
+#: Turns in which texts are compared with one of their bucket. After that all that are still apart are compared: in a join in buckets of at most WHOLE rows, in blocks of about WHOLE rows and at most about MANY shingles in larger ones.
+TURNS, WHOLE, MANY = 5, 256, 1 << 20
 #: Shingle hashes turned into bits at a time: bounds a task's memory for a text of any length.
 BLOCK = 1 << 15
 
@@ -152,10 +153,8 @@ def bucketed(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     return texts.mapInArrow(second, "text_key long, fp long, more long, n int, keys array<long>").groupBy("text_key").agg(*(F.first(c).alias(c) for c in ("fp", "more", "n", "keys")))
 
 
-def verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of distinct ``pairs(u, v)`` of text keys whose shingles have at least that Jaccard similarity."""
-    pairs = materialize(pairs, "pairs")
-    named = pairs.select(F.explode(F.array("u", "v")).alias("text_key")).distinct()
+def shingle_sets(texts: DataFrame, named: DataFrame, width: int) -> DataFrame:
+    """``text_key, shingles``: the distinct shingles of the texts whose key is in ``named``, and of few others."""
 
     def run(batches):
         for part in slices(batches):
@@ -164,7 +163,13 @@ def verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float)
             yield pa.RecordBatch.from_arrays([part.column(0), lists], ["text_key", "shingles"])
 
     some = with_hits(texts, "text_key", named).where("hit").select("text_key", "text").mapInArrow(run, "text_key long, shingles array<long>")
-    sets = materialize(some.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "shingles")
+    return materialize(some.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "shingles")
+
+
+def verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of distinct ``pairs(u, v)`` of text keys whose shingles have at least that Jaccard similarity."""
+    pairs = materialize(pairs, "pairs")
+    sets = shingle_sets(texts, pairs.select(F.explode(F.array("u", "v")).alias("text_key")).distinct(), width)
     both = hot_join(pairs, sets.toDF("u", "a"), "u")
     both = materialize(both, "pairs")
     both = hot_join(both, sets.toDF("v", "b"), "v")
@@ -172,14 +177,101 @@ def verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float)
     return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
 
 
+class Postings:
+    """Which of some sets hold a value; the sets lie one after the other in ``values``."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray):
+        order = np.argsort(values, kind="stable")
+        self.values, first = np.unique(values[order], return_index=True)
+        self.first, self.of, self.sets = np.append(first, len(values)), np.repeat(np.arange(len(lengths)), lengths)[order], len(lengths)
+
+    def shared(self, values: np.ndarray) -> np.ndarray:
+        """How many of distinct ``values`` each set holds."""
+        at = np.searchsorted(self.values, values)
+        inside = at < len(self.values)
+        at = at[inside][self.values[at[inside]] == values[inside]]
+        return np.bincount(self.of[parts(self.first[at], self.first[at + 1] - self.first[at])], minlength=self.sets)
+
+
+def sets_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and the length of each list."""
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
+def halves(table: pa.Table, lists: str) -> tuple[dict, list[np.ndarray], dict, Postings]:
+    """Of the rows of a pair of blocks: columns and lists of the few, columns and postings of the others."""
+    few, many = table.filter(table["few"]), table.filter(pc.invert(table["few"]))
+    values, lengths = sets_of(few[lists])
+    columns = ({c: t[c].to_numpy() for c in t.column_names if c not in (lists, "few")} for t in (few, many))
+    own = [values[x:y] for x, y in itertools.pairwise([0, *np.cumsum(lengths).tolist()])]
+    return next(columns), own, next(columns), Postings(*sets_of(many[lists]))
+
+
+def across_blocks(mixed_rows: DataFrame, found: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links ``u, v`` that join all similar texts of each bucket that are still apart, at most one a text and pair of blocks.
+
+    The rows outside of a bucket's largest component are dealt into blocks, and so are all its rows; each pair of blocks
+    is compared in a task of its own, which holds two blocks. First by fingerprints, under the least key that two
+    texts share, which leaves texts that are near another one; then by all shingles of those.
+    """
+    cell = ["key", "i", "j"]
+
+    def blocks(of):
+        return F.greatest(F.ceil(F.count(of) / WHOLE), F.ceil(F.sum(F.when(of.isNotNull(), F.col("n"))) / MANY)).cast("long")
+
+    sizes = mixed_rows.groupBy("key").agg(blocks(F.when(F.col("root") != F.col("most"), 1)).alias("few_blocks"), blocks(F.col("n")).alias("all_blocks"))
+    dealt = hot_join(mixed_rows, materialize(sizes, "blocks"), "key").join(found.select("text_key", "keys"), "text_key")
+    dealt = materialize(dealt.withColumn("before", F.filter("keys", lambda k: k < F.col("key"))).drop("keys"), "dealt")
+    i, j = (F.pmod(F.xxhash64("text_key"), F.col(n)) for n in ("few_blocks", "all_blocks"))
+    every_i, every_j = (F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)) for n in ("few_blocks", "all_blocks"))
+    named = ["key", "text_key", "root", "most", "fp", "more", "n", "before"]
+    cells = dealt.where("root <> most").select(*named, F.lit(True).alias("few"), i.alias("i"), every_j.alias("j"))
+    cells = cells.unionByName(dealt.select(*named, F.lit(False).alias("few"), every_i.alias("i"), j.alias("j")))
+
+    def near(table: pa.Table) -> pa.Table:
+        a, before, b, earlier = halves(table, "before")
+        hit_a, hit_b = np.zeros(len(before), bool), np.zeros(earlier.sets, bool)
+        for k, own_before in enumerate(before):
+            apart = np.bitwise_count((b["fp"] ^ a["fp"][k]).view(np.uint64)).astype(int) + np.bitwise_count((b["more"] ^ a["more"][k]).view(np.uint64))
+            ok = (b["root"] != a["root"][k]) & ((b["root"] == b["most"]) | (b["text_key"] > a["text_key"][k])) & (apart <= FAR)
+            ok &= np.minimum(b["n"], a["n"][k]) >= similarity * np.maximum(b["n"], a["n"][k]) - 1e-9
+            if ok.any():
+                ok &= earlier.shared(own_before) == 0
+                hit_a[k], hit_b = ok.any(), hit_b | ok
+        out = [pa.concat_arrays([pa.array(a[c][hit_a]), pa.array(b[c][hit_b])]) for c in (*cell, "text_key", "root")]
+        return pa.Table.from_arrays([*out, pa.array(np.arange(hit_a.sum() + hit_b.sum()) < hit_a.sum())], [*cell, "text_key", "root", "few"])
+
+    def linked(table: pa.Table) -> pa.Table:
+        a, own_sets, b, others = halves(table, "shingles")
+        n, top, out = np.bincount(others.of, minlength=others.sets), {}, []
+
+        def root(x):
+            while (up := top.get(x, x)) != x:
+                x = up
+            return x
+
+        for k, own_set in enumerate(own_sets):
+            shared = others.shared(own_set)
+            for m in np.flatnonzero((b["root"] != a["root"][k]) & (shared >= similarity * (len(own_set) + n - shared) - 1e-9)):
+                if (x := root(a["root"][k])) != (y := root(b["root"][m])):
+                    top[x] = y
+                    out.append((a["text_key"][k], b["text_key"][m]))
+        return pa.Table.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
+
+    hits = materialize(cells.groupBy(*cell).applyInArrow(near, "key long, i long, j long, text_key long, root long, few boolean"), "near-blocks")
+    sets = shingle_sets(texts, hits.select("text_key").distinct(), width)
+    return hits.join(sets, "text_key").groupBy(*cell).applyInArrow(linked, "u long, v long")
+
+
 def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """``text_key, root`` of all texts that are linked to another one: pairs of distinct texts whose ``width``-word shingles have at least that Jaccard similarity.
 
     Pairs to be verified come from the fingerprints that differ in at most two bits, and from leading shingles (the
     first ``(1 - similarity) * n + 1`` in a fixed order, of which such a pair shares one): in some turns each text with
-    one of its bucket in another component, a different one each turn, then, within buckets of at most WHOLE texts, all
-    that are still in different components. So a group costs a few pairs a member and bucket, not all of them. A link can
-    be missed only between texts that share leading shingles in larger buckets alone and that no chain of found links joins. Before their shingles are compared, pairs are sieved by their fingerprints.
+    one of its bucket in another component, a different one each turn, then all that are still in different components
+    (:func:`across_blocks` in large buckets). So a group of similar texts costs a few pairs a member and bucket, and no
+    pair is left out. Before their shingles are compared, pairs are sieved by their fingerprints.
     """
     texts = keyed(docs)
     found = materialize(bucketed(texts, width, similarity), "buckets")
@@ -213,11 +305,12 @@ def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMIL
                 break
             pairs = pairs.unionByName(tried)
             linked = materialize(linked.unionByName(verified(texts, tried, width, similarity)), "links")
+    large = across_blocks(mixed_rows.where(F.col("rows") > WHOLE), found, texts, width, similarity)
     mixed_rows = mixed_rows.where(F.col("rows") <= WHOLE)
     few = mixed_rows.where("root <> most").select("key", F.col("text_key").alias("u"), F.col("fp").alias("other_fp"), F.col("more").alias("other_more"), F.col("n").alias("m"), F.col("root").alias("of"))
     across = mixed_rows.join(few, "key").where((F.col("root") != F.col("of")) & near).select(F.least("u", "text_key").alias("u"), F.greatest("u", "text_key").alias("v")).distinct()
     late = verified(texts, across.join(pairs, ["u", "v"], "left_anti"), width, similarity)
-    return connected_components(linked.unionByName(late)).select(F.col("node").alias("text_key"), "root")
+    return connected_components(linked.unionByName(late).unionByName(large)).select(F.col("node").alias("text_key"), "root")
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
