@@ -31,8 +31,8 @@ from .wordhash import Words, mixed, parts, runs, summed
 WIDTH, SIMILARITY = 5, 0.8
 #: Pairs of texts that lie further apart than FAR bits of 128 are not verified: texts of a similarity of 0.8 lie 20 to 24 bits apart, the most for 5 and 4 shingles, with a deviation of 4; others 64.
 FAR = 42
-#: Turns in which texts are compared with one of their bucket. After that all that are still apart are compared: in a join in buckets of at most WHOLE rows, in blocks of about WHOLE rows and at most about MANY shingles in larger ones.
-TURNS, WHOLE, MANY = 5, 256, 1 << 20
+#: Turns in which texts are compared with one of their bucket. After that all that are still apart are compared: in a join in buckets of at most WHOLE rows, in blocks of about ROWS rows and at most about MANY shingles in larger ones.
+TURNS, WHOLE, ROWS, MANY = 5, 256, 2048, 1 << 20
 #: Shingle hashes turned into bits at a time: bounds a task's memory for a text of any length.
 BLOCK = 1 << 15
 
@@ -218,7 +218,7 @@ def across_blocks(mixed_rows: DataFrame, found: DataFrame, texts: DataFrame, wid
     cell = ["key", "i", "j"]
 
     def blocks(of):
-        return F.greatest(F.ceil(F.count(of) / WHOLE), F.ceil(F.sum(F.when(of.isNotNull(), F.col("n"))) / MANY)).cast("long")
+        return F.greatest(F.ceil(F.count(of) / ROWS), F.ceil(F.sum(F.when(of.isNotNull(), F.col("n"))) / MANY)).cast("long")
 
     sizes = mixed_rows.groupBy("key").agg(blocks(F.when(F.col("root") != F.col("most"), 1)).alias("few_blocks"), blocks(F.col("n")).alias("all_blocks"))
     dealt = hot_join(mixed_rows, materialize(sizes, "blocks"), "key").join(found.select("text_key", "keys"), "text_key")

@@ -524,7 +524,7 @@ def near_texts(rng, families=14):
 
 @pytest.mark.parametrize("turns, whole, many", [(simhash.TURNS, simhash.WHOLE, simhash.MANY), (1, 2, simhash.MANY), (2, 4, 500)])
 def test_one_row_of_each_near_duplicate_group_by_brute_force(spark, monkeypatch, turns, whole, many):
-    for name, value in (("TURNS", turns), ("WHOLE", whole), ("MANY", many)):
+    for name, value in (("TURNS", turns), ("WHOLE", whole), ("ROWS", whole), ("MANY", many)):
         monkeypatch.setattr(simhash, name, value)
     rng = random.Random(21)
     texts = near_texts(rng)
