@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes handled at a time inside a task, so that one Arrow batch of long texts never becomes one list of words.
@@ -122,3 +122,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now
+
+
+def columns_of(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, whatever other columns ``df`` has (names that differ in case only among them)."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).select(*(F.col(f"c{df.columns.index(name)}").alias(name) for name in names))
+
+
+def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """``rows`` with ``place``, from 0 in the order of ``order`` (nulls first) within each value of ``group``, and ``places``, their number.
+
+    Rows are dealt by ranges of group and order, so a group of any size lies over many tasks; each range is numbered
+    alone and moved on by the rows of the ranges before it. Rows that are equal in ``order`` take any of their places.
+    """
+    dealt = materialize(rows.repartitionByRange(group, *order).withColumn("range_no", F.spark_partition_id()), "ranges")
+    whole = Window.partitionBy(group)
+    counts = dealt.groupBy(group, "range_no").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(whole.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(group, "range_no", before.alias("before"), F.sum("rows").over(whole).alias("places"))
+    own = F.row_number().over(Window.partitionBy(group, "range_no").orderBy(*order))
+    return dealt.withColumn("own", own).join(counts, [group, "range_no"]).withColumn("place", F.col("before") + F.col("own") - 1).drop("range_no", "own", "before")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text of ASCII characters."""
+    codes = f"list_transform(range(length({text})), lambda i: ascii(({text})[i + 1])::BIGINT)"
+    bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {bits}), 4294967295::BIGINT)"
