@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, htmltext, langid, linededup, merkle, mpegts, packing, prefixtrie, quality, simhash, toxicity
+from . import bpe, chat, htmltext, langid, linededup, merkle, minhash, mpegts, packing, prefixtrie, quality, simhash, toxicity
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.query(table(spark, sf_dir, "documents"))
+
+
 def op12_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.query(table(spark, sf_dir, "conversations"))
 
@@ -62,5 +66,5 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_mpegts, op4_chat, op5_linededup, op6_simhash, op7_quality, op8_html, op9_langid, op10_bpe, op12_prefixtrie, op13_merkle)}
-ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE, "op12_prefixtrie": prefixtrie.ORACLE, "op13_merkle": merkle.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_mpegts, op4_chat, op5_linededup, op6_simhash, op7_quality, op8_html, op9_langid, op10_bpe, op11_minhash, op12_prefixtrie, op13_merkle)}
+ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE, "op11_minhash": minhash.ORACLE, "op12_prefixtrie": prefixtrie.ORACLE, "op13_merkle": merkle.ORACLE}
