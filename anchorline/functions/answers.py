@@ -109,3 +109,17 @@ def normalize_grounding(text: Column) -> Column:
         ))
 
     return let(F.try_parse_json(extract_json_object(text)), read)
+
+
+def grounding_json(text: Column) -> Column:
+    """:func:`normalize_grounding` as JSON, whole confidences without a fraction; null for an answer without JSON."""
+    string = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+
+    def told(g: Column) -> Column:
+        objects = F.transform(g["objects"], lambda o: F.concat(
+            F.lit('{"label":'), string(o["label"]), F.lit(',"bbox":'), F.to_json(o["bbox"]), F.lit(',"center":'), F.to_json(o["center"]), F.lit(',"region":'), string(o["region"]),
+            F.lit(',"confidence":'), F.regexp_replace(o["confidence"].cast("string"), r"\.0$", ""), F.lit(',"attributes":'), F.to_json(o["attributes"]), F.lit("}"),
+        ))
+        return F.concat(F.lit('{"answer":'), string(g["answer"]), F.lit(',"objects":['), F.array_join(objects, ","), F.lit('],"ocr":'), F.to_json(g["ocr"]), F.lit(',"relations":'), F.to_json(g["relations"]), F.lit("}"))
+
+    return let(normalize_grounding(text), told)

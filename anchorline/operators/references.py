@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.markers import DIGITS, HIDDEN, START, decode_reference_marker
 from ..functions.text import js_trim
+from .routing import MAX_DOCUMENT_BYTES, document_type
 
 #: References of a message that are followed; visible forms of a reference; the envelope of a document in a text; texts that stand for documents.
 MAX_REFS = 16
@@ -25,6 +26,9 @@ UPLOADED = "[已上传文档:{}]"
 EXPIRED = "文档附件引用已失效，请重新上传文档"
 FAILED = "[文档解析失败,未把文档内容当作普通文本发送:{}]"
 SENT = "已发送文档"
+#: What is wrong with a document in an envelope.
+BAD_URI, BAD_BASE64, TOO_LARGE, UNSUPPORTED = "URI malformed", "文档 base64 数据无效", "文档超过 25MB,无法处理", "不支持的文档格式，仅支持 doc/docx/ppt/pptx/xls/xlsx/xmind/pdf/md/markdown"
+NO_DOCX_MAIN, NO_XMIND_MAIN, BAD_ZIP = "DOCX 缺少 word/document.xml", "XMind 缺少 content.json 或 content.xml", "invalid zip data"
 #: Milliseconds that an unused reference lives, references and bytes of a store.
 TTL_MS, MAX_ITEMS, MAX_BYTES = 30 * 60 * 1000, 64, 128 * 1024 * 1024
 
@@ -136,8 +140,19 @@ def message_query(blocks: DataFrame) -> DataFrame:
     return blocks.select("conv_id", "turn").distinct().join(joined, ["conv_id", "turn"], "left").select("conv_id", "turn", js_trim(F.coalesce("query", F.lit(""))).alias("query"))
 
 
+def has_envelope(text: Column) -> Column:
+    return F.upper(text).contains("[[SFV_DOCUMENT_V1")
+
+
+def base64_bytes(code: Column) -> Column:
+    """What Base64 without white space stands for, padded or not; null where it is malformed or empty."""
+    whole = F.rtrim(code, F.lit("="))
+    good = (code != "") & code.rlike("^[A-Za-z0-9+/]*={0,2}$") & (F.length(code) % 4 != 1)
+    return F.when(good, F.try_to_binary(F.rpad(whole, (F.ceil(F.length(whole) / 4) * 4).cast("int"), "="), F.lit("base64")))
+
+
 def parse_document_envelopes(df: DataFrame, col: str) -> DataFrame:
-    """``name, mime, content, before, after, stripped`` of a document inside a text; null columns where there is none."""
+    """``name, mime, content, before, after, stripped`` of the first document inside a text; null columns where there is none, or for a part that is malformed."""
     text = F.coalesce(F.col(col), F.lit(""))
     whole = F.regexp_extract(text, ENVELOPE, 0)
     at = F.instr(text, whole)
@@ -147,7 +162,16 @@ def parse_document_envelopes(df: DataFrame, col: str) -> DataFrame:
     before, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(whole), F.length(text))
     label = F.concat(F.lit("[已上传文档:"), F.coalesce(decoded(1), F.regexp_extract(text, ENVELOPE, 1)), F.lit("]"))
     parts = F.array_join(F.filter(F.array(js_trim(before), label, js_trim(after)), lambda x: x != ""), "\n")
-    return df.withColumns({"name": F.when(found, decoded(1)), "mime": F.when(found, decoded(2)), "content": F.when(found, F.try_to_binary(code, F.lit("base64"))), "before": F.when(found, before), "after": F.when(found, after), "stripped": F.when(found, parts).otherwise(text)})
+    return df.withColumns({"name": F.when(found, decoded(1)), "mime": F.when(found, decoded(2)), "content": F.when(found, base64_bytes(code)), "before": F.when(found, before), "after": F.when(found, after), "stripped": F.when(found, parts).otherwise(text)})
+
+
+def envelope_failure(error: Column | None = None, name: Column | None = None) -> Column:
+    """What is wrong with a parsed envelope, or, of a document ``name``, what its ``error`` says; null if nothing is."""
+    if error is None:
+        size = F.octet_length("content")
+        return F.when(F.col("name").isNull() | F.col("mime").isNull(), BAD_URI).when(F.col("content").isNull(), BAD_BASE64).when(size > MAX_DOCUMENT_BYTES, TOO_LARGE).when(document_type(F.col("name"), F.col("mime")).isNull(), UNSUPPORTED)
+    main = F.when(F.lower(name).endswith(".xmind"), NO_XMIND_MAIN).otherwise(NO_DOCX_MAIN)
+    return F.when(error == "missing_main_part", main).when(error == "too_large", TOO_LARGE).when(error == "unsupported", UNSUPPORTED).when(error.startswith("bad_container"), BAD_ZIP).otherwise(error)
 
 
 def resolve_by_token(refs: DataFrame, store: DataFrame) -> DataFrame:

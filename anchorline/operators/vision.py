@@ -128,10 +128,13 @@ def html_of(text: Column) -> Column:
     return js_trim(F.when(F.lower(value).contains("</html>"), F.regexp_extract(value, r"(?is)^.*</html>", 0)).otherwise(value))
 
 
+def is_whole_page(html: Column) -> Column:
+    return html.rlike(r"(?i)^(?:<!doctype html[\s>]|<html[\s>])") & html.rlike(r"(?i)</html>\s*$")
+
+
 def extract_html(df: DataFrame, col: str) -> DataFrame:
     """``html`` and whether it is ``complete``; incomplete pages must not be cached."""
-    html = html_of(F.col(col))
-    return df.withColumn("html", html).withColumn("complete", F.col("html").rlike(r"(?i)^(?:<!doctype html[\s>]|<html[\s>])") & F.col("html").rlike(r"(?i)</html>\s*$"))
+    return df.withColumn("html", html_of(F.col(col))).withColumn("complete", is_whole_page(F.col("html")))
 
 
 def dedup_requests(df: DataFrame, key: str = "cache_key", order: str = "request_id") -> DataFrame:

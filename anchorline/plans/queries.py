@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers, geometry, keys, markers, text
@@ -269,8 +269,8 @@ def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as content with a string, a picture, and a tool result whose texts lie under as many more tool results as the turn says (modulo 8)."""
     k = F.col("turn") % 8
     image = F.concat(F.lit('{"attachment":{"name":"p'), F.col("conv_id"), F.lit('.png"},"type":"image"}'))
-    texts = F.concat(F.lit('{"text":"'), F.md5("text"), F.lit('","type":"text","k":'), F.col("turn"), F.lit("}"))
-    tool = F.concat(F.lit('{"type":"tool-result","toolCallId":"t'), F.col("conv_id"), F.lit('","content":['))
+    texts = F.concat(F.lit('{"k":'), F.col("turn"), F.lit(',"text":"'), F.md5("text"), F.lit('","type":"text"}'))
+    tool = F.concat(F.lit('{"toolCallId":"t'), F.col("conv_id"), F.lit('","type":"tool-result","content":['))
     nested = F.concat(F.expr("repeat('{\"type\":\"tool-result\",\"content\":[', cast(turn % 8 as int))"), texts, F.lit(","), texts, F.repeat(F.lit("]}"), k.cast("int")))
     content = F.concat(F.expr("substr(to_json(array(text)), 1, length(to_json(array(text))) - 1)"), F.lit(","), image, F.lit(","), tool, nested, F.lit("]}]"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", content.alias("content"), F.lit(True).alias("is_array"))
@@ -293,6 +293,87 @@ def a4_rebuild_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.rebuild_messages(read_messages(_nested(spark, sf_dir)))
 
 
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+
+
+_DEEP = 200
+
+
+@registered(f"""WITH c AS (SELECT conv_id, turn, text, to_json(text)::VARCHAR AS t, to_json(text || chr(92))::VARCHAR AS b, ((conv_id + turn) % 5)::INT AS k FROM conversations)
+SELECT conv_id, turn, [1, 1, 4, 3, {_DEEP + 1}][k + 1]::BIGINT AS blocks, [0, 0, 2, 2, {_DEEP + 1}][k + 1]::INT AS depth, [0, 0, 1, 2, 1][k + 1]::BIGINT AS texts,
+CASE k WHEN 0 THEN '[]' WHEN 1 THEN '{{"role":' || t || '}}' WHEN 2 THEN '[' || b || ',{{"type":"tool-result","n":1.50,"content":[{{"type":"text","text":' || t || '}},{{"z":1,"a":2}}],"after":true}}]'
+WHEN 3 THEN '[{{"text":"a","text":' || t || '}},{{"type":"tool-result","content":5,"content":[' || t || ']}}]' ELSE '[' || repeat('{{"type":"tool-result","content":[', {_DEEP}) || t || repeat(']}}', {_DEEP}) || ']' END AS content FROM c""")
+def s3_a4_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content without blocks or that is no array, with texts that end in a backslash, repeated keys, numbers and keys in odd forms, and 200 levels, read and put together again."""
+    t, k = _quoted(F.col("text")), (F.col("conv_id") + F.col("turn")) % 5
+    odd = F.concat(F.lit("["), _quoted(F.concat("text", F.lit("\\"))), F.lit(',{"type":"tool-result","n":1.50,"content":[{"type":"text","text":'), t, F.lit('},{"z":1,"a":2}],"after":true}]'))
+    twice = F.concat(F.lit('[{"text":"a","text":'), t, F.lit('},{"type":"tool-result","content":5,"content":['), t, F.lit("]}]"))
+    deep = F.concat(F.lit("[" + '{"type":"tool-result","content":[' * _DEEP), t, F.lit("]}" * _DEEP + "]"))
+    content = F.when(k == 0, "[]").when(k == 1, F.concat(F.lit('{"role":'), t, F.lit("}"))).when(k == 2, odd).when(k == 3, twice).otherwise(deep)
+    given = derive.spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "text", content.alias("content"), F.lit(True).alias("is_array"))
+    found = read_messages(given)
+    counts = found.join(given.select("conv_id", "turn", F.col("text").alias("wanted")), ["conv_id", "turn"]).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("blocks"), F.max(F.size("path")).alias("depth"), F.count_if(F.col("text") == F.col("wanted")).alias("texts"))
+    return messages.rebuild_messages(found).join(counts, ["conv_id", "turn"])
+
+
+_ENTRIES = """SELECT doc_id, string_agg('[md-' || k || '][文档顺序锚点]' || chr(10) || line, chr(10) || chr(10) ORDER BY k) AS entries FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE trim(line) <> '') GROUP BY doc_id"""
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@registered(f"""WITH e AS ({_ENTRIES}), d AS (SELECT doc_id, (doc_id % 6)::INT AS k, {_sql("[文档开始]" + chr(10) + "文件名:a b+")} || doc_id || {_sql(".md" + chr(10) + "格式:markdown" + chr(10) + "位置精度:" + corpus.PRECISIONS["markdown"] + chr(10) + chr(10) + context.TEXT_HEAD)} || coalesce(entries, {_sql(context.TEXT_NONE)}) || {_sql(chr(10) * 2 + context.IMAGE_HEAD + context.IMAGE_NONE + chr(10) * 2 + context.CONSTRAINTS)} AS c FROM documents LEFT JOIN e USING (doc_id)),
+t AS (SELECT *, CASE k WHEN 2 THEN {_sql(references.FAILED.format(references.BAD_BASE64))} WHEN 3 THEN {_sql(references.FAILED.format(references.UNSUPPORTED))} WHEN 4 THEN {_sql(references.FAILED.format(references.BAD_URI))} WHEN 5 THEN {_sql(references.FAILED.format(references.BAD_ZIP))} ELSE 'before' || chr(10) || chr(10) || c || chr(10) || chr(10) || 'after' END AS x FROM d)
+SELECT doc_id, CASE WHEN k = 1 THEN '[{{"type":"tool-result","content":["plain",{{"type":"text","text":' || to_json(x)::VARCHAR || '}}]}}]' ELSE '[{{"type":"text","text":' || to_json(x)::VARCHAR || '}}]' END AS content FROM t""")
+def a4_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document inside a message's text, as a string or within a tool result; of six, four are broken in a way of their own."""
+    d = F.col("doc_id")
+    k = d % 6
+    code = F.when(k == 2, "***").otherwise(F.base64(F.encode(F.replace("text", F.lit("\n"), F.lit("\n\n")), "UTF-8")))
+    name = F.when(k == 3, "a.exe").when(k == 4, "%E0%.md").when(k == 5, "a.docx").otherwise(F.concat(F.lit("a%20b+"), d, F.lit(".md")))
+    mime = F.when(k < 3, "text%2Fmarkdown").otherwise("")
+    text_ = F.concat(F.lit("before [[SFV_DOCUMENT_V1 name="), name, F.lit(" mime="), mime, F.lit("]]\n"), code, F.lit("\n[[/SFV_DOCUMENT_V1]] after"))
+    content = F.when(k == 1, F.concat(F.lit('[{"type":"tool-result","content":["plain",{"type":"text","text":'), _quoted(text_), F.lit("}]}]"))).otherwise(text_)
+    given = derive.spread(table(spark, sf_dir, "documents")).select(d.alias("conv_id"), F.lit(0).alias("turn"), content.alias("content"), (k == 1).alias("is_array"))
+    return messages.rebuild_messages(messages.expand_envelopes(read_messages(given))).select(F.col("conv_id").alias("doc_id"), "content")
+
+
+_GROUNDED = '{"answer":"在左","objects":[{"label":"x","bbox":[1,2,30,40],"center":[16,21],"region":"上左","confidence":0,"attributes":[]}],"ocr":[],"relations":[]}'
+
+
+def _failed(reason: str) -> str:
+    return _sql(messages.IMAGE_FAILED.format(reason))
+
+
+@registered(f"""WITH c AS (SELECT conv_id, turn, {derive.sql_list(derive.QUESTIONS)}[((conv_id + turn) % 9 + 1)::INT] AS q, (conv_id + turn) % 9 AS k, conv_id % 7 AS n FROM conversations),
+t AS (SELECT *, CASE WHEN n IN (4, 6) THEN [{_failed(messages.NO_ANSWER)}] WHEN n = 3 THEN [{_failed(messages.TRUNCATED)}] WHEN n = 5 THEN [{_failed(messages.EMPTY)}] WHEN k IN (0, 3) THEN [{_sql(messages.IMAGE_HEADS["ground"])} || CASE WHEN n = 2 THEN 'cached' ELSE {_sql(_GROUNDED)} END]
+WHEN k IN (1, 6) AND n <> 2 AND turn % 3 = 1 THEN [{_failed(messages.INCOMPLETE)}] WHEN k IN (1, 6) THEN [{_sql(messages.IMAGE_HEADS["describe"])} || CASE WHEN n = 2 THEN 'cached' ELSE 'seen' END, {_sql(messages.IMAGE_HEADS["restore"])} || CASE WHEN n = 2 THEN 'cached' ELSE '<html>x</html>' END]
+ELSE [{_sql(messages.IMAGE_HEADS["describe"])} || CASE WHEN n = 2 THEN 'cached' ELSE 'seen' END] END AS x FROM c),
+j AS (SELECT *, array_to_string(list_transform(x, lambda y: '{{"type":"text","text":' || to_json(y)::VARCHAR || '}}'), ',') AS p FROM t)
+SELECT conv_id, turn, '[' || to_json(q)::VARCHAR || ',' || p || ',{{"type":"tool-result","content":[' || p || ',"after"]}}]' AS content, CASE len(x) WHEN 1 THEN '0 1 2 2.0 2.1' ELSE '0 1 2 3 3.0 3.1 3.2' END AS paths FROM j""")
+def a4_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of messages, alone and within a tool result, as what the cache or the last response to each of their requests says, in all modes and failures."""
+    n, picture = F.col("conv_id") % 7, F.concat(F.lit('{"type":"image","attachment":{"name":"p'), F.col("conv_id"), F.lit("-"), F.col("turn"))
+    content = F.concat(F.lit("["), _quoted(derive.pick(derive.QUESTIONS, F.col("conv_id") + F.col("turn"))), F.lit(","), picture, F.lit('a"}},{"type":"tool-result","content":['), picture, F.lit('b"}},"after"]}]'))
+    blocks = read_messages(derive.spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", content.alias("content"), F.lit(True).alias("is_array")))
+    requests = messages.image_requests(blocks, references.message_query(blocks))
+    key = F.concat_ws("|", F.get_json_object("attachment", "$.name"), "mode", "query")
+    requests = requests.withColumns({"cache_key": key, "request_id": key})
+    found = F.when(n == 2, "cached").otherwise("")
+    cache = requests.select(F.col("cache_key").alias("key"), "mode", found.alias("text"), found.alias("html"))
+    page = F.when(F.col("turn") % 3 == 1, "<html>x").otherwise("<html>x</html>")
+    answer = F.when(n == 5, " ").when(F.col("mode") == "ground", 'Here: {"answer":"在左","objects":[{"label":"x","bbox":[1,2,30,40]}]}').when(F.col("mode") == "restore", page).otherwise("seen")
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(answer.alias("content")).alias("message"), F.when(n == 3, "length").otherwise("stop").alias("finish_reason"))).alias("choices")))
+    log = requests.where(n < 6).select("request_id", n.alias("n"), body.alias("body")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("attempt"))
+    log = log.withColumn("status", F.when(F.col("attempt") == 0, 503).when(F.col("n") == 4, 500).otherwise(200)).withColumn("error", F.lit(None).cast("string"))
+    expanded = messages.renumbered(messages.expand_images(blocks, messages.image_answers(requests, cache, vision.final_outcomes(vision.triage_responses(log)))))
+    paths = expanded.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list("path")), lambda p: F.array_join(p.cast("array<string>"), ".")), " ").alias("paths"))
+    return messages.rebuild_messages(expanded).join(paths, ["conv_id", "turn"])
+
+
 @registered("""WITH s AS (SELECT *, sum(n_chars) OVER w AS b, count(*) OVER w AS n FROM (SELECT doc_id, n_chars, doc_id % 4 AS owner FROM documents WHERE 200 * 60 - doc_id * 60 <= 6000 ) WINDOW w AS (PARTITION BY owner ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)) SELECT doc_id, owner FROM s WHERE n <= 16 AND b <= 60000""")
 def w3_retain_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
