@@ -1,10 +1,10 @@
 """b-bit MinHash near-duplicates.
 
 A text is its set of distinct five-word shingles. Of :data:`LANES` minima of the set, groups of
-:data:`DEPTH` make a band key, and two bits of each are packed into a signature. Texts that
+:data:`DEPTH` make a band key, and two bits of each minimum are packed into a signature. Texts that
 share a band key lie in one bucket; within it signatures are compared by bit counts, corrected
 for bits that are equal by chance, and what is likely to be similar is confirmed on the full
-sets. Two texts of a similarity of 0.85 share no band once in 50 million pairs, and their
+sets. Two texts of a similarity of 0.85 share no band once in a million pairs, and their
 estimate lies under :data:`LEAST` about as rarely.
 
 Equal sets are one before the search. In a bucket a set is first linked to the nearest of those
@@ -25,15 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, connected_components, hot_join, materialize, slices
-from .simhash import Postings, sets_of
+from .common import columns_of, connected_components, hot_join, let_through, materialize, sieve, slices
+from .simhash import Postings
 from .wordhash import BLOCK, mixed, parts, runs, summed
 
 #: Words of a shingle, and least similarity of linked texts in percent.
 WIDTH, PERCENT = 5, 85
-#: Bands, minima of a band, bits kept of each minimum, least estimate (5 deviations under 0.85) of pairs that are confirmed.
-BANDS, DEPTH, BITS, LEAST = 56, 8, 2, 0.75
-LANES = BANDS * DEPTH
+#: Minima, bands and minima of a band, bits kept of each minimum, least estimate (5 deviations under 0.85) of pairs that are confirmed.
+LANES, BANDS, DEPTH, BITS, LEAST = 256, 36, 7, 2, 0.72
+#: Bits a key and at most of the bitmap of rows whose sets are read again: what it lets through beside them costs time alone.
+KEY_BITS, MOST_BITS = 16, 1 << 28
 #: Shingles whose minima are taken at a time; sets compared at a time, and shingles of the sets of a block.
 SOME, ROWS, MANY = 256, 2048, 1 << 20
 
@@ -81,7 +82,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    return mixed((mixed(least.reshape(BANDS, DEPTH).astype(np.uint64) + _PLACE)).sum(axis=1) + _BAND).view(np.int64)
+    return mixed((mixed(least[: BANDS * DEPTH].reshape(BANDS, DEPTH).astype(np.uint64) + _PLACE)).sum(axis=1) + _BAND).view(np.int64)
 
 
 def signature(least: np.ndarray) -> np.ndarray:
@@ -101,8 +102,12 @@ def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def lists(arrays: list[np.ndarray], empty=np.zeros(0, np.int64)) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([empty, *(a.view(np.int64) for a in arrays)])))
+def packed(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([a.tobytes() for a in arrays], pa.binary())
+
+
+def unpacked(value: pa.Scalar, kind=np.uint64) -> np.ndarray:
+    return np.frombuffer(value.as_buffer() or b"", kind)
 
 
 def signed(rows: DataFrame) -> DataFrame:
@@ -112,21 +117,24 @@ def signed(rows: DataFrame) -> DataFrame:
         for part in slices(batches):
             sets = shingles_of(part.column(2))
             least = [minima(s) for s in sets]
-            bits, bands = ([of(m) if len(s) else np.zeros(0, np.int64) for m, s in zip(least, sets, strict=True)] for of in (signature, band_keys))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(set_key, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), lists(bits), lists(bands)], ["doc_id", "row_key", "set_key", "n", "bits", "bands"])
+            bands = pa.array([band_keys(m) if len(s) else [] for m, s in zip(least, sets, strict=True)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(set_key, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), packed(map(signature, least)), bands], ["doc_id", "row_key", "set_key", "n", "bits", "bands"])
 
-    return rows.mapInArrow(run, "doc_id long, row_key long, set_key binary, n long, bits array<long>, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, row_key long, set_key binary, n long, bits binary, bands array<long>")
 
 
 def full_sets(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """``set_key, shingles`` of the rows whose key is in ``named(row_key)``."""
+    """``set_key, shingles`` of the rows whose key is in ``named(row_key)``, and of few others; shingles are packed as 64-bit numbers."""
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (KEY_BITS * named.count()).bit_length()))
+    wanted = rows.sparkSession.sparkContext.broadcast(sieve(named, "row_key", bits))
 
     def run(batches):
         for part in slices(batches):
-            sets = shingles_of(part.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.binary()), lists(sets)], ["set_key", "shingles"])
+            part = part.filter(pa.array(let_through(wanted.value, part.column(0).to_numpy().view(np.uint64))))
+            sets = shingles_of(part.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.binary()), packed(sets)], ["set_key", "shingles"])
 
-    return rows.join(named, "row_key", "left_semi").select("text").mapInArrow(run, "set_key binary, shingles array<long>").dropDuplicates(["set_key"])
+    return rows.select("row_key", "text").mapInArrow(run, "set_key binary, shingles binary").dropDuplicates(["set_key"])
 
 
 def cells(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -162,7 +170,13 @@ def by_cell(rows: DataFrame, each: Callable[[pa.Table], pa.Table | None], schema
 
 
 def matrix(table: pa.Table) -> np.ndarray:
-    return table["bits"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    return np.frombuffer(b"".join(table["bits"].to_pylist()), np.int64).reshape(table.num_rows, -1)
+
+
+def values_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all sets of some rows, and the length of each set."""
+    sets = [unpacked(x) for x in table["shingles"]]
+    return np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(x) for x in sets], np.int64)
 
 
 def alike_in_size(n: int, others: np.ndarray) -> np.ndarray:
@@ -198,7 +212,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 us, vs = [], []
                 leads, keys, shingles = part.column("leads").to_pylist(), part.column("set_key").to_pylist(), part.column("shingles")
                 for k, (is_lead, key) in enumerate(zip(leads, keys, strict=True)):
-                    values = shingles[k].values.to_numpy(zero_copy_only=False)
+                    values = unpacked(shingles[k])
                     if is_lead:
                         head, head_set = key, values
                         continue
@@ -231,8 +245,9 @@ def near_across(table: pa.Table) -> pa.Table:
 def links_across(table: pa.Table) -> pa.Table:
     """Links that join components among the sets of a cell, confirmed on the full sets."""
     few, many = table.filter(table["few"]), table.filter(pc.invert(table["few"]))
-    values, lengths = sets_of(few["shingles"])
-    others, n = Postings(*sets_of(many["shingles"])), sets_of(many["shingles"])[1]
+    values, lengths = values_of(few)
+    all_values, n = values_of(many)
+    others = Postings(all_values, n)
     roots, keys = (np.array(many[c].to_pylist(), object) for c in ("root", "set_key"))
     top, us, vs = {}, [], []
 
@@ -290,7 +305,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     content = [F.expr(f"bit_xor(xxhash64(set_key, {k}))").alias(f"content_{k}") for k in range(2)]
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), *content).where("rows > 1").groupBy("rows", "content_0", "content_1").agg(F.min("key").alias("key"))
     members = materialize(keys.join(buckets.select("key", "rows"), "key"), "buckets")
-    sets = materialize(full_sets(rows, members.select("set_key").distinct().join(classes, "set_key").select("row_key")), "shingles")
+    sets = materialize(full_sets(rows, materialize(members.select("set_key").distinct().join(classes, "set_key").select("row_key"), "rows-of-sets")), "shingles")
     blocks = F.ceil(F.col("rows") / ROWS).cast("long")
     cell = members.select("set_key", F.xxhash64("key", F.pmod(F.xxhash64("set_key"), blocks)).alias("cell"))
     heads = members.where(F.col("rows") > ROWS).groupBy("key", "rows").agg(F.min("set_key").alias("set_key")).select("key", "set_key", "rows", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("i"))
