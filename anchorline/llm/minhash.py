@@ -35,8 +35,8 @@ WIDTH, PERCENT = 5, 85
 LANES, BANDS, DEPTH, BITS, LEAST = 256, 36, 7, 2, 0.72
 #: Bits a key and at most of the bitmap of rows whose sets are read again: what it lets through beside them costs time alone.
 KEY_BITS, MOST_BITS = 16, 1 << 28
-#: Shingles whose minima are taken at a time; sets compared at a time, and shingles of the sets of a block.
-SOME, ROWS, MANY = 256, 2048, 1 << 20
+#: Shingles whose minima are taken at a time; bytes of text read at a time; sets of a block, and shingles of its sets.
+SOME, BYTES, ROWS, MANY = 256, 2 << 20, 2048, 1 << 20
 
 _GAPS, _LOWER = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
 _GAPS[[9, 10, 11, 12, 13, 32]] = True
@@ -114,7 +114,7 @@ def signed(rows: DataFrame) -> DataFrame:
     """``doc_id, row_key, set_key, n, bits, bands`` of ``rows(doc_id, row_key, text)``."""
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, size=BYTES):
             sets = shingles_of(part.column(2))
             least = [minima(s) for s in sets]
             bands = pa.array([band_keys(m) if len(s) else [] for m, s in zip(least, sets, strict=True)], pa.list_(pa.int64()))
@@ -129,7 +129,7 @@ def full_sets(rows: DataFrame, named: DataFrame) -> DataFrame:
     wanted = rows.sparkSession.sparkContext.broadcast(sieve(named, "row_key", bits))
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, size=BYTES):
             part = part.filter(pa.array(let_through(wanted.value, part.column(0).to_numpy().view(np.uint64))))
             sets = shingles_of(part.column(1))
             yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.binary()), packed(sets)], ["set_key", "shingles"])
