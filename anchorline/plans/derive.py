@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.markers import encode_reference_marker
+from ..operators.parts import MEDIA, TEXTS, with_relationships
+from ..operators.routing import image_mime
 
 EXTENSIONS = (".doc", ".docx", ".ppt", ".pptx", ".xls", ".xlsx", ".xmind", ".pdf", ".md", ".markdown", ".zip", "")
 MIMES = ("", "application/pdf", "text/plain", "application/msword", "application/octet-stream")
@@ -120,32 +122,39 @@ def gathered(rows: DataFrame, key: str, order: list[str], value: Column) -> Data
     return rows.groupBy(F.col(key).alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct(*order, value.alias("v"))))["v"], "").alias("xml"))
 
 
-def part(df: DataFrame, path: Column | str, text: Column) -> DataFrame:
-    return df.select("doc_id", F.lit(0).alias("part_no"), (F.lit(path) if isinstance(path, str) else path).alias("part_path"), text.cast("binary").alias("content"))
+def packages(df: DataFrame, texts: Column, media: dict[str, str] | None = None) -> DataFrame:
+    """``doc_id, texts, media, rels`` of ``df(doc_id, ...)`` with an array ``texts`` of parts and the same images in each, by path with their bytes."""
+    images = F.array(*(F.struct(F.lit(1000 + k), F.lit(path), image_mime(F.lit(path)), F.sha2(F.lit(data), 256)) for k, (path, data) in enumerate((media or {}).items())))
+    return with_relationships(df.select("doc_id", texts.cast(TEXTS).alias("texts"), images.cast(MEDIA).alias("media")))
 
 
-def docx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_part(path: Column | str, text: Column | str, part_no: Column | int = 0) -> Column:
+    return F.struct((F.lit(part_no) if isinstance(part_no, int) else part_no).cast("int").alias("part_no"), (F.lit(path) if isinstance(path, str) else path).alias("part_path"), (F.lit(text) if isinstance(text, str) else text).alias("text"))
+
+
+def docx_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as Word documents: a paragraph, then a table of line items with a picture in each row's second cell."""
     rel = '<Relationships><Relationship Id="rId1" Type="image" Target="media/image1.png"/></Relationships>'
     cell = lambda text: F.concat(F.lit("<w:tc><w:p><w:r><w:t>"), text, F.lit("</w:t></w:r></w:p></w:tc>"))
     row = F.concat(F.lit("<w:tr>"), cell(F.col("l_linenumber").cast("string")), F.lit('<w:tc><w:p><w:t xml:space="preserve">'), xml_of(F.concat(F.lit("<"), F.col("l_linestatus"), F.lit("> & "), F.col("l_returnflag"))), F.lit('</w:t><w:drawing><a:blip r:embed="rId1"/></w:drawing></w:p></w:tc></w:tr>'))
     rows = gathered(lines(spark, sf_dir), "l_orderkey", ["l_linenumber"], row)
-    main = part(rows, "word/document.xml", F.concat(F.lit("<w:document><w:body><w:p><w:r><w:t>Order  "), F.col("doc_id"), F.lit("</w:t></w:r></w:p><w:p></w:p><w:tbl>"), F.col("xml"), F.lit("</w:tbl></w:body></w:document>")))
-    return main.unionByName(part(rows, "word/_rels/document.xml.rels", F.lit(rel))).unionByName(part(rows, "word/media/image1.png", F.lit("png")))
+    main = F.concat(F.lit("<w:document><w:body><w:p><w:r><w:t>Order  "), F.col("doc_id"), F.lit("</w:t></w:r></w:p><w:p></w:p><w:tbl>"), F.col("xml"), F.lit("</w:tbl></w:body></w:document>"))
+    return packages(rows, F.array(text_part("word/document.xml", main), text_part("word/_rels/document.xml.rels", rel, 1)), {"word/media/image1.png": "png"})
 
 
-def pptx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pptx_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as presentations: a slide for each line item, with a shape whose place is the quantity, a picture, and none on every fourth slide."""
-    items = lines(spark, sf_dir).withColumn("doc_id", F.col("l_orderkey"))
     shape = F.concat(F.lit('<p:sp><p:spPr><a:xfrm><a:off x="'), F.col("l_quantity").cast("int"), F.lit('" y="0"/><a:ext cx="50" cy="100"/></a:xfrm></p:spPr><a:t>Part '), F.col("l_partkey"), F.lit('</a:t></p:sp><p:pic><a:blip r:embed="rId1"/></p:pic>'))
     slide = F.concat(F.lit("<p:sld><p:spTree>"), F.when(F.col("l_linenumber") == 4, "").otherwise(shape), F.lit("</p:spTree></p:sld>"))
     path = F.concat(F.lit("ppt/slides/slide"), F.col("l_linenumber"), F.lit(".xml"))
     rels = F.concat(F.lit("ppt/slides/_rels/slide"), F.col("l_linenumber"), F.lit(".xml.rels"))
-    orders = items.select("doc_id").distinct()
-    return part(items, path, slide).unionByName(part(items, rels, F.lit('<Relationship Id="rId1" Target="../media/a.png"/>'))).unionByName(part(orders, "ppt/presentation.xml", F.lit('<p:sldSz cx="100" cy="200"/>'))).unionByName(part(orders, "ppt/media/a.png", F.lit("png")))
+    n = 2 * F.col("l_linenumber")
+    each = lines(spark, sf_dir).withColumn("a", text_part(path, slide, n)).withColumn("b", text_part(rels, '<Relationship Id="rId1" Target="../media/a.png"/>', n + 1))
+    books = each.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.concat(F.collect_list("a"), F.collect_list("b"))).alias("parts"))
+    return packages(books, F.concat("parts", F.array(text_part("ppt/presentation.xml", '<p:sldSz cx="100" cy="200"/>'))), {"ppt/media/a.png": "png"})
 
 
-def xlsx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def xlsx_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as workbooks: a row for each line item, with a raw, a shared and an inline value, and one drawing of the sheet and one of none."""
     row = F.concat(F.when(F.col("l_linenumber") == 1, '<row r="3">').otherwise("<row>"), F.lit("<c><v>"), F.col("l_quantity").cast("int"), F.lit('</v></c><c t="s"><v>'), F.col("l_linenumber") % 3, F.lit('</v></c><c t="inlineStr"><is><t>'), F.col("l_linestatus"), F.lit("</t></is></c></row>"))
     books = gathered(lines(spark, sf_dir), "l_orderkey", ["l_linenumber"], row)
@@ -153,24 +162,38 @@ def xlsx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = {
         "xl/workbook.xml": '<workbook><sheets><sheet name="Lines" r:id="rId1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationship Id="rId1" Target="worksheets/sheet1.xml"/>',
         "xl/sharedStrings.xml": "<sst><si><t>zero</t></si><si><r><t>o</t></r><r><t>ne</t></r></si></sst>", "xl/worksheets/_rels/sheet1.xml.rels": '<Relationship Id="rId9" Target="../drawings/drawing1.xml"/>',
-        "xl/drawings/drawing1.xml": anchor, "xl/drawings/drawing2.xml": anchor, "xl/drawings/_rels/drawing1.xml.rels": '<Relationship Id="rId1" Target="../media/a.jpg"/>', "xl/drawings/_rels/drawing2.xml.rels": '<Relationship Id="rId1" Target="../media/a.jpg"/>', "xl/media/a.jpg": "jpg",
+        "xl/drawings/drawing1.xml": anchor, "xl/drawings/drawing2.xml": anchor, "xl/drawings/_rels/drawing1.xml.rels": '<Relationship Id="rId1" Target="../media/a.jpg"/>', "xl/drawings/_rels/drawing2.xml.rels": '<Relationship Id="rId1" Target="../media/a.jpg"/>',
     }
-    out = part(books, "xl/worksheets/sheet1.xml", F.concat(F.lit("<worksheet><sheetData>"), F.col("xml"), F.lit('</sheetData><drawing r:id="rId9"/></worksheet>')))
-    for path, text in fixed.items():
-        out = out.unionByName(part(books, path, F.lit(text)))
-    return out
+    sheet = text_part("xl/worksheets/sheet1.xml", F.concat(F.lit('<worksheet><sheetData>'), F.col("xml"), F.lit('</sheetData><drawing r:id="rId9"/></worksheet>')))
+    return packages(books, F.array(sheet, *(text_part(p, t, k + 1) for k, (p, t) in enumerate(fixed.items()))), {"xl/media/a.jpg": "jpg"})
 
 
-def xmind_parts(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
+def xmind_packages(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
     """Customers as mind maps, their orders as topics with a note, in JSON or XML."""
     orders = table(spark, sf_dir, "orders")
     if form == "json":
         topic = F.to_json(F.struct(F.concat(F.lit("Order "), F.col("o_orderkey")).alias("title"), F.struct(F.struct(F.col("o_orderpriority").alias("content")).alias("plain")).alias("notes")))
         maps = orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("o_orderkey", topic.alias("v"))))["v"], ",").alias("xml"))
-        return part(maps, "content.json", F.concat(F.lit('[{"title":"Sheet","rootTopic":{"title":"Customer '), F.col("doc_id"), F.lit('","children":{"attached":['), F.col("xml"), F.lit("]}}}]")))
+        return packages(maps, F.array(text_part("content.json", F.concat(F.lit('[{"title":"Sheet","rootTopic":{"title":"Customer '), F.col("doc_id"), F.lit('","children":{"attached":['), F.col("xml"), F.lit("]}}}]")))))
     topic = F.concat(F.lit("<topic><title>Order "), F.col("o_orderkey"), F.lit("</title><notes><plain>"), F.col("o_orderpriority"), F.lit("</plain></notes></topic>"))
     maps = gathered(orders, "o_custkey", ["o_orderkey"], topic)
-    return part(maps, "content.xml", F.concat(F.lit("<map><topic><title>Customer "), F.col("doc_id"), F.lit("</title>"), F.col("xml"), F.lit("</topic></map>")))
+    return packages(maps, F.array(text_part("content.xml", F.concat(F.lit("<map><topic><title>Customer "), F.col("doc_id"), F.lit("</title>"), F.col("xml"), F.lit("</topic></map>")))))
+
+
+def order_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, name, texts, media`` (images with their bytes): the orders of each customer as a Word document with a picture a paragraph, a workbook or a mind map."""
+    word = F.concat(F.lit("<w:p><w:r><w:t>Order "), F.col("o_orderkey"), F.lit('</w:t></w:r><w:drawing><a:blip r:embed="rId1"/></w:drawing></w:p>'))
+    row = F.concat(F.lit('<row><c t="inlineStr"><is><t>'), F.col("o_orderpriority"), F.lit("</t></is></c></row>"))
+    topic = F.to_json(F.struct(F.concat(F.lit("Order "), F.col("o_orderkey")).alias("title")))
+    kind = F.col("o_custkey") % 3
+    one = F.when(kind == 0, word).when(kind == 1, row).otherwise(topic)
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("v"))))["v"], "\n").alias("xml"))
+    kind, xml = F.col("doc_id") % 3, F.col("xml")
+    docx = F.array(text_part("word/document.xml", F.concat(F.lit("<w:body>"), xml, F.lit("</w:body>"))), text_part("word/_rels/document.xml.rels", '<Relationship Id="rId1" Target="media/a.png"/>', 1))
+    xlsx = F.array(text_part("xl/workbook.xml", '<sheet name="Orders" r:id="rId1"/>'), text_part("xl/_rels/workbook.xml.rels", '<Relationship Id="rId1" Target="sheet.xml"/>', 1), text_part("xl/sheet.xml", xml, 2))
+    xmind = F.array(text_part("content.json", F.concat(F.lit('[{"title":"S","rootTopic":{"title":"Customer","children":{"attached":['), F.replace(xml, F.lit("\n"), F.lit(",")), F.lit("]}}}]"))))
+    image = F.when(kind == 0, F.array(F.struct(F.lit("word/media/a.png").alias("part_path"), F.concat(F.lit("png "), F.col("doc_id")).cast("binary").alias("content"))))
+    return rows.select("doc_id", F.concat(F.lit("c"), F.col("doc_id"), F.when(kind == 0, ".docx").when(kind == 1, ".xlsx").otherwise(".xmind")).alias("name"), F.when(kind == 0, docx).when(kind == 1, xlsx).otherwise(xmind).alias("texts"), image.alias("media"))
 
 
 def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:

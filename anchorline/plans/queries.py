@@ -12,6 +12,7 @@ from ..functions import answers, geometry, keys, markers, text
 from ..functions.location import location_text
 from ..operators import blocks as corpus
 from ..operators import context, docx, markdown, messages, parts, pdftext, pptx, references, releases, routing, vision, xlsx, xmind
+from ..sources import files
 from ..sources.commits import FIELD, commit_fields
 from ..sources.messages import read_messages
 from ..sources.scratch import shared_dir
@@ -454,7 +455,7 @@ def w6_previous_release_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT l_orderkey AS doc_id, count(*)::BIGINT AS rels, 'word/media/image1.png' AS target_part FROM (SELECT DISTINCT l_orderkey FROM lineitem) GROUP BY l_orderkey")
 def j1_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts.resolve_relationships(derive.docx_parts(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rels"), F.first("target_part").alias("target_part"))
+    return parts.resolve_relationships(derive.docx_packages(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rels"), F.first("target_part").alias("target_part"))
 
 
 @registered(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM {derive.LINES})
@@ -462,22 +463,20 @@ SELECT DISTINCT l_orderkey AS doc_id, 'p-1' AS id, 'Order ' || l_orderkey AS tex
 UNION ALL SELECT l_orderkey, 'p-' || (2 * k + 1), l_linenumber::VARCHAR, '行:' || k || '｜列:1' FROM r
 UNION ALL SELECT l_orderkey, 'p-' || (2 * k + 2), '<' || l_linestatus || '> & ' || l_returnflag, '行:' || k || '｜列:2' FROM r""")
 def b1_docx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docx.docx_blocks(derive.docx_parts(spark, sf_dir)).select("doc_id", "id", "text", location_text(F.col("location")).alias("location"))
+    return docx.docx_blocks(derive.docx_packages(spark, sf_dir)).select("doc_id", "id", "text", location_text(F.col("location")).alias("location"))
 
 
 @registered(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM {derive.LINES})
 SELECT l_orderkey AS doc_id, 'p-' || (2 * k + 2) || '-img-1' AS id, 'image1.png' AS name, 'image/png' AS mime, 'p-' || (2 * k + 2) AS anchor FROM r""")
 def b2_docx_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = derive.docx_parts(spark, sf_dir)
-    return docx.docx_images(given, parts.resolve_relationships(given), routing.filter_image_parts(given)).select("doc_id", "id", "name", "mime", F.col("location.anchor").alias("anchor"))
+    return docx.docx_images(derive.docx_packages(spark, sf_dir)).select("doc_id", "id", "name", "mime", F.col("location.anchor").alias("anchor"))
 
 
 @registered(f"""SELECT l_orderkey AS doc_id, 'slide-' || l_linenumber || '-text-1' AS id, 'text' AS type, 'Part ' || l_partkey AS text, least(1000, l_quantity::INT * 10) AS x1, least(1000, l_quantity::INT * 10 + 500) AS x2 FROM {derive.LINES} WHERE l_linenumber <> 4
 UNION ALL SELECT l_orderkey, 'slide-' || l_linenumber || '-img-1', 'image', NULL, 0, 0 FROM {derive.LINES} WHERE l_linenumber <> 4
 UNION ALL SELECT l_orderkey, 'slide-4-empty', 'text', '[空白或未解析的幻灯片]', NULL, NULL FROM {derive.LINES} WHERE l_linenumber = 4""")
 def b3_j5_pptx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = derive.pptx_parts(spark, sf_dir)
-    found = pptx.pptx_blocks(given, parts.resolve_relationships(given), routing.filter_image_parts(given))
+    found = pptx.pptx_blocks(derive.pptx_packages(spark, sf_dir))
     return found.select("doc_id", "id", "type", "text", F.get("location.bbox", F.lit(0)).alias("x1"), F.get("location.bbox", F.lit(2)).alias("x2"))
 
 
@@ -486,14 +485,12 @@ SELECT l_orderkey AS doc_id, 'sheet-Lines-A' || k AS id, l_quantity::INT::VARCHA
 UNION ALL SELECT l_orderkey, 'sheet-Lines-B' || k, CASE l_linenumber % 3 WHEN 0 THEN 'zero' ELSE 'one' END, k FROM r WHERE l_linenumber % 3 < 2
 UNION ALL SELECT l_orderkey, 'sheet-Lines-C' || k, l_linestatus, k FROM r""")
 def b4_j2_j3_xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = derive.xlsx_parts(spark, sf_dir)
-    return xlsx.xlsx_cells(given, parts.resolve_relationships(given)).select("doc_id", "id", "text", F.col("location.row").cast("long").alias("row"))
+    return xlsx.xlsx_cells(derive.xlsx_packages(spark, sf_dir)).select("doc_id", "id", "text", F.col("location.row").cast("long").alias("row"))
 
 
 @registered("""SELECT DISTINCT l_orderkey AS doc_id, 'xlsx-img-1' AS id, '3:2-5:4' AS range, 'Lines' AS sheet FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 'xlsx-img-2', '3:2-5:4', NULL FROM lineitem""")
 def b5_j4_xlsx_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = derive.xlsx_parts(spark, sf_dir)
-    return xlsx.xlsx_images(given, parts.resolve_relationships(given), routing.filter_image_parts(given)).select("doc_id", "id", "location.range", "location.sheet")
+    return xlsx.xlsx_images(derive.xlsx_packages(spark, sf_dir)).select("doc_id", "id", "location.range", "location.sheet")
 
 
 _TOPICS = "WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS c FROM orders)"
@@ -503,14 +500,14 @@ _TOPICS = "WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER
 UNION ALL SELECT o_custkey, 'xmind-' || 2 * k, 'Order ' || o_orderkey, 'Customer ' || o_custkey || ' > Order ' || o_orderkey FROM o
 UNION ALL SELECT o_custkey, 'xmind-' || (2 * k + 1), '[备注]' || chr(10) || o_orderpriority, 'Customer ' || o_custkey || ' > Order ' || o_orderkey FROM o""")
 def b6_xmind_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xmind.xmind_json_blocks(derive.xmind_parts(spark, sf_dir, "json")).select("doc_id", "id", "text", F.col("location.topicPath").alias("path"))
+    return xmind.xmind_json_blocks(derive.xmind_packages(spark, sf_dir, "json")).select("doc_id", "id", "text", F.col("location.topicPath").alias("path"))
 
 
 @registered(_TOPICS + """SELECT DISTINCT o_custkey AS doc_id, 'xmind-' || (2 * c + 1) AS id, 'Customer ' || o_custkey AS text, 'Customer ' || o_custkey AS path FROM o
 UNION ALL SELECT o_custkey, 'xmind-' || (2 * k - 1), 'Order ' || o_orderkey, 'Customer ' || o_custkey || ' > Order ' || o_orderkey FROM o
 UNION ALL SELECT o_custkey, 'xmind-' || 2 * k, '[备注]' || chr(10) || o_orderpriority, 'Customer ' || o_custkey || ' > Order ' || o_orderkey FROM o""")
 def b7_xmind_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xmind.xmind_xml_blocks(derive.xmind_parts(spark, sf_dir, "xml")).select("doc_id", "id", "text", F.col("location.topicPath").alias("path"))
+    return xmind.xmind_xml_blocks(derive.xmind_packages(spark, sf_dir, "xml")).select("doc_id", "id", "text", F.col("location.topicPath").alias("path"))
 
 
 @registered("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents)
@@ -519,17 +516,43 @@ def b9_pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdftext.pdf_text_fallback(derive.pdf_files(spark, sf_dir)).select("doc_id", F.col("page").cast("int").alias("page"), "text")
 
 
-@registered()
+_ORDER_BLOCKS = """SELECT doc_id, type, count(*)::BIGINT AS blocks, sum(length(text))::BIGINT AS chars FROM (
+SELECT l_orderkey * 3 AS doc_id, 'text' AS type, 'Order ' || l_orderkey AS text FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+UNION ALL SELECT l_orderkey * 3, 'text', unnest([l_linenumber::VARCHAR, '<' || l_linestatus || '> & ' || l_returnflag]) FROM {lines} UNION ALL SELECT l_orderkey * 3, 'image', NULL FROM {lines}
+UNION ALL SELECT l_orderkey * 3 + 1, 'text', unnest([l_quantity::INT::VARCHAR, l_linestatus]) FROM {lines} UNION ALL SELECT l_orderkey * 3 + 1, 'text', CASE l_linenumber % 3 WHEN 0 THEN 'zero' ELSE 'one' END FROM {lines} WHERE l_linenumber % 3 < 2
+UNION ALL SELECT DISTINCT l_orderkey * 3 + 1, 'image', unnest([NULL, NULL]::VARCHAR[]) FROM {lines} UNION ALL SELECT DISTINCT l_orderkey * 3 + 1, 'image', NULL FROM {lines}
+UNION ALL SELECT o_custkey * 3 + 2, 'text', unnest(['Order ' || o_orderkey, '[备注]' || chr(10) || o_orderpriority]) FROM orders UNION ALL SELECT DISTINCT o_custkey * 3 + 2, 'text', 'Customer ' || o_custkey FROM orders) GROUP BY ALL"""
+
+
+@registered(_ORDER_BLOCKS.format(lines=derive.LINES))
 def b10_extract_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of Word, spreadsheet and mind-map parts of all orders and customers, in one table."""
-    words, books, maps = derive.docx_parts(spark, sf_dir), derive.xlsx_parts(spark, sf_dir), derive.xmind_parts(spark, sf_dir, "json")
-    shifted = lambda df, k: df.withColumn("doc_id", F.col("doc_id") * 3 + k)
-    given = shifted(words, 0).unionByName(shifted(books, 1)).unionByName(shifted(maps, 2))
-    kind = F.get(F.array(F.lit("docx"), F.lit("xlsx"), F.lit("xmind")), (F.col("doc_id") % 3).cast("int"))
-    found, _ = corpus.parse_parts(given, given.select("doc_id").distinct().withColumn("doc_type", kind))
+    """Blocks of Word, spreadsheet and mind-map packages of all orders and customers, in one table."""
+    given = [("docx", derive.docx_packages(spark, sf_dir)), ("xlsx", derive.xlsx_packages(spark, sf_dir)), ("xmind", derive.xmind_packages(spark, sf_dir, "json"))]
+    one, *others = (df.withColumn("doc_id", F.col("doc_id") * 3 + k).withColumn("doc_type", F.lit(kind)) for k, (kind, df) in enumerate(given))
+    for more in others:
+        one = one.unionByName(more)
+    found, _ = corpus.parse_packages(one)
     return found.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("chars"))
 
 
+@registered("""WITH o AS (SELECT *, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
+SELECT 'c' || c || '.docx' AS name, 'docx' AS doc_type, (2 * k - 1)::INT AS block_no, 'p-' || k AS id, 'Order ' || o_orderkey AS text, NULL AS image FROM o WHERE c % 3 = 0
+UNION ALL SELECT 'c' || c || '.docx', 'docx', (2 * k)::INT, 'p-' || k || '-img-1', NULL, 'png ' || c FROM o WHERE c % 3 = 0
+UNION ALL SELECT 'c' || c || '.xlsx', 'xlsx', k::INT, 'sheet-Orders-A' || k, o_orderpriority, NULL FROM o WHERE c % 3 = 1
+UNION ALL SELECT 'c' || c || '.xmind', 'xmind', (k + 1)::INT, 'xmind-' || (k + 1), 'Order ' || o_orderkey, NULL FROM o WHERE c % 3 = 2
+UNION ALL SELECT DISTINCT 'c' || c || '.xmind', 'xmind', 1, 'xmind-1', 'Customer', NULL FROM o WHERE c % 3 = 2""")
+def s1_s2_s5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real container files of all customers' orders, written, read, unpacked and stored as blocks and image bytes, and read again."""
+    where = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    files.write_files(files.packed(derive.order_packages(spark, sf_dir)), f"{where}/in")
+    read = files.read_documents(spark, f"{where}/in").withColumn("mime", F.lit(""))
+    docs, blocks, _ = corpus.extract_corpus(read)
+    files.write_blocks(blocks, f"{where}/out", read)
+    stored = spark.read.schema("doc_id long, block_no int, id string, text string, sha string, doc_type string").parquet(f"{where}/out/blocks")
+    images = spark.read.parquet(f"{where}/out/image_content").select("doc_id", "sha", F.col("content").cast("string").alias("image")).distinct()
+    return stored.join(images, ["doc_id", "sha"], "left").join(docs.select("doc_id", "name"), "doc_id").select("name", "doc_type", "block_no", "id", "text", "image")
+
+
 def _streamed(spark: SparkSession, stream: DataFrame, schema: str | None = None) -> DataFrame:
     """All rows that a stream gives for what lies in its source now."""
     base = shared_dir(spark)

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.parts import MEDIA, TEXTS
+from ..operators.routing import IMAGE_MIME
+
 #: Bytes of one part and of all parts of a container, unpacked, beyond which it is an error.
 MAX_PART_BYTES, MAX_TOTAL_BYTES = 256 * 1024 * 1024, 1024 * 1024 * 1024
+#: Bytes of parts that are handed on together.
+BATCH_BYTES = 8 << 20
 
-_PARTS = "doc_id long, part_no int, part_path string, content binary, error string"
+#: Parts that are read as text; a mind map has no images that count.
+_READ = re.compile(r"\.(xml|rels|json)$", re.I)
+_BAD = (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, OSError)
+_TEXTS = pa.list_(pa.struct([("part_no", pa.int32()), ("part_path", pa.string()), ("text", pa.string())]))
+_MEDIA = pa.list_(pa.struct([("part_no", pa.int32()), ("part_path", pa.string()), ("mime", pa.string()), ("sha", pa.string())]))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -23,38 +35,135 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumns({"name": F.element_at(F.split("path", "/"), -1), "doc_id": F.xxhash64("path")})
 
 
-def _entries(doc_id: int, content: bytes, part_bytes: int, total_bytes: int) -> Iterator[tuple]:
+def _opened(content: bytes, part_bytes: int, total_bytes: int) -> tuple[zipfile.ZipFile, list[zipfile.ZipInfo]]:
+    z = zipfile.ZipFile(io.BytesIO(content or b""))
+    infos = [i for i in z.infolist() if not i.is_dir()]
+    if any(i.file_size > part_bytes for i in infos) or sum(i.file_size for i in infos) > total_bytes:
+        raise ValueError("container_too_large")
+    return z, infos
+
+
+def _image_mime(path: str) -> str | None:
+    return IMAGE_MIME.get(path.rpartition(".")[2].lower()) if "." in path else None
+
+
+def _package(content: bytes, part_bytes: int, total_bytes: int) -> tuple[list, list, str | None, int]:
+    """Texts and images of a container, an error, and how many bytes of text."""
+    texts, media, size = [], [], 0
     try:
-        with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-            infos = [i for i in z.infolist() if not i.is_dir()]
-            if any(i.file_size > part_bytes for i in infos) or sum(i.file_size for i in infos) > total_bytes:
-                yield doc_id, None, None, None, "container_too_large"
-                return
+        z, infos = _opened(content, part_bytes, total_bytes)
+        with z:
             for k, info in enumerate(infos):
-                yield doc_id, k, info.filename, z.read(info), None
-    except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, OSError) as e:
-        yield doc_id, None, None, None, f"bad_container: {type(e).__name__}"
+                if _READ.search(info.filename):
+                    text = z.read(info).decode("utf-8", "replace")
+                    texts.append((k, info.filename, text))
+                    size += len(text)
+                elif info.file_size and (mime := _image_mime(info.filename)):
+                    digest = hashlib.sha256()
+                    with z.open(info) as part:
+                        while piece := part.read(1 << 20):
+                            digest.update(piece)
+                    media.append((k, info.filename, mime, digest.hexdigest()))
+    except ValueError as e:
+        return [], [], str(e), 0
+    except _BAD as e:
+        return [], [], f"bad_container: {type(e).__name__}", 0
+    return texts, media, None, size
+
+
+def unpack_packages(files: DataFrame, *keep: str, part_bytes: int = MAX_PART_BYTES, total_bytes: int = MAX_TOTAL_BYTES) -> DataFrame:
+    """``doc_id``, the columns ``keep``, ``texts``, ``media`` and ``error`` of ZIP containers ``files(doc_id, content)``, a row each.
+
+    A container is unpacked where it is read. Of images only hashes come out; their bytes stay behind (:func:`image_bytes`).
+    One container is held at a time, and rows are handed on in bounded batches. A container that cannot be read, or that is
+    too large unpacked, is a row with an ``error``.
+    """
+    given = files.select("doc_id", *keep, "content")
+    names = ["doc_id", *keep, "texts", "media", "error"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, texts, media, errors, size = [], [], [], [], 0
+
+            def told(batch=batch, at=at, texts=texts, media=media, errors=errors):
+                rows = pa.array(at, pa.int64())
+                out = [*(batch.column(c).take(rows) for c in range(1 + len(keep))), pa.array(texts, _TEXTS), pa.array(media, _MEDIA), pa.array(errors, pa.string())]
+                return pa.RecordBatch.from_arrays(out, names)
+
+            for k in range(batch.num_rows):
+                own_texts, own_media, error, n = _package(batch.column(1 + len(keep))[k].as_py(), part_bytes, total_bytes)
+                at.append(k), texts.append(own_texts), media.append(own_media), errors.append(error)
+                size += n
+                if size >= BATCH_BYTES:
+                    yield told()
+                    at.clear(), texts.clear(), media.clear(), errors.clear()
+                    size = 0
+            yield told()
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    return given.mapInArrow(run, f"{kinds}, texts {TEXTS}, media {MEDIA}, error string")
+
+
+def image_bytes(files: DataFrame, part_bytes: int = MAX_PART_BYTES, total_bytes: int = MAX_TOTAL_BYTES) -> DataFrame:
+    """``doc_id, part_path, mime, sha, content`` of the images in ZIP containers ``files(doc_id, content)``, one part at a time; those that cannot be read give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, content in zip(batch.column(0), batch.column(1), strict=True):
+                try:
+                    z, infos = _opened(content.as_py(), part_bytes, total_bytes)
+                    with z:
+                        for info in infos:
+                            if info.file_size and not _READ.search(info.filename) and (mime := _image_mime(info.filename)):
+                                data = z.read(info)
+                                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([info.filename]), pa.array([mime]), pa.array([hashlib.sha256(data).hexdigest()]), pa.array([data], pa.binary())], ["doc_id", "part_path", "mime", "sha", "content"])
+                except (ValueError, *_BAD):
+                    continue
+
+    return files.select("doc_id", "content").mapInArrow(run, "doc_id long, part_path string, mime string, sha string, content binary")
+
+
+def packed(packages: DataFrame) -> DataFrame:
+    """``name, content``: ZIP containers of ``packages(name, texts, media)``, of texts by path and images ``(part_path, content)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, texts, media in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    for part in texts or []:
+                        z.writestr(part["part_path"], part["text"] or "")
+                    for part in media or []:
+                        z.writestr(part["part_path"], part["content"] or b"")
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([out.getvalue()], pa.binary())], ["name", "content"])
+
+    return packages.select("name", "texts", "media").mapInArrow(run, "name string, content binary")
 
 
-def unpack_containers(df: DataFrame, part_bytes: int = MAX_PART_BYTES, total_bytes: int = MAX_TOTAL_BYTES) -> tuple[DataFrame, DataFrame]:
-    """``parts(doc_id, part_no, part_path, content)`` of ZIP containers ``df(doc_id, content)``, one at a time, and ``errors(doc_id, error)``."""
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write ``files(name, content)`` into a folder that tasks reach by its URI, and say how many. A file that is written again is the same file."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "part_no", "part_path", "content", "error"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, at = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        to.create_dir(at, recursive=True)
         for batch in batches:
-            for doc_id, content in batch.itertuples(index=False):
-                rows = pd.DataFrame(list(_entries(doc_id, content, part_bytes, total_bytes)), columns=names)
-                yield rows.astype({"part_no": "Int32"})
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with to.open_output_stream(f"{at}/{name}") as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
 
-    found = df.select("doc_id", "content").mapInPandas(run, _PARTS)
-    return found.where("error is null").drop("error"), found.where("error is not null").select("doc_id", "error")
+    return files.select("name", "content").mapInArrow(run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
 
 
-def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Block rows by document type; image bytes apart, under their hash, so that blocks stay light."""
+def write_blocks(blocks: DataFrame, path: str, containers: DataFrame | None = None) -> None:
+    """Block rows by document type; image bytes apart, under their hash, so that blocks stay light: those inside of texts, and those of ``containers(doc_id, content)``."""
     blocks.drop("content").write.mode("error").partitionBy("doc_type").parquet(f"{path}/blocks")
-    image_content(blocks).write.mode("error").parquet(f"{path}/image_content")
+    images = image_content(blocks)
+    if containers is not None:
+        images = images.unionByName(image_bytes(containers).select("doc_id", "sha", "content"), allowMissingColumns=True)
+    images.write.mode("error").parquet(f"{path}/image_content")
 
 
 def image_content(blocks: DataFrame) -> DataFrame:
-    return blocks.where("type = 'image'").select("doc_id", "block_no", "id", "content", F.sha2("content", 256).alias("sha"))
+    """Images whose bytes are in their blocks."""
+    return blocks.where("type = 'image' and content is not null").select("doc_id", "block_no", "id", "content", "sha")
