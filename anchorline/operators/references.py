@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.markers import DIGITS, HIDDEN, START, decode_reference_marker
 from ..functions.text import js_trim
 from .routing import MAX_DOCUMENT_BYTES, document_type
+from .scans import RANGE, ranged, ranges_before, with_carried, within
 
 #: References of a message that are followed; visible forms of a reference; the envelope of a document in a text; texts that stand for documents.
 MAX_REFS = 16
@@ -181,31 +182,45 @@ def resolve_by_token(refs: DataFrame, store: DataFrame) -> DataFrame:
 
 def resolve_by_name(refs: DataFrame, store: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
     """References by name ``(name, msg_ts, ...)`` and the ``doc_id`` of the latest document of that name that was stored by then
-    and is still alive. As-of by a union and a running last value, so a name with many references and stores stays a sort."""
+    and is still alive. As-of by a union and a running last value over ranges of name and time, so a name may hold any share of the rows."""
     wanted = refs.where("token is null").withColumn("_name", js_trim(F.col("name")))
     columns = wanted.columns
     kept = store.select(F.col("name").alias("_name"), F.col("created_at").alias("msg_ts"), F.struct("created_at", "last_used_at", "doc_id").alias("_stored"))
-    both = wanted.withColumn("_stored", F.lit(None).cast(kept.schema["_stored"].dataType)).withColumn("_is_ref", F.lit(1)).unionByName(kept.withColumn("_is_ref", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy("_name").orderBy("msg_ts", "_is_ref", "_stored.doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = both.withColumn("_last", F.last("_stored", ignorenulls=True).over(order)).where("_is_ref = 1")
+    both = wanted.withColumn("_stored", F.lit(None).cast(kept.schema["_stored"].dataType)).withColumn("_is_ref", F.lit(1)).unionByName(kept.withColumn("_is_ref", F.lit(0)), allowMissingColumns=True).withColumn("_doc", F.col("_stored.doc_id"))
+    order = ("msg_ts", "_is_ref", "_doc")
+    dealt = with_carried(ranged(both, "_name", *order), "_name", {"_latest": F.max_by("_stored", F.when(F.col("_is_ref") == 0, F.struct("msg_ts", "_doc")))}, {"_before": F.last("_latest", ignorenulls=True).over(ranges_before("_name"))})
+    last = dealt.withColumn("_last", F.coalesce(F.last("_stored", ignorenulls=True).over(within("_name", *order)), "_before")).where("_is_ref = 1")
     used = F.greatest(F.col("_last.created_at"), F.least(F.coalesce("_last.last_used_at", "_last.created_at"), F.col("msg_ts")))
     alive = (F.unix_millis("msg_ts") - F.unix_millis(used)) <= ttl_ms
     return last.select(*(c for c in columns if c != "_name"), F.when(alive & (F.col("_name") != ""), F.col("_last.doc_id")).alias("doc_id"))
 
 
 def retain_references(store: DataFrame, now: Column, owner: str, ttl_ms: int = TTL_MS, max_items: int = MAX_ITEMS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """What each ``owner`` keeps: nothing idle for longer than ``ttl_ms``, then the longest run of newest items within both caps."""
+    """What each ``owner`` keeps: nothing idle for longer than ``ttl_ms``, then the longest run of newest items within both caps.
+    Items are summed over ranges of owner and time, so an owner may hold any share of the rows."""
     idle = F.unix_millis(now) - F.unix_millis(F.coalesce("last_used_at", "created_at"))
-    newest = Window.partitionBy(owner).orderBy(F.desc("created_at"), F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
-    counted = store.where(idle <= ttl_ms).withColumns({"_items": F.count(F.lit(1)).over(newest), "_bytes": F.sum("n_bytes").over(newest)})
-    return counted.where((F.col("_items") <= max_items) & (F.col("_bytes") <= max_bytes)).drop("_items", "_bytes")
+    later = ranges_before(owner, descending=True)
+    sums = {"_range_items": F.count(F.lit(1)), "_range_bytes": F.sum("n_bytes")}
+    dealt = with_carried(ranged(store.where(idle <= ttl_ms), owner, "created_at", "token"), owner, sums, {f"_later_{c}": F.coalesce(F.sum(f"_range_{c}").over(later), F.lit(0)) for c in ("items", "bytes")})
+    newest = within(owner, F.desc("created_at"), F.desc("token"))
+    counted = dealt.withColumns({"_items": F.col("_later_items") + F.count(F.lit(1)).over(newest), "_bytes": F.col("_later_bytes") + F.coalesce(F.sum("n_bytes").over(newest), F.lit(0))})
+    return counted.where((F.col("_items") <= max_items) & (F.col("_bytes") <= max_bytes)).select(*store.columns)
 
 
 def reference_liveness(uses: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
-    """``token, ts, alive`` of uses, the first of a token being its creation: alive while no gap so far exceeds ``ttl_ms``."""
-    order = Window.partitionBy("token").orderBy("ts")
-    gap = F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(order))
-    return uses.withColumn("_late", F.coalesce(gap > ttl_ms, F.lit(False))).select(*uses.columns, (~F.max("_late").over(order)).alias("alive"))
+    """``token, ts, alive`` of uses, the first of a token being its creation: alive while no gap so far exceeds ``ttl_ms``.
+    Gaps are looked for within ranges of token and time and between them, so a token may have any number of uses."""
+    dealt = ranged(uses, "token", "ts")
+    gap = F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(Window.partitionBy("token", RANGE).orderBy("ts")))
+    dealt = dealt.withColumn("_late", F.coalesce(gap > ttl_ms, F.lit(False)))
+    each = Window.partitionBy("token").orderBy(RANGE)
+    between = F.coalesce(F.unix_millis("_first") - F.unix_millis(F.lag("_last").over(each)) > ttl_ms, F.lit(False))
+    summary = {"_first": F.min("ts"), "_last": F.max("ts"), "_any": F.max("_late")}
+    ranges = dealt.groupBy("token", RANGE).agg(*(v.alias(k) for k, v in summary.items())).withColumn("_between", between)
+    before = F.coalesce(F.max(F.col("_any") | F.col("_between")).over(ranges_before("token")), F.lit(False)) | F.col("_between")
+    carried = ranges.select(F.col("token").alias("_key"), F.col(RANGE).alias("_no"), before.alias("_before"))
+    joined = dealt.join(carried, dealt["token"].eqNullSafe(carried["_key"]) & (dealt[RANGE] == carried["_no"]), "left")
+    return joined.select(*uses.columns, (~(F.col("_before") | F.max("_late").over(within("token", "ts")))).alias("alive"))
 
 
 def attachment_extension(name: Column, mime: Column) -> Column:

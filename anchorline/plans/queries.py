@@ -12,7 +12,7 @@ from ..functions import answers, geometry, keys, markers, text
 from ..functions.location import location_text
 from ..operators import blocks as corpus
 from ..operators import context, docx, markdown, messages, parts, pdftext, pptx, references, releases, routing, vision, xlsx, xmind
-from ..sources import files
+from ..sources import cache, files
 from ..sources.commits import FIELD, commit_fields
 from ..sources.messages import read_messages
 from ..sources.scratch import shared_dir
@@ -582,3 +582,69 @@ def t5_stream_attachment_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.when(((F.col("conv_id") + F.col("turn")) % 6).isin(0, 4), F.concat("text", markers.encode_reference_marker(name, token, F.lit("text/markdown")))).otherwise(F.col("text"))
     events = _event_stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.lit("user/message").alias("event_type"), F.col("role").alias("source_kind"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.array(F.struct(F.lit("text").alias("type"), marked.alias("text"))).alias("content"))
     return _streamed(spark, jobs.stream_attachment_cards(events).withColumn("anchor_seq", F.col("anchor_seq").cast("double")))
+
+
+@registered("""WITH k AS (SELECT 'u' || user_id AS key, max(event_id) AS e FROM events GROUP BY 1) SELECT key, e AS ts_us, CASE WHEN e % 2 = 0 THEN 'first ' ELSE 'second ' END || e AS text FROM k ORDER BY e DESC LIMIT 40""")
+def s6_cache_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of two writers, one after the other, then one that dies before it has published: the newest whole generation holds the newest entry of each key."""
+    e = F.col("event_id")
+    text_ = F.concat(F.when(e % 2 == 0, "first ").otherwise("second "), e)
+    nothing = F.lit("")
+    entries = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("u"), F.col("user_id")).alias("key"), F.lit("describe").alias("mode"), F.lit("m").alias("model"), nothing.alias("base_url"), nothing.alias("query"), text_.alias("text"), nothing.alias("html"), F.timestamp_micros("event_id").alias("ts"))
+    path = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        cache.upsert_cache(entries.where(e % 2 == part), path)
+    cache.write_rows(entries.withColumn("text", F.lit("lost")), path)
+    return cache.read_cache(spark, path).select("key", F.unix_micros("ts").alias("ts_us"), "text")
+
+
+def _keyed_state(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@registered(_LIVENESS)
+def t3_stream_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Liveness of tokens with state per token, stopped half-way and started again from its checkpoint."""
+    _keyed_state(spark)
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    uses = derive.uses(spark, sf_dir)
+    bounds = uses.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    half = F.unix_micros("first") + (F.unix_micros("last") - F.unix_micros("first")) / 2
+    marked = uses.crossJoin(F.broadcast(bounds)).select("token", "ts", (F.unix_micros("ts") > half).alias("late"))
+    # A last use of a token of its own moves the watermark past all others.
+    end = bounds.where("last is not null").select(F.lit("~end").alias("token"), (F.col("last") + F.expr("interval 1000 days")).alias("ts"))
+    for part in (marked.where("not late").select("token", "ts"), marked.where("late").select("token", "ts"), end):
+        part.write.mode("append").parquet(f"{where}/in")
+        stream = jobs.stream_reference_liveness(spark.readStream.schema(uses.schema).parquet(f"{where}/in"), 3 * 86_400_000, "1 hour")
+        stream.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{where}/rows").where("token <> '~end'").select("token", F.unix_micros("ts").alias("ts_us"), "alive")
+
+
+@registered("""SELECT doc_id, count(*)::BIGINT AS blocks, sum(length(line))::BIGINT AS chars FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> '' GROUP BY doc_id""")
+def t1_stream_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown files, read as a stream in two runs of which the last batch is handed to the sink twice."""
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    d = F.col("doc_id")
+    given = table(spark, sf_dir, "documents").select(d, F.concat(F.lit("d"), d, F.lit(".md")).alias("name"), F.encode(F.replace("text", F.lit("\n"), F.lit("\n\n")), "UTF-8").alias("content"))
+    sink = jobs.batch_sink(f"{where}/out")
+
+    def twice(docs: DataFrame, blocks: DataFrame, errors: DataFrame, number: int) -> None:
+        sink(docs, blocks, errors, number)
+        sink(docs, blocks, errors, number)
+
+    for part, handed in ((0, sink), (1, twice)):
+        files.write_files(given.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == part), f"{where}/in")
+        jobs.stream_extract(spark, f"{where}/in", handed).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    names = jobs.read_batches(spark, f"{where}/out", "docs", "doc_id long, name string").select(F.col("doc_id").alias("_id"), F.regexp_extract("name", "[0-9]+", 0).cast("long").alias("doc_id"))
+    found = jobs.read_batches(spark, f"{where}/out", "blocks", "doc_id long, text string").select(F.col("doc_id").alias("_id"), "text")
+    return found.join(names, "_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("chars"))
+
+
+@registered("""WITH r AS (SELECT event_id AS request_id, event_type || '|' || user_id % 100 AS cache_key, ts FROM events), f AS (SELECT cache_key, ts + INTERVAL 1 MINUTE AS result_ts, 'answer ' || request_id AS answer FROM r WHERE request_id % 3 = 0)
+SELECT r.request_id, count(*)::BIGINT AS results, max(answer) AS answer FROM r JOIN f USING (cache_key) WHERE result_ts BETWEEN r.ts - INTERVAL 1 HOUR AND r.ts + INTERVAL 1 HOUR GROUP BY 1""")
+def a5_stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests and results as two streams: each asker has the results of its key within an hour."""
+    events = _event_stream(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.concat_ws("|", "event_type", F.col("user_id") % 100).alias("cache_key"), F.col("ts").cast("timestamp").alias("ts"))
+    results = events.where("request_id % 3 = 0").select("cache_key", (F.col("ts") + F.expr("interval 1 minute")).alias("result_ts"), F.concat(F.lit("answer "), F.col("request_id")).alias("answer"))
+    told = _streamed(spark, jobs.stream_fan_out(events, results, "1 hour", "36500 days").select("request_id", "answer"))
+    return told.groupBy("request_id").agg(F.count(F.lit(1)).alias("results"), F.max("answer").alias("answer"))

@@ -27,6 +27,21 @@ def stream_extract(spark: SparkSession, path: str, sink: Callable[[DataFrame, Da
     return named.writeStream.foreachBatch(each)
 
 
+def batch_sink(path: str) -> Callable[[DataFrame, DataFrame, DataFrame, int], None]:
+    """A sink of :func:`stream_extract` that keeps each batch under its number: a batch that is run again replaces itself, so every block is there once."""
+
+    def sink(docs: DataFrame, blocks: DataFrame, errors: DataFrame, number: int) -> None:
+        for name, rows in (("docs", docs), ("blocks", blocks), ("errors", errors)):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+    return sink
+
+
+def read_batches(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """What :func:`batch_sink` has kept of ``docs``, ``blocks`` or ``errors``."""
+    return spark.read.schema(schema + ", batch long").parquet(f"{path}/{name}")
+
+
 def stream_expand_messages(blocks: DataFrame, resolve: Callable[[DataFrame], DataFrame], contexts: DataFrame, sink: Callable[[DataFrame, int], None]):
     """Message blocks of a stream, expanded with a table of contexts; ``resolve`` gives a batch's segments with their ``doc_id``."""
 
@@ -87,5 +102,17 @@ def stream_dedup_requests(requests: DataFrame, watermark: str = "10 minutes", ts
     return requests.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["cache_key"])
 
 
+def stream_fan_out(requests: DataFrame, results: DataFrame, within: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
+    """Every asker ``requests(cache_key, ts, ...)`` with the ``results(cache_key, result_ts, ...)`` of its key that came at most ``within`` before or after it.
+
+    A request that comes while its key is being answered, or soon after, has the answer that others asked for. Both sides are
+    kept until the watermarks have passed ``within``, so the state is bounded by the rows of that time.
+    """
+    asked = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    told = results.withColumn("result_ts", F.col("result_ts").cast("timestamp")).withWatermark("result_ts", watermark).withColumnRenamed("cache_key", "_key")
+    near = F.expr(f"result_ts between ts - interval {within} and ts + interval {within}")
+    return asked.join(told, (F.col("cache_key") == F.col("_key")) & near).drop("_key")
+
+
 def stream_attachment_cards(events: DataFrame) -> DataFrame:
     return attachment_cards(events)
