@@ -18,10 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores where it has few splits, as a table of one file has; a large one stays as it is."""
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` over all cores where it has few files, as a table of one file has; a large one stays as it is. What is joined or gathered by the key later needs no other deal."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 4 * cores else df
+    return df.repartition(cores, key) if len(df.inputFiles()) < 4 * cores else df
 
 
 def pick(values: tuple[str, ...], key: Column) -> Column:
@@ -44,7 +44,7 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose line ends become paragraph breaks with an image reference, or an embedded image in every seventh document."""
     d = F.col("doc_id")
     image = F.when(d % 7 == 0, "![fig](data:image/PNG;base64,iVBORw==)").otherwise(F.concat(F.lit("![fig](img/"), d, F.lit(".png)")))
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.concat(F.lit("doc"), d, F.lit(".md")).alias("name"), F.replace("text", F.lit(".\n"), F.concat(F.lit(".\n\n"), image, F.lit("\ntail\n"))).alias("text"))
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.concat(F.lit("doc"), d, F.lit(".md")).alias("name"), F.replace("text", F.lit(".\n"), F.concat(F.lit(".\n\n"), image, F.lit("\ntail\n"))).alias("text"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

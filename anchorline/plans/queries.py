@@ -15,7 +15,7 @@ from ..operators import context, docx, markdown, messages, parts, pdftext, pptx,
 from ..sources import cache, files
 from ..sources.commits import FIELD, commit_fields
 from ..sources.messages import read_messages
-from ..sources.scratch import shared_dir
+from ..sources.scratch import shared_dir, written_once
 from ..streaming import jobs
 from . import derive
 from .derive import table
@@ -128,7 +128,16 @@ def b8_markdown_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(image).alias("images"))
 
 
-@registered()
+_MARKDOWN = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, '.' || chr(10))) AS piece, generate_subscripts(string_split(text, '.' || chr(10)), 1) AS k, len(string_split(text, '.' || chr(10))) AS n FROM documents),
+lined AS (SELECT *, 3 + 4 * (k - 1) + sum(length(piece) - length(replace(piece, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY k) AS line FROM l),
+p AS (SELECT doc_id, trim(CASE WHEN k > 1 THEN 'tail' || chr(10) ELSE '' END || piece || CASE WHEN k < n THEN '.' ELSE '' END, ' ' || chr(10)) AS text, k, 0 AS j, NULL AS line FROM lined UNION ALL SELECT doc_id, '', k, 1, line FROM lined WHERE k < n),
+b AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, j))::INT AS block_no, text, j = 1 AS image, line::VARCHAR AS line, doc_id % 7 = 0 AS embedded FROM p WHERE text <> '' OR j = 1),
+blocks AS (SELECT doc_id, block_no, CASE WHEN image AND embedded THEN 'image' ELSE 'text' END AS type, CASE WHEN NOT image THEN 'md-' WHEN embedded THEN 'md-img-' ELSE 'md-img-ref-' END || block_no AS id,
+CASE WHEN NOT image THEN text WHEN NOT embedded THEN '[Markdown 图片: fig]' END AS text, CASE WHEN image AND embedded THEN 'fig' END AS name, CASE WHEN image AND embedded THEN 'image/png' END AS mime, CASE WHEN image AND embedded THEN 'markdown-data-url' END AS source,
+CASE WHEN image THEN '第 ' || line || ' 行' ELSE '文档顺序锚点' END AS location FROM b)"""
+
+
+@registered(_MARKDOWN + " SELECT * FROM blocks")
 def b8_markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = markdown.markdown_blocks(derive.markdown(spark, sf_dir))
     return found.select("doc_id", "block_no", "type", "id", "text", "name", "mime", "source", location_text(F.col("location")).alias("location"))
@@ -139,18 +148,30 @@ SELECT doc_id, '[原文文本层]' || chr(10) || string_agg('[md-' || k || '][
 SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE trim(line) <> '') GROUP BY doc_id)""".replace("1949", str(2000 - len("\n\n[原文文本层已截断：超过 2000 字符，请分段上传或缩小文档范围]"))))
 def a1_text_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as paragraphs, with a low cap so that many texts are cut."""
-    docs = derive.spread(table(spark, sf_dir, "documents")).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    docs = derive.spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return context.text_layer(docs, markdown.markdown_blocks(docs), 2000)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive.markdown(spark, sf_dir).select("doc_id", "name", F.lit("markdown").alias("doc_type"), F.lit(corpus.PRECISIONS["markdown"]).alias("location_precision"))
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(d, F.concat(F.lit("doc"), d, F.lit(".md")).alias("name"), F.lit("markdown").alias("doc_type"), F.lit(corpus.PRECISIONS["markdown"]).alias("location_precision"))
 
 
-@registered()
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_NL = "chr(10)"
+
+
+@registered(f"""{_MARKDOWN}, t AS (SELECT doc_id, string_agg('[' || id || '][' || location || ']' || {_NL} || text, {_NL} || {_NL} ORDER BY block_no) AS entries FROM blocks WHERE type = 'text' GROUP BY doc_id),
+i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS image_no FROM blocks WHERE type = 'image'),
+m AS (SELECT doc_id, count(*) AS images, string_agg('[图片 ' || id || '][' || location || ']' || {_NL} || CASE WHEN image_no <= {context.MAX_IMAGES} AND block_no % 2 = 0 THEN {_sql(chr(10).join(["图片类型:text-like", "图片 OCR（不是原文正文）:seen", "图片对象:box(left)", "识别置信度:0.9"]))} ELSE {_sql(chr(10).join(["图片类型:mixed", "图片详细描述:" + context.IMAGE_FAILED, "识别置信度:0"]))} END, {_NL} || {_NL} ORDER BY block_no) AS entries FROM i GROUP BY doc_id)
+SELECT doc_id, {_sql("[文档开始]" + chr(10) + "文件名:doc")} || doc_id || {_sql(".md" + chr(10) + "格式:markdown" + chr(10) + "位置精度:" + corpus.PRECISIONS["markdown"] + chr(10) * 2 + context.TEXT_HEAD)} || coalesce(t.entries, {_sql(context.TEXT_NONE)}) || {_sql(chr(10) * 2 + context.IMAGE_HEAD)} || coalesce(m.entries, {_sql(context.IMAGE_NONE)})
+|| CASE WHEN images > {context.MAX_IMAGES} THEN {_NL} || {_NL} || '[图片内容层已省略 ' || (images - {context.MAX_IMAGES}) || ' 张图片：超过单文档图片上限 {context.MAX_IMAGES}]' ELSE '' END || {_sql(chr(10) * 2 + context.CONSTRAINTS)} AS context FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)""")
 def a3_document_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as Markdown, to their whole context."""
-    docs, found = _docs(spark, sf_dir), markdown.markdown_blocks(derive.markdown(spark, sf_dir))
+    """Documents as Markdown, to their whole context; they are parsed once."""
+    docs, found = _docs(spark, sf_dir), written_once(markdown.markdown_blocks(derive.markdown(spark, sf_dir)).drop("content"), "blocks")
     images = context.select_document_images(found)
     results = images.where("selected and block_no % 2 = 0").select("doc_id", "id", F.struct(F.lit("text-like").alias("kind"), F.lit("seen").alias("ocr"), F.lit("a picture").alias("description"), F.array(F.struct(F.lit("box").alias("label"), F.lit("left").alias("position"))).alias("objects"), F.lit(0.9).alias("confidence")).alias("result"))
     layer = context.image_layer(docs, context.attach_image_results(images, results))
@@ -204,7 +225,7 @@ def m11_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m8_m9_image_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     good = F.concat(F.lit('Sure: ```json\n{"kind":"colorful","ocr":" {x} ","objects":[{"label":" e'), e, F.lit(' "},{"label":3}],"confidence":'), F.when(e % 3 == 0, '"none"').otherwise("7"), F.lit("} done ```"))
-    given = derive.spread(table(spark, sf_dir, "events")).select("event_id", answers.normalize_image_result(F.when(e % 4 == 3, '{"kind": broken').otherwise(good)).alias("r"))
+    given = derive.spread(table(spark, sf_dir, "events"), "event_id").select("event_id", answers.normalize_image_result(F.when(e % 4 == 3, '{"kind": broken').otherwise(good)).alias("r"))
     return given.select("event_id", F.get("r.objects", F.lit(0))["label"].alias("label"), "r.confidence", "r.kind", F.size("r.objects").alias("n_objects"))
 
 
@@ -212,7 +233,7 @@ def m8_m9_image_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m10_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity").cast("int")
     answer = F.concat(F.lit('{"answer":"a","objects":[{"label":"none"},{"label":"x","bbox":["'), q, F.lit('",5,30,10]}],"relations":[{"subject":"a","relation":"b","object":"c"},{"subject":"a"}]}'))
-    found = derive.spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", answers.normalize_grounding(answer).alias("g"))
+    found = derive.spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select("l_orderkey", "l_linenumber", answers.normalize_grounding(answer).alias("g"))
     first = F.get("g.objects", F.lit(0))
     return found.select("l_orderkey", "l_linenumber", first["bbox"][0].alias("x1"), first["bbox"][2].alias("x2"), first["center"][0].alias("cx"), first["region"].alias("region"), F.size("g.objects").alias("n_objects"), F.size("g.relations").alias("n_relations"))
 
@@ -313,7 +334,7 @@ def s3_a4_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = F.concat(F.lit('[{"text":"a","text":'), t, F.lit('},{"type":"tool-result","content":5,"content":['), t, F.lit("]}]"))
     deep = F.concat(F.lit("[" + '{"type":"tool-result","content":[' * _DEEP), t, F.lit("]}" * _DEEP + "]"))
     content = F.when(k == 0, "[]").when(k == 1, F.concat(F.lit('{"role":'), t, F.lit("}"))).when(k == 2, odd).when(k == 3, twice).otherwise(deep)
-    given = derive.spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "text", content.alias("content"), F.lit(True).alias("is_array"))
+    given = derive.spread(table(spark, sf_dir, "conversations"), "conv_id").select("conv_id", "turn", "text", content.alias("content"), F.lit(True).alias("is_array"))
     found = read_messages(given)
     counts = found.join(given.select("conv_id", "turn", F.col("text").alias("wanted")), ["conv_id", "turn"]).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("blocks"), F.max(F.size("path")).alias("depth"), F.count_if(F.col("text") == F.col("wanted")).alias("texts"))
     return messages.rebuild_messages(found).join(counts, ["conv_id", "turn"])
@@ -322,10 +343,6 @@ def s3_a4_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENTRIES = """SELECT doc_id, string_agg('[md-' || k || '][文档顺序锚点]' || chr(10) || line, chr(10) || chr(10) ORDER BY k) AS entries FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE trim(line) <> '') GROUP BY doc_id"""
 
 
-def _sql(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 @registered(f"""WITH e AS ({_ENTRIES}), d AS (SELECT doc_id, (doc_id % 6)::INT AS k, {_sql("[文档开始]" + chr(10) + "文件名:a b+")} || doc_id || {_sql(".md" + chr(10) + "格式:markdown" + chr(10) + "位置精度:" + corpus.PRECISIONS["markdown"] + chr(10) + chr(10) + context.TEXT_HEAD)} || coalesce(entries, {_sql(context.TEXT_NONE)}) || {_sql(chr(10) * 2 + context.IMAGE_HEAD + context.IMAGE_NONE + chr(10) * 2 + context.CONSTRAINTS)} AS c FROM documents LEFT JOIN e USING (doc_id)),
 t AS (SELECT *, CASE k WHEN 2 THEN {_sql(references.FAILED.format(references.BAD_BASE64))} WHEN 3 THEN {_sql(references.FAILED.format(references.UNSUPPORTED))} WHEN 4 THEN {_sql(references.FAILED.format(references.BAD_URI))} WHEN 5 THEN {_sql(references.FAILED.format(references.BAD_ZIP))} ELSE 'before' || chr(10) || chr(10) || c || chr(10) || chr(10) || 'after' END AS x FROM d)
 SELECT doc_id, CASE WHEN k = 1 THEN '[{{"type":"tool-result","content":["plain",{{"type":"text","text":' || to_json(x)::VARCHAR || '}}]}}]' ELSE '[{{"type":"text","text":' || to_json(x)::VARCHAR || '}}]' END AS content FROM t""")
@@ -338,7 +355,7 @@ def a4_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mime = F.when(k < 3, "text%2Fmarkdown").otherwise("")
     text_ = F.concat(F.lit("before [[SFV_DOCUMENT_V1 name="), name, F.lit(" mime="), mime, F.lit("]]\n"), code, F.lit("\n[[/SFV_DOCUMENT_V1]] after"))
     content = F.when(k == 1, F.concat(F.lit('[{"type":"tool-result","content":["plain",{"type":"text","text":'), _quoted(text_), F.lit("}]}]"))).otherwise(text_)
-    given = derive.spread(table(spark, sf_dir, "documents")).select(d.alias("conv_id"), F.lit(0).alias("turn"), content.alias("content"), (k == 1).alias("is_array"))
+    given = derive.spread(table(spark, sf_dir, "documents"), "doc_id").select(d.alias("conv_id"), F.lit(0).alias("turn"), content.alias("content"), (k == 1).alias("is_array"))
     return messages.rebuild_messages(messages.expand_envelopes(read_messages(given))).select(F.col("conv_id").alias("doc_id"), "content")
 
 
@@ -359,7 +376,7 @@ def a4_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of messages, alone and within a tool result, as what the cache or the last response to each of their requests says, in all modes and failures."""
     n, picture = F.col("conv_id") % 7, F.concat(F.lit('{"type":"image","attachment":{"name":"p'), F.col("conv_id"), F.lit("-"), F.col("turn"))
     content = F.concat(F.lit("["), _quoted(derive.pick(derive.QUESTIONS, F.col("conv_id") + F.col("turn"))), F.lit(","), picture, F.lit('a"}},{"type":"tool-result","content":['), picture, F.lit('b"}},"after"]}]'))
-    blocks = read_messages(derive.spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", content.alias("content"), F.lit(True).alias("is_array")))
+    blocks = read_messages(derive.spread(table(spark, sf_dir, "conversations"), "conv_id").select("conv_id", "turn", content.alias("content"), F.lit(True).alias("is_array")))
     requests = messages.image_requests(blocks, references.message_query(blocks))
     key = F.concat_ws("|", F.get_json_object("attachment", "$.name"), "mode", "query")
     requests = requests.withColumns({"cache_key": key, "request_id": key})
