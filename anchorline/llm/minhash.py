@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,10 +124,15 @@ def signed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row_key long, set_key binary, n long, bits binary, bands array<long>")
 
 
+def bitmap(keys: DataFrame, column: str) -> Broadcast:
+    """A bitmap of a column of hashes, sized by their number up to :data:`MOST_BITS`. It lets few others through, more where they are very many; an exact step follows."""
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (KEY_BITS * keys.count()).bit_length()))
+    return keys.sparkSession.sparkContext.broadcast(sieve(keys, column, bits))
+
+
 def full_sets(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """``set_key, shingles`` of the rows whose key is in ``named(row_key)``, and of few others; shingles are packed as 64-bit numbers."""
-    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (KEY_BITS * named.count()).bit_length()))
-    wanted = rows.sparkSession.sparkContext.broadcast(sieve(named, "row_key", bits))
+    """``set_key, shingles`` of the rows whose key is in ``named(row_key)``, and of few others, each set once; shingles are packed as 64-bit numbers."""
+    wanted = bitmap(named, "row_key")
 
     def run(batches):
         for part in slices(batches, size=BYTES):
@@ -134,7 +140,25 @@ def full_sets(rows: DataFrame, named: DataFrame) -> DataFrame:
             sets = shingles_of(part.column(1))
             yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.binary()), packed(sets)], ["set_key", "shingles"])
 
-    return rows.select("row_key", "text").mapInArrow(run, "set_key binary, shingles binary").dropDuplicates(["set_key"])
+    found = materialize(rows.select("row_key", "text").mapInArrow(run, "set_key binary, shingles binary"), "shingles")
+    # Sets are dealt by their keys only if rows that are equal whole, ids included, gave one of them twice.
+    if found.groupBy("set_key").count().where("count > 1").isEmpty():
+        return found
+    return materialize(found.dropDuplicates(["set_key"]), "shingles")
+
+
+def members_of(classes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``key, rows, set_key`` of the sets in ``buckets(key, rows)``: only band keys that may be in a bucket leave their tasks."""
+    wanted = bitmap(buckets, "key")
+
+    def run(batches):
+        for batch in batches:
+            bands = batch.column(1)
+            keys, of = bands.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(bands)), bands.value_lengths().to_numpy(zero_copy_only=False))
+            ok = let_through(wanted.value, keys.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[ok])), pa.array(keys[ok])], ["set_key", "key"])
+
+    return classes.select("set_key", "bands").mapInArrow(run, "set_key binary, key long").join(buckets, "key").select("key", "rows", "set_key")
 
 
 def cells(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -225,18 +249,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_across(table: pa.Table) -> pa.Table:
-    """The sets of a cell that are near one of another component."""
+    """The sets of a cell that are near one of another component which shares no bucket of a lesser key with them."""
     few = table["few"].to_numpy(zero_copy_only=False)
-    bits, n = matrix(table), table["n"].to_numpy()
+    bits, n, before = matrix(table), table["n"].to_numpy(), table["before"].to_pylist()
     root, most, key = (np.array(table[c].to_pylist(), object) for c in ("root", "most", "set_key"))
     others, hit = np.flatnonzero(~few), np.zeros(len(few), bool)
     bits_b, n_b, root_b, key_b = bits[others], n[others], root[others], key[others]
     ordinary = root_b != most[others]
+    lengths = np.array([len(before[k]) for k in others], np.int64)
+    earlier = Postings(np.array([x for k in others for x in before[k]], np.int64), lengths)
     for k in np.flatnonzero(few):
         ok = (root_b != root[k]) & alike_in_size(n[k], n_b)
         ok[ok] = ~ordinary[ok] | (key_b[ok] > key[k])
         at = np.flatnonzero(ok)
         at = at[estimates(bits[k], bits_b[at]) >= LEAST]
+        if len(at):
+            at = at[earlier.shared(np.array(before[k], np.int64))[at] == 0]
         hit[k] |= len(at) > 0
         hit[others[at]] = True
     return table.filter(pa.array(hit)).select(["cell", "set_key", "root", "few"])
@@ -272,8 +300,10 @@ def across(members: DataFrame, classes: DataFrame, links: DataFrame, sets: DataF
     roots = materialize(connected_components(links).withColumnRenamed("node", "set_key"), "roots")
     rooted = materialize(members.join(roots, "set_key", "left").select("key", "set_key", F.coalesce("root", "set_key").alias("root")), "rooted")
     most = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
-    mixed_rows = rooted.join(most.where("roots > 1").select("key", "most"), "key").join(classes.select("set_key", "n", "bits"), "set_key")
-    mixed_rows = materialize(mixed_rows.withColumn("few", F.col("root") != F.col("most")), "mixed-buckets")
+    in_mixed = materialize(rooted.join(most.where("roots > 1").select("key", "most"), "key"), "mixed-buckets")
+    of_set = in_mixed.groupBy("set_key").agg(F.collect_list("key").alias("keys")).join(classes.select("set_key", "n", "bits"), "set_key")
+    before = F.filter("keys", lambda k: k < F.col("key"))
+    mixed_rows = materialize(in_mixed.join(of_set, "set_key").withColumns({"before": before, "few": F.col("root") != F.col("most")}).drop("keys"), "mixed-buckets")
 
     def blocks(of):
         return F.greatest(F.ceil(F.count(F.when(of, 1)) / ROWS), F.ceil(F.sum(F.when(of, F.col("n"))) / MANY)).cast("long")
@@ -282,7 +312,7 @@ def across(members: DataFrame, classes: DataFrame, links: DataFrame, sets: DataF
     dealt = hot_join(mixed_rows, materialize(sizes, "blocks"), "key")
     i, j = (F.pmod(F.xxhash64("set_key"), F.col(c)) for c in ("few_blocks", "all_blocks"))
     every_i, every_j = (F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("few_blocks", "all_blocks"))
-    named = ["key", "set_key", "root", "most", "n", "bits"]
+    named = ["key", "set_key", "root", "most", "n", "bits", "before"]
     both = dealt.where("few").select(*named, F.lit(True).alias("few"), i.alias("i"), every_j.alias("j")).unionByName(dealt.select(*named, F.lit(False).alias("few"), every_i.alias("i"), j.alias("j")))
     both = both.withColumn("cell", F.xxhash64("key", "i", "j")).drop("key", "i", "j")
     hits = materialize(by_cell(both, near_across, "cell long, set_key binary, root binary, few boolean"), "near-blocks")
@@ -304,8 +334,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = classes.select("set_key", F.explode("bands").alias("key"))
     content = [F.expr(f"bit_xor(xxhash64(set_key, {k}))").alias(f"content_{k}") for k in range(2)]
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), *content).where("rows > 1").groupBy("rows", "content_0", "content_1").agg(F.min("key").alias("key"))
-    members = materialize(keys.join(buckets.select("key", "rows"), "key"), "buckets")
-    sets = materialize(full_sets(rows, materialize(members.select("set_key").distinct().join(classes, "set_key").select("row_key"), "rows-of-sets")), "shingles")
+    members = materialize(members_of(classes, materialize(buckets.select("key", "rows"), "buckets")), "members")
+    sets = full_sets(rows, materialize(members.select("set_key").distinct().join(classes, "set_key").select("row_key"), "rows-of-sets"))
     blocks = F.ceil(F.col("rows") / ROWS).cast("long")
     cell = members.select("set_key", F.xxhash64("key", F.pmod(F.xxhash64("set_key"), blocks)).alias("cell"))
     heads = members.where(F.col("rows") > ROWS).groupBy("key", "rows").agg(F.min("set_key").alias("set_key")).select("key", "set_key", "rows", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("i"))
