@@ -39,8 +39,11 @@ HEAD = frozenset("html head base basefont bgsound link meta noframes noscript sc
 OMITTED, HELD = frozenset("select button noscript".split()), INLINE | VOID | SILENT | {"option", "optgroup"}
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article section main nav header footer aside form figure".split())
 
-#: A comment, a tag (quoted values may hold ``>``, unless a quote is never closed), or a declaration; each may be cut off by the end.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+(?=>)|[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: Silent elements that leave the block around them whole.
+QUIET = frozenset("script style template".split())
+
+#: A comment (``<!-->`` and ``<!--->`` are whole, and ``--!>`` ends one too), a tag (quoted values may hold ``>``, unless a quote is never closed), or a declaration; each may be cut off by the end.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+(?=>)|[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SELF_CLOSED = re.compile(r"(?<!=)(?:^|\s|[\"']|(?:^|\s)[^\s=]+)/\Z")
 _AGAIN = {tag: re.compile(f"<(/?){tag}\\b", re.I) for tag in OMITTED}
@@ -54,92 +57,168 @@ def names(tag: str, attributes: str) -> tuple[str, ...]:
     return (f"<{tag}", *(w for x in found for w in _NAME.findall(x.lower())))
 
 
-def still_open(stack: list[tuple[str, tuple[str, ...]]], tag: str, page: str, at: int) -> int:
-    """How many open elements stay so at a start tag inside a silent one, where end tags may be left out."""
-    stay = len(stack)
-    for k in range(len(stack) - 1, -1, -1):
-        name = stack[k][0]
-        if name == "head":
-            return stay if tag in HEAD else k
-        if name == "svg":
-            if tag not in BREAKOUT:
-                return stay
-            stay = k
-        elif name in OMITTED:
-            if tag != name:
-                if tag in HELD:
-                    return stay
-                after = _AGAIN[name].search(page, at)
-                if after and after[1]:
+def _bit(word: str, before: bytes = b"") -> int:
+    return crc32(before + word.encode("utf-8", "surrogatepass")) % PATH
+
+
+class Path:
+    """The words of an element and of those around it, outermost first. Elements share what is around them, and the buckets of all words are kept as bits, so one costs no more at any depth."""
+
+    __slots__ = ("around", "last", "mask", "words")
+
+    def __init__(self, around: Path | None = None, words: tuple[str, ...] = ()):
+        self.around, self.words = around, words
+        self.mask, self.last = (around.mask if around else 0), (_bit(words[0], b"last") if words else None)
+        for word in words:
+            self.mask |= 1 << _bit(word)
+
+    def __iter__(self):
+        parts, at = [], self
+        while at is not None:
+            parts.append(at.words)
+            at = at.around
+        return iter([w for ws in reversed(parts) for w in ws])
+
+    def __getitem__(self, k):
+        return tuple(self)[k]
+
+
+class Open:
+    """The elements that are open at a place of a page, in order, with what a step needs to know of them without going through all."""
+
+    def __init__(self, page: str):
+        self.page, self.top = page, Path()
+        self.tags: list[str] = []
+        self.paths: list[Path] = []
+        self.counts: dict[str, int] = {}
+        self.solid: list[int] = []
+        self.marks: list[int] = []
+        self.silent = 0
+        self.next: dict[str, re.Match | None] = {}
+
+    def path(self) -> Path:
+        return self.paths[-1] if self.paths else self.top
+
+    def push(self, tag: str, attributes: str) -> None:
+        if tag not in INLINE:
+            self.solid.append(len(self.tags))
+        if tag in SILENT or tag in ("foreignobject", "desc"):
+            self.marks.append(len(self.tags))
+        self.paths.append(self.path() if tag in INLINE else Path(self.path(), names(tag, attributes)))
+        self.tags.append(tag)
+        self.counts[tag] = self.counts.get(tag, 0) + 1
+        self.silent += tag in SILENT
+
+    def cut(self, size: int) -> None:
+        """Close all elements but the first so many."""
+        while len(self.tags) > size:
+            tag = self.tags.pop()
+            self.paths.pop()
+            self.counts[tag] -= 1
+            self.silent -= tag in SILENT
+        while self.solid and self.solid[-1] >= size:
+            self.solid.pop()
+        while self.marks and self.marks[-1] >= size:
+            self.marks.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the last element of its name and all in it; without one it does nothing."""
+        if self.counts.get(tag):
+            k = len(self.tags) - 1
+            while self.tags[k] != tag:
+                k -= 1
+            self.cut(k)
+
+    def again(self, name: str, at: int) -> re.Match | None:
+        """The next tag of that name from a place on; places only grow."""
+        known = self.next.get(name, False)
+        if known is False or known is not None and known.start() < at:
+            known = self.next[name] = _AGAIN[name].search(self.page, at)
+        return known
+
+    def stay(self, tag: str, at: int) -> int:
+        """How many open elements stay so at a start tag inside a silent one, where end tags may be left out."""
+        stay = len(self.tags)
+        for k in reversed(self.marks):
+            name = self.tags[k]
+            if name == "head":
+                return stay if tag in HEAD else k
+            if name == "svg":
+                if tag not in BREAKOUT:
                     return stay
-            stay = k
-        elif name in SILENT or name in ("foreignobject", "desc"):
-            return stay
-    return stay
+                stay = k
+            elif name in OMITTED:
+                if tag != name:
+                    if tag in HELD:
+                        return stay
+                    after = self.again(name, at)
+                    if after and after[1]:
+                        return stay
+                stay = k
+            else:
+                return stay
+        return stay
+
 
+def blocks_of(page: str | None) -> list[tuple[Path, str, int]]:
+    """``(path words, text, characters in links)`` of each leaf block with text, in page order.
 
-def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """``(path words, text, characters in links)`` of each leaf block with text, in page order; references decoded, white space folded."""
+    References are decoded in each piece of text between tags, then white space is folded. A page of any depth takes time in proportion to its length.
+    """
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    out: list[tuple[tuple[str, ...], str, int]] = []
+    stack = Open(page)
+    out: list[tuple[Path, str, int]] = []
     held: list[str] = []
-    linked = at = silent = 0
+    linked = at = 0
 
     def close() -> None:
         nonlocal linked
         if held:
-            text = " ".join(html.unescape("".join(held)).split())
+            text = " ".join("".join(held).split())
             if text:
-                out.append((tuple(w for tag, ws in stack if tag not in INLINE for w in ws), text, linked))
+                out.append((stack.path(), text, linked))
             held.clear()
             linked = 0
 
-    def pop() -> None:
-        nonlocal silent
-        silent -= stack.pop()[0] in SILENT
-
     end = len(page)
     while at < end:
         m = _TOKEN.search(page, at)
-        if silent and stack[-1][0] == "head" and page[at : m.start() if m else end].strip():
-            pop()
-        if not silent and (piece := page[at : m.start() if m else end]):
-            held.append(piece)
-            linked += len(piece) * any(tag == "a" for tag, _ in stack)
+        upto = m.start() if m else end
+        if stack.silent and stack.tags[-1] == "head" and page[at:upto].strip():
+            stack.cut(len(stack.tags) - 1)
+        if not stack.silent and upto > at:
+            held.append(html.unescape(page[at:upto]))
+            linked += (upto - at) * bool(stack.counts.get("a"))
         if not m:
             break
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if tag not in INLINE:
+        breaks = tag not in INLINE and tag not in QUIET
+        if m[1] and stack.silent:
+            # What is inside of a silent element breaks no block, unless it ends the element.
+            stack.end(tag)
+            if breaks and not stack.silent:
+                close()
+            continue
+        if stack.silent:
+            stack.cut(stack.stay(tag, at))
+        if breaks and not stack.silent:
             close()
-        elif tag == "br":
+        elif tag == "br" and not stack.silent:
             held.append(" ")
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    while len(stack) > k:
-                        pop()
-                    break
+            stack.end(tag)
             continue
-        if silent:
-            stay = still_open(stack, tag, page, at)
-            while len(stack) > stay:
-                pop()
         if tag in VOID or tag in ("svg", "math") and _SELF_CLOSED.search(m[3]):
             continue
-        if tag not in INLINE and stack:
+        if tag not in INLINE and tag not in QUIET and stack.solid:
             # Unclosed inline elements and a paragraph end where a new block begins.
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] in INLINE:
-                k -= 1
-            if k >= 0 and stack[k][0] in ENDED_BY and (ENDED_BY[stack[k][0]] is None or tag in ENDED_BY[stack[k][0]]):
-                while len(stack) > k:
-                    pop()
-        stack.append((tag, names(tag, m[3])))
-        silent += tag in SILENT
+            k = stack.solid[-1]
+            if stack.tags[k] in ENDED_BY and (ENDED_BY[stack.tags[k]] is None or tag in ENDED_BY[stack.tags[k]]):
+                stack.cut(k)
+        stack.push(tag, m[3])
         if tag in RAW:
             stop = re.compile(f"</{tag}", re.I).search(page, at)
             at = stop.start() if stop else end
@@ -154,10 +233,23 @@ def word_bucket(word: str) -> int:
 _buckets = Memory(word_bucket, 1 << 16)
 
 
-def path_bits(path: tuple[str, ...]) -> list[int]:
-    """Buckets of a path's words, and of the last element's name apart."""
+def path_key(path: Path | tuple[str, ...]) -> tuple[int, int | None]:
+    """The buckets of a path's words as bits, and that of the last element's name apart."""
+    if isinstance(path, Path):
+        return path.mask, path.last
+    mask = 0
+    for word in path:
+        mask |= 1 << _bit(word)
     last = max((k for k, w in enumerate(path) if w[0] == "<"), default=0)
-    return sorted({crc32(w.encode()) % PATH for w in path} | {crc32(b"last" + w.encode()) % PATH for w in path[last : last + 1]})
+    return mask, _bit(path[last], b"last") if path else None
+
+
+def path_bits(path: Path | tuple[str, ...]) -> list[int]:
+    """The numbers of those buckets."""
+    mask, last = path_key(path)
+    if last is not None:
+        mask |= 1 << last
+    return np.flatnonzero(np.unpackbits(np.frombuffer(mask.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little")).tolist()
 
 
 def numbers(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
@@ -187,9 +279,10 @@ class Labeller:
         return Labeller({k: v.astype(np.float32) for k, v in p.items()})
 
     def inputs(self, paths: list[tuple[str, ...]], x: np.ndarray) -> np.ndarray:
-        known: dict[tuple[str, ...], int] = {}
-        at = [known.setdefault(path, len(known)) for path in paths]
-        vectors = np.array([self.p["path"][path_bits(path)].sum(axis=0) for path in known], np.float32).reshape(-1, EMBED)
+        known: dict[tuple, int] = {}
+        at = [known.setdefault(path_key(path), len(known)) for path in paths]
+        first = {k: path for k, path in zip(reversed(at), reversed(paths), strict=True)}
+        vectors = np.array([self.p["path"][path_bits(first[k])].sum(axis=0) for k in range(len(known))], np.float32).reshape(-1, EMBED)
         return np.concatenate([vectors[at], x], axis=1)
 
     def score(self, pages: list[list[tuple]]) -> list[np.ndarray]:
