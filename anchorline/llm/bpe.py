@@ -272,15 +272,16 @@ def digest(text: str | None, path: str) -> tuple[int, str, str]:
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``ids array<int>`` of each whole text; a null text has no ids."""
+    """``keep`` columns and ``ids array<int>`` of each whole text; a null text has no ids. A kept column ``ids`` comes back as ``given_ids``."""
+    names = ["given_ids" if c == "ids" else c for c in keep]
 
     def run(batches):
         own = codec(path)
         for part in slices(batches):
             ids = [[k for block in own.encode(t or "") for k in block] for t in part.column(part.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"])
 
-    chosen = docs.select(*keep, F.col(text).cast("string").alias("text"))
+    chosen = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text).cast("string").alias("_text"))
     return chosen.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", ids array<int>")
 
 

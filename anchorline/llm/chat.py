@@ -82,6 +82,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         again = F.split(piece, END)
         same = (F.size(again) == 2) & F.coalesce((parsed(again[0])["role"] == F.col("role")) & (parsed(again[0])["text"] == F.col("text")), F.lit(False))
         given = given.withColumn("piece", F.when(same, piece)) if level == 0 else given.withColumn("piece", F.coalesce("piece", F.when(same, piece)))
+    # No turn is left out: one that no level restores, of which none is known, is an error.
+    given = given.withColumn("piece", F.coalesce("piece", F.raise_error(F.lit("a turn is not restored by any level of escapes"))))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     body_start = F.length(F.regexp_extract("piece", HEADER, 0))
     placed = given.select("conv_id", "role", "piece", F.row_number().over(order).alias("n"), F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), body_start.alias("head"), F.regexp_extract("piece", HEADER, 2).alias("level"))

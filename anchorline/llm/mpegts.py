@@ -183,10 +183,12 @@ def mux(docs: DataFrame) -> DataFrame:
 
 
 def demux(streams: DataFrame) -> DataFrame:
-    """``PARSED`` columns of ``streams(doc_id, media)`` and its other columns, each under its own name.
+    """``PARSED`` columns of ``streams(doc_id, media)`` and its other columns, each under its own name; one that is named as a parsed column comes back as ``given_`` and its name.
 
     A null or damaged stream gives what can be read, with its errors counted.
     """
+    parsed = {"payload", "packets", "programs", "stream_pid", "pes", "continuity_errors", "table_errors", "access_points"}
+    streams = streams.withColumnsRenamed({c: f"given_{c}" for c in streams.columns if c in parsed})
     rest = [f for f in streams.schema.fields if f.name not in ("doc_id", "media")]
 
     def run(batches):
