@@ -222,12 +222,18 @@ def nearest(table: pa.Table) -> pa.Table:
     return pa.table({"u": keys.take(pa.array(us, pa.int64())), "v": keys.take(pa.array(vs, pa.int64())), "estimate": pa.array(found, pa.float64())})
 
 
+def with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` with the ``shingles`` of their ``set_key``. Neither side has a bounded size, so the join is a merge at every size and nothing is broadcast."""
+    return rows.join(sets.hint("merge"), "set_key")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs(u, v)``, one a ``u``, whose full sets are similar. The set of a ``v`` is sent once a block of about :data:`ROWS` pairs."""
     most = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("long").alias("blocks"))
     dealt = materialize(hot_join(pairs, most, "v").withColumn("cell", F.xxhash64("v", F.pmod(F.xxhash64("u"), "blocks"))), "pairs")
-    own = dealt.select("cell", "v", F.col("u").alias("set_key")).join(sets, "set_key").select("cell", "v", "set_key", "shingles", F.lit(False).alias("leads"))
-    lead = dealt.select("cell", F.col("v").alias("set_key")).distinct().join(sets, "set_key").select("cell", F.col("set_key").alias("v"), "set_key", "shingles", F.lit(True).alias("leads"))
+    own = dealt.select("cell", "v", F.col("u").alias("set_key"), F.lit(False).alias("leads"))
+    lead = dealt.select("cell", "v").distinct().select("cell", "v", F.col("v").alias("set_key"), F.lit(True).alias("leads"))
+    both = with_sets(own.unionByName(lead), sets)
 
     def run(batches):
         head, head_set = None, None
@@ -245,7 +251,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                         us.append(key), vs.append(head)
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
 
-    return own.unionByName(lead).repartition("cell").sortWithinPartitions("cell", "v", F.desc("leads")).mapInArrow(run, "u binary, v binary")
+    return both.repartition("cell").sortWithinPartitions("cell", "v", F.desc("leads")).mapInArrow(run, "u binary, v binary")
 
 
 def near_across(table: pa.Table) -> pa.Table:
@@ -316,7 +322,7 @@ def across(members: DataFrame, classes: DataFrame, links: DataFrame, sets: DataF
     both = dealt.where("few").select(*named, F.lit(True).alias("few"), i.alias("i"), every_j.alias("j")).unionByName(dealt.select(*named, F.lit(False).alias("few"), every_i.alias("i"), j.alias("j")))
     both = both.withColumn("cell", F.xxhash64("key", "i", "j")).drop("key", "i", "j")
     hits = materialize(by_cell(both, near_across, "cell long, set_key binary, root binary, few boolean"), "near-blocks")
-    return by_cell(hits.join(sets, "set_key").select("cell", "set_key", "root", "few", "shingles"), links_across, "u binary, v binary")
+    return by_cell(with_sets(hits, sets), links_across, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
