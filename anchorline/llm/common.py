@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes handled at a time inside a task, so that one Arrow batch of long texts never becomes one list of words.
-SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 256, 2 << 20
 #: Bits of a bitmap of hashed values; keys that hold more than this share of a table's rows are joined apart.
 SIEVE_BITS, HOT_SHARE, HOT_ROWS = 1 << 26, 1e-3, 1 << 12
 #: Bits of a bitmap that is broadcast as rows.
