@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes handled at a time inside a task, so that one Arrow batch of long texts never becomes one list of words.
 SLICE_ROWS, SLICE_BYTES = 256, 2 << 20
+#: Bytes of a batch that Spark hands to Python, where a stage is one of many.
+BATCH_BYTES = 4 << 20
 #: Bits of a bitmap of hashed values; keys that hold more than this share of a table's rows are joined apart.
 SIEVE_BITS, HOT_SHARE, HOT_ROWS = 1 << 26, 1e-3, 1 << 12
 #: Bits of a bitmap that is broadcast as rows.
@@ -24,6 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on a session hands :data:`BATCH_BYTES` to a Python task at a time, or less if it is set so, as two copies of a batch lie beside the heap of each task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(key).lower()).groups()
+    if not 0 < int(number) << 10 * " kmgt".index(unit or " ") <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one where none is named and all runs on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
