@@ -108,7 +108,7 @@ LINES = f"(SELECT * REPLACE (row_number() OVER (PARTITION BY l_orderkey ORDER BY
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items, numbered anew in their order."""
-    return table(spark, sf_dir, "lineitem").withColumn("l_linenumber", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)))
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").withColumn("l_linenumber", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)))
 
 
 def xml_of(text: Column) -> Column:
@@ -170,7 +170,7 @@ def xlsx_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def xmind_packages(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
     """Customers as mind maps, their orders as topics with a note, in JSON or XML."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_custkey")
     if form == "json":
         topic = F.to_json(F.struct(F.concat(F.lit("Order "), F.col("o_orderkey")).alias("title"), F.struct(F.struct(F.col("o_orderpriority").alias("content")).alias("plain")).alias("notes")))
         maps = orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("o_orderkey", topic.alias("v"))))["v"], ",").alias("xml"))
@@ -187,7 +187,7 @@ def order_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = F.to_json(F.struct(F.concat(F.lit("Order "), F.col("o_orderkey")).alias("title")))
     kind = F.col("o_custkey") % 3
     one = F.when(kind == 0, word).when(kind == 1, row).otherwise(topic)
-    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("v"))))["v"], "\n").alias("xml"))
+    rows = spread(table(spark, sf_dir, "orders"), "o_custkey").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("v"))))["v"], "\n").alias("xml"))
     kind, xml = F.col("doc_id") % 3, F.col("xml")
     docx = F.array(text_part("word/document.xml", F.concat(F.lit("<w:body>"), xml, F.lit("</w:body>"))), text_part("word/_rels/document.xml.rels", '<Relationship Id="rId1" Target="media/a.png"/>', 1))
     xlsx = F.array(text_part("xl/workbook.xml", '<sheet name="Orders" r:id="rId1"/>'), text_part("xl/_rels/workbook.xml.rels", '<Relationship Id="rId1" Target="sheet.xml"/>', 1), text_part("xl/sheet.xml", xml, 2))
