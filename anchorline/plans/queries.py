@@ -210,7 +210,9 @@ def m6_m7_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", key.alias("cache_key"), keys.completion_endpoint(url, default).alias("endpoint"))
 
 
-@registered()
+@registered("""WITH u AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN []::BIGINT[] ELSE flatten(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)]::BIGINT[] ELSE [unicode(c)]::BIGINT[] END)) END AS units FROM documents),
+h AS (SELECT doc_id, list_reduce(list_prepend(5381::BIGINT, units), lambda h, c: xor(h * 33, c) & 4294967295) AS h FROM u)
+SELECT doc_id, 'h' || ltrim(array_to_string(list_transform([6, 5, 4, 3, 2, 1, 0], lambda k: substr('0123456789abcdefghijklmnopqrstuvwxyz', ((h // (36 ** k)::BIGINT) % 36)::INT + 1, 1)), ''), '0') AS hash FROM h""")
 def m6_legacy_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", keys.legacy_hash(F.col("text")).alias("hash"))
 
