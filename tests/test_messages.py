@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from anchorline.functions import answers, keys, markers
@@ -157,6 +158,66 @@ def test_streamed_liveness_equals_batch(spark, tmp_path):
     assert found == {(r["token"], r["ts"], r["alive"]) for r in references.reference_liveness(uses).collect()}
 
 
+class Handle:
+    """A state of one token, with the timers that were asked for."""
+
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, self.Kept([]))
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, self.Kept(None))
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    class Kept:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self):
+            return list(self.value) if isinstance(self.value, list) else self.value
+
+        def exists(self):
+            return self.value is not None
+
+        def update(self, value):
+            self.value = value
+
+        put = update
+
+        def clear(self):
+            self.value = []
+
+        def appendValue(self, value):
+            self.value.append(value)
+
+        def appendList(self, values):
+            self.value.extend(values)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_token_has_one_timer_for_all_its_uses():
+    handle, liveness = Handle(), jobs.Liveness(60_000)
+    liveness.init(handle)
+    minutes = [*range(500), 600, 601]
+    list(liveness.handleInputRows(("t",), iter([pd.DataFrame({"ts": pd.to_datetime([m * 60 for m in part], unit="s")}) for part in (minutes[250:], minutes[:250])]), None))
+    assert handle.timers == [1]
+    told = [r for wait in (300, 1000) for batch in liveness.handleExpiredTimer(("t",), Watermark(wait * 60_000), None) for r in batch.itertuples(index=False)]
+    assert handle.timers == [1, 300 * 60_000 + 1] and [r.ts.value // 60_000_000_000 for r in told] == minutes
+    assert [r.alive for r in told] == [m < 600 for m in minutes]
+    assert not list(liveness.handleExpiredTimer(("t",), Watermark(10**9), None))
+
+
 def test_streamed_extraction_and_expansion(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_text("hello\n\nworld")
