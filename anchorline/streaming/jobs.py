@@ -109,12 +109,17 @@ def stream_fan_out(requests: DataFrame, results: DataFrame, within: str = "1 hou
     """Every asker ``requests(cache_key, ts, ...)`` with the ``results(cache_key, result_ts, ...)`` of its key that came at most ``within`` before or after it.
 
     A request that comes while its key is being answered, or soon after, has the answer that others asked for. Both sides are
-    kept until the watermarks have passed ``within``, so the state is bounded by the rows of that time.
+    kept until the watermarks have passed ``within``, so the state is bounded by the rows of that time. A result stands in the
+    span of time (as long as ``within``, a fixed length) that it came in and in both beside it, so an asker is compared with the
+    results of its own span alone and not with all that are kept of its key.
     """
-    asked = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    span = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {within}"))
+    number = lambda ts: F.floor(F.unix_micros(ts) / span)
+    asked = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).withColumn("_span", number("ts"))
     told = results.withColumn("result_ts", F.col("result_ts").cast("timestamp")).withWatermark("result_ts", watermark).withColumnRenamed("cache_key", "_key")
+    told = told.withColumn("_near", F.explode(F.array(*(number("result_ts") + k for k in (-1, 0, 1)))))
     near = F.expr(f"result_ts between ts - interval {within} and ts + interval {within}")
-    return asked.join(told, (F.col("cache_key") == F.col("_key")) & near).drop("_key")
+    return asked.join(told, (F.col("cache_key") == F.col("_key")) & (F.col("_span") == F.col("_near")) & near).drop("_key", "_span", "_near")
 
 
 def stream_attachment_cards(events: DataFrame) -> DataFrame:

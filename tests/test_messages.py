@@ -15,6 +15,7 @@ from anchorline.sources.messages import read_messages
 from anchorline.streaming import jobs
 
 UTC = datetime.timezone.utc
+UTC_START = datetime.datetime(2024, 1, 1, tzinfo=UTC)
 
 
 def one(spark, column):
@@ -218,6 +219,23 @@ def test_a_token_has_one_timer_for_all_its_uses():
     assert not list(liveness.handleExpiredTimer(("t",), Watermark(10**9), None))
 
 
+def test_fan_out_compares_within_spans_of_time(spark, tmp_path):
+    asked = spark.createDataFrame([(k, "a" if k % 3 else "b", UTC_START + datetime.timedelta(minutes=7 * k)) for k in range(200)], "request_id long, cache_key string, ts timestamp")
+    told = asked.where("request_id % 4 = 0").select("cache_key", (F.col("ts") + F.expr("interval 1 minute")).alias("result_ts"), F.col("request_id").alias("answer"))
+    streams = []
+    for name, rows in (("asked", asked), ("told", told)):
+        rows.write.parquet(str(tmp_path / name))
+        streams.append(spark.readStream.schema(rows.schema).parquet(str(tmp_path / name)))
+    joined = jobs.stream_fan_out(*streams, "1 hour", "36500 days")
+    assert joined.columns == ["request_id", "cache_key", "ts", "result_ts", "answer"]
+    assert "_span" in joined._jdf.queryExecution().analyzed().toString()
+    run_stream(joined.select("request_id", "answer"), tmp_path)
+    near = (F.col("r.result_ts") >= F.col("a.ts") - F.expr("interval 1 hour")) & (F.col("r.result_ts") <= F.col("a.ts") + F.expr("interval 1 hour"))
+    want = asked.alias("a").join(told.alias("r"), (F.col("a.cache_key") == F.col("r.cache_key")) & near).select("a.request_id", "r.answer")
+    found = spark.read.parquet(str(tmp_path / "rows"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() > 200
+
+
 def test_streamed_extraction_and_expansion(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_text("hello\n\nworld")
