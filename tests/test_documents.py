@@ -177,3 +177,17 @@ def test_files_round_trip(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out" / "blocks"))
     assert back.count() == 2 and "content" not in back.columns and {r["doc_type"] for r in back.collect()} == {"markdown"}
     assert spark.read.parquet(str(tmp_path / "out" / "image_content")).first()["sha"]
+
+
+def test_many_small_files_lie_in_few_tasks(spark, tmp_path):
+    names = spark.range(200).select(F.concat(F.lit("d"), "id", F.lit(".md")).alias("name"), F.encode(F.concat(F.lit("text "), F.col("id").cast("string")), "UTF-8").alias("content"))
+    assert files.write_files(names, str(tmp_path / "in")) == 200
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    with files.small_files(spark):
+        read = files.read_documents(spark, str(tmp_path / "in")).withColumn("mime", F.lit(""))
+        assert read.rdd.getNumPartitions() <= 8
+        docs, blocks, errors = extract_corpus(read)
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    for df in (docs, blocks, errors):
+        assert not any(f.startswith(f"file:{tmp_path}/in") or f.startswith(f"file://{tmp_path}/in") for f in df.inputFiles())
+    assert sorted(r["text"] for r in blocks.collect()) == sorted(f"text {k}" for k in range(200)) and errors.count() == 0
