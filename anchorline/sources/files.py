@@ -41,14 +41,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 @contextmanager
 def small_files(spark: SparkSession) -> Iterator[None]:
-    """Jobs and streams that are started inside deal files to tasks by their size, so a task has many small ones."""
-    key = "spark.sql.files.openCostInBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(OPEN_BYTES))
+    """Jobs and streams that are started inside deal files to tasks by their size, so a task has many small ones, and list named files in a few tasks a core, not one a file."""
+    wanted = {"spark.sql.files.openCostInBytes": OPEN_BYTES, "spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * spark.sparkContext.defaultParallelism}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, str(value))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def _opened(content: bytes, part_bytes: int, total_bytes: int) -> tuple[zipfile.ZipFile, list[zipfile.ZipInfo]]:

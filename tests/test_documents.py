@@ -191,3 +191,25 @@ def test_many_small_files_lie_in_few_tasks(spark, tmp_path):
     for df in (docs, blocks, errors):
         assert not any(f.startswith(f"file:{tmp_path}/in") or f.startswith(f"file://{tmp_path}/in") for f in df.inputFiles())
     assert sorted(r["text"] for r in blocks.collect()) == sorted(f"text {k}" for k in range(200)) and errors.count() == 0
+
+
+def test_plan_has_only_types_that_occur_and_few_tasks_list_files(spark, tmp_path):
+    rows = [(1, "a.md", "", 9, bytearray(b"one\n\ntwo"))]
+    docs, blocks, errors = extract_corpus(spark.createDataFrame(rows, "doc_id long, name string, mime string, length long, content binary"))
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert "spTree" not in plan and "sharedStrings" not in plan and "content.json" not in plan
+    assert [r["text"] for r in blocks.orderBy("block_no").collect()] == ["one", "two"] and docs.count() == 1 and errors.count() == 0
+
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    with files.small_files(spark):
+        assert int(spark.conf.get(key)) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(key) == before
+
+
+def test_no_files_and_only_rejected_ones(spark):
+    schema = "doc_id long, name string, mime string, length long, content binary"
+    for rows, wanted in (([], []), ([(1, "a.bin", "", 1, bytearray(b"x")), (2, "b.doc", "", 1, bytearray(b"x"))], [(1, "unsupported"), (2, "unsupported_codec")])):
+        docs, blocks, errors = extract_corpus(spark.createDataFrame(rows, schema))
+        assert docs.count() == 0 and blocks.count() == 0 and "location" in blocks.columns
+        assert sorted(map(tuple, errors.collect())) == wanted
