@@ -250,6 +250,27 @@ def test_quality_statistics_and_verdicts(spark):
     assert quality.query(docs.where("false"), labels).count() == 0
 
 
+@pytest.mark.parametrize("trees", [quality.TREES, 8])
+def test_quality_is_fitted_on_all_labelled_rows(spark, monkeypatch, trees):
+    """The row that sets an end of the box has the last hash of 12,000, and the threshold counts every labelled row."""
+    monkeypatch.setattr(quality, "TREES", trees)
+    ids = [r[0] for r in spark.range(12000).orderBy(F.xxhash64("id"), "id").collect()]
+    plain, odd = [0.1] * len(quality.FEATURES), [0.1] * (len(quality.FEATURES) - 1) + [9.0]
+    late = set(ids[-40:])
+    measured = spark.createDataFrame([(k, [100, 500, 0, 0, 0], odd if k in late else [v + k % 97 / 1000 for v in plain]) for k in range(12000)], "doc_id long, counts array<long>, features array<double>")
+    labels = spark.createDataFrame([(k, int(k not in late)) for k in range(12000)], "doc_id long, quality int")
+    forest = quality.fit(measured, labels)
+    found = {r["doc_id"]: r["kept"] for r in quality.verdicts(measured, forest).collect()}
+    assert np.isfinite(forest.threshold) and not any(found[k] for k in late) and all(found[k] for k in ids[:-40])
+    rng = np.random.default_rng(1)
+    scores, good = rng.random(5000), rng.random(5000) < 0.97
+    good[scores > 0.99] = False
+    step = np.ceil(scores * quality.STEPS).astype(int) - 1
+    at = np.unique(step)
+    t = quality.calibrate(at, np.array([good[step == k].sum() for k in at]), np.array([(~good[step == k]).sum() for k in at]))
+    assert (good & (scores > t)).sum() <= quality.GOOD_LOSS * good.sum() and not (scores[~good] > t).sum() < (scores > 0.99).sum()
+
+
 def test_language_counts_by_hand(monkeypatch):
     def by_hand(text):
         text, out = f" {text.lower()} ", np.zeros(langid.BUCKETS, int)
