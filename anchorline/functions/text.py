@@ -9,16 +9,17 @@ from .base import let
 
 #: White space that is trimmed, beyond ASCII also Unicode spaces and the byte-order mark.
 SPACE = r" \t\n\x0B\f\r\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def js_trim(text: Column) -> Column:
     """``text`` without white space at its ends."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return js_trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
 def js_length(text: Column) -> Column:

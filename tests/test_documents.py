@@ -213,3 +213,10 @@ def test_no_files_and_only_rejected_ones(spark):
         docs, blocks, errors = extract_corpus(spark.createDataFrame(rows, schema))
         assert docs.count() == 0 and blocks.count() == 0 and "location" in blocks.columns
         assert sorted(map(tuple, errors.collect())) == wanted
+
+
+def test_trim_sees_the_ends_alone(spark):
+    texts = [" 　a b﻿\n", "a \u0085", "", "\t  ", "x", None, " é🙂 "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", text.js_trim(F.col("t")).alias("t"), text.collapse(F.col("t")).alias("c")).orderBy("k").collect()
+    assert [r["t"] for r in rows] == ["a b", "a \u0085", "", "", "x", None, "é🙂"]
+    assert [r["c"] for r in rows] == ["a b", "a \u0085", "", "", "x", None, "é🙂"]
