@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from anchorline.functions import geometry, text
+from anchorline.functions import geometry, markers, text
 from anchorline.functions.location import location, location_text
 from anchorline.operators import context, markdown, pdftext, routing, xmind
 from anchorline.operators.blocks import extract_corpus
@@ -220,3 +220,14 @@ def test_trim_sees_the_ends_alone(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", text.js_trim(F.col("t")).alias("t"), text.collapse(F.col("t")).alias("c")).orderBy("k").collect()
     assert [r["t"] for r in rows] == ["a b", "a \u0085", "", "", "x", None, "é🙂"]
     assert [r["c"] for r in rows] == ["a b", "a \u0085", "", "", "x", None, "é🙂"]
+
+
+def test_marker_is_decoded_once_a_value(spark):
+    names = ["a.md", "документ 🙂.pdf", "", "n" * 301]
+    marked = spark.createDataFrame(list(enumerate(names)), "k int, n string").select("k", markers.encode_reference_marker(F.col("n"), F.lit("t"), F.lit("m")).alias("m")).withColumn("r", markers.decode_reference_marker(F.concat(F.lit("a"), "m", F.lit("b"))))
+    assert [r["r"]["name"] for r in marked.orderBy("k").collect()] == ["a.md", "документ 🙂.pdf", "document", "n" * 301]
+    assert marked.select("r")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+    bare = "⁣" + "".join("​‌‍⁠"[int(d)] for c in "tok" for d in (str(ord(c) >> s & 3) for s in range(14, -1, -2))) + "⁤"
+    odd = [bare, bare[:-2] + "⁤", "⁣⁤", "none"]
+    found = spark.createDataFrame(list(enumerate(odd)), "k int, t string").select("k", markers.decode_reference_marker(F.col("t")).alias("r")).orderBy("k").collect()
+    assert [r["r"] and r["r"]["token"] for r in found] == ["tok", None, None, None]
