@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from anchorline.functions import geometry, markers, text
 from anchorline.functions.location import location, location_text
-from anchorline.operators import context, markdown, pdftext, routing, xmind
+from anchorline.operators import context, docx, markdown, parts, pdftext, pptx, routing, xlsx, xmind
 from anchorline.operators.blocks import extract_corpus
 from anchorline.sources import files
 
@@ -231,3 +231,17 @@ def test_marker_is_decoded_once_a_value(spark):
     odd = [bare, bare[:-2] + "⁤", "⁣⁤", "none"]
     found = spark.createDataFrame(list(enumerate(odd)), "k int, t string").select("k", markers.decode_reference_marker(F.col("t")).alias("r")).orderBy("k").collect()
     assert [r["r"] and r["r"]["token"] for r in found] == ["tok", None, None, None]
+
+
+def test_what_nobody_asks_for_is_left_out(spark):
+    """Ids alone need no boxes and no locations: those are made of the rows, not within a package's array, so the plan drops them."""
+    packages = spark.createDataFrame([(1, [], [], [])], "doc_id long, texts " + parts.TEXTS + ", media " + parts.MEDIA + ", rels array<struct<owner_part:string,rel_id:string,target:string,target_part:string>>")
+    made = {"shape-coordinate": pptx.pptx_blocks, "cell-coordinate": xlsx.xlsx_cells, "cell-range": xlsx.xlsx_images, "table-cell": docx.docx_blocks}
+    for word, blocks in made.items():
+        plan = lambda *columns: blocks(packages).select(*columns)._jdf.queryExecution().optimizedPlan().toString()  # noqa: B023, E731
+        assert word in plan("id", "location") and word not in plan("id", "text"), word
+
+
+def test_texts_so_far(spark):
+    counted = pptx.counts_so_far(F.array(F.lit(1), F.lit(2), F.lit(4)), F.lit(6))
+    assert one(spark, counted) == [0, 1, 2, 2, 3, 3] and one(spark, pptx.counts_so_far(F.array().cast("array<int>"), F.lit(2))) == [0, 0]
