@@ -245,3 +245,14 @@ def test_what_nobody_asks_for_is_left_out(spark):
 def test_texts_so_far(spark):
     counted = pptx.counts_so_far(F.array(F.lit(1), F.lit(2), F.lit(4)), F.lit(6))
     assert one(spark, counted) == [0, 1, 2, 2, 3, 3] and one(spark, pptx.counts_so_far(F.array().cast("array<int>"), F.lit(2))) == [0, 0]
+
+
+def test_markdown_blocks_are_found_within_the_row(spark):
+    """Nothing is shuffled, and lines, indents and trailing texts of images stay what they were."""
+    given = spark.createDataFrame([(1, "one\n  two ![a](b) and ![](c)\n tail\r\n \r\nthree\n   ![d](data:image/png;base64,iVBORw==)x\ny"), (2, None)], "doc_id long, text string")
+    found = markdown.markdown_blocks(given)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(b["block_no"], b["id"], b["text"], b["location"]["line"]) for b in sorted(found.collect(), key=lambda b: b["block_no"])] == [
+        (1, "md-1", "one\ntwo", None), (2, "md-img-ref-2", "[Markdown 图片: a]", 2), (3, "md-3", "and", None), (4, "md-img-ref-4", "[Markdown 图片: c]", 2), (5, "md-5", "tail", None),
+        (6, "md-6", "three", None), (7, "md-img-7", None, 6), (8, "md-8", "x", None), (9, "md-9", "y", None),
+    ]
