@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.base import let
 from ..functions.markers import DIGITS, HIDDEN, START, decode_reference_marker
 from ..functions.text import js_trim
 from .routing import MAX_DOCUMENT_BYTES, document_type
@@ -22,7 +23,8 @@ MAX_REFS = 16
 LINK = r"\[📎\s+([^\]\n]+)\]\(sfv-document://([^)\s]+)\)"
 LABEL = r"\[📎\s+([^\]\n]+)\]"
 BARE = r"(?:\A|\n)(📎\s+([^\n]+?))\s*(?=\n|\Z)"
-ENVELOPE = r"(?is)\[\[SFV_DOCUMENT_V1\s+name=([^\s]+)\s+mime=([^\]]*)\]\](.*?)\[\[/SFV_DOCUMENT_V1\]\]"
+ENVELOPE_HEAD, ENVELOPE_END = r"(?i)\[\[SFV_DOCUMENT_V1\s+name=([^\s]+)\s+mime=([^\]]*)\]\]", r"(?i)\[\[/SFV_DOCUMENT_V1\]\]"
+ENVELOPE = ENVELOPE_HEAD.replace("(?i)", "(?is)") + "(.*?)" + ENVELOPE_END.replace("(?i)", "")
 UPLOADED = "[已上传文档:{}]"
 EXPIRED = "文档附件引用已失效，请重新上传文档"
 FAILED = "[文档解析失败,未把文档内容当作普通文本发送:{}]"
@@ -146,24 +148,33 @@ def has_envelope(text: Column) -> Column:
 
 
 def base64_bytes(code: Column) -> Column:
-    """What Base64 without white space stands for, padded or not; null where it is malformed or empty."""
-    whole = F.rtrim(code, F.lit("="))
-    good = (code != "") & code.rlike("^[A-Za-z0-9+/]*={0,2}$") & (F.length(code) % 4 != 1)
-    return F.when(good, F.try_to_binary(F.rpad(whole, (F.ceil(F.length(whole) / 4) * 4).cast("int"), "="), F.lit("base64")))
+    """What Base64 without white space stands for, padded or not; null where it is malformed or empty. Only a text of odd length is padded anew."""
+
+    def padded(code: Column) -> Column:
+        whole = F.rtrim(code, F.lit("="))
+        return F.when(F.length(code) % 4 == 0, code).otherwise(F.rpad(whole, (F.ceil(F.length(whole) / 4) * 4).cast("int"), "="))
+
+    good = lambda code: (code != "") & (F.length(code) % 4 != 1) & code.rlike("^[A-Za-z0-9+/]*={0,2}$")
+    return let(code, lambda c: F.when(good(c), F.try_to_binary(padded(c), F.lit("base64"))))
 
 
 def parse_document_envelopes(df: DataFrame, col: str) -> DataFrame:
-    """``name, mime, content, before, after, stripped`` of the first document inside a text; null columns where there is none, or for a part that is malformed."""
+    """``name, mime, content, before, after, stripped`` of the first document inside a text; null columns where there is none, or for a part that is malformed.
+
+    The first head that an end follows is the first head, so a text is cut there and behind it, once each.
+    """
     text = F.coalesce(F.col(col), F.lit(""))
-    whole = F.regexp_extract(text, ENVELOPE, 0)
-    at = F.instr(text, whole)
-    found = whole != ""
-    decoded = lambda k: F.try_url_decode(F.replace(F.regexp_extract(text, ENVELOPE, k), F.lit("+"), F.lit("%2B")))
-    code = F.regexp_replace(F.regexp_extract(text, ENVELOPE, 3), r"\s+", "")
-    before, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(whole), F.length(text))
-    label = F.concat(F.lit("[已上传文档:"), F.coalesce(decoded(1), F.regexp_extract(text, ENVELOPE, 1)), F.lit("]"))
-    parts = F.array_join(F.filter(F.array(js_trim(before), label, js_trim(after)), lambda x: x != ""), "\n")
-    return df.withColumns({"name": F.when(found, decoded(1)), "mime": F.when(found, decoded(2)), "content": F.when(found, base64_bytes(code)), "before": F.when(found, before), "after": F.when(found, after), "stripped": F.when(found, parts).otherwise(text)})
+    # Column by column, so that each is worked out once however many others are made of it.
+    cut = df.withColumn("_at_head", F.when(has_envelope(text), F.split(text, ENVELOPE_HEAD, 2)))
+    cut = cut.withColumn("_at_end", F.when(F.size("_at_head") == 2, F.split(F.get("_at_head", F.lit(1)), ENVELOPE_END, 2)))
+    found = F.coalesce(F.size("_at_end") == 2, F.lit(False))
+    head = lambda k: F.when(found, F.regexp_extract(text, ENVELOPE_HEAD, k))
+    cut = cut.withColumns({"_name": head(1), "_mime": head(2), "_before": F.when(found, F.get("_at_head", F.lit(0))), "_code": F.when(found, F.get("_at_end", F.lit(0))), "_after": F.when(found, F.get("_at_end", F.lit(1)))})
+    decoded = lambda c: F.try_url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B")))
+    label = F.concat(F.lit("[已上传文档:"), F.coalesce(decoded("_name"), "_name"), F.lit("]"))
+    parts = F.array_join(F.filter(F.array(js_trim(F.col("_before")), label, js_trim(F.col("_after"))), lambda x: x != ""), "\n")
+    told = {"name": decoded("_name"), "mime": decoded("_mime"), "content": base64_bytes(F.regexp_replace("_code", r"\s+", "")), "before": F.col("_before"), "after": F.col("_after"), "stripped": F.when(F.col("_before").isNotNull(), parts).otherwise(text)}
+    return cut.withColumns(told).drop("_at_head", "_at_end", "_name", "_mime", "_before", "_code", "_after")
 
 
 def envelope_failure(error: Column | None = None, name: Column | None = None) -> Column:

@@ -83,3 +83,15 @@ def test_containers_are_read_in_place(spark, tmp_path):
     assert {bytes(r["content"]) for r in images.where(F.col("sha").isin(*wanted)).collect()} == {b"png0", b"png1"} and len(wanted) == 2
     small = files.unpack_packages(read, part_bytes=10)
     assert {r["error"] for r in small.collect()} == {"container_too_large"}
+
+
+def test_envelope_is_cut_at_its_head_and_its_end(spark):
+    """The payload is not matched by a pattern; the first head that an end follows counts, and an end before any head does not."""
+    head = "[[SFV_DOCUMENT_V1 name=a%20b.md mime=]]"
+    rows = [(1, f"x [[/SFV_DOCUMENT_V1]] {head}YQ=[[/sfv_document_v1]] y {head}Yg[[/SFV_DOCUMENT_V1]]"), (2, f"x {head}YQ=="), (3, None)]
+    found = references.parse_document_envelopes(spark.createDataFrame(rows, "k int, content string"), "content")
+    assert "(.*?)" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["name"], r["mime"], r["content"] and bytes(r["content"]), r["before"], r["after"], r["stripped"]) for r in found.orderBy("k").collect()] == [
+        ("a b.md", "", b"a", "x [[/SFV_DOCUMENT_V1]] ", f" y {head}Yg[[/SFV_DOCUMENT_V1]]", f"x [[/SFV_DOCUMENT_V1]]\n[已上传文档:a b.md]\ny {head}Yg[[/SFV_DOCUMENT_V1]]"),
+        (None, None, None, None, None, f"x {head}YQ=="), (None, None, None, None, None, ""),
+    ]
