@@ -58,10 +58,11 @@ def expand_envelopes(blocks: DataFrame, contexts_of: Callable[[DataFrame], tuple
     through it once. Payloads are shuffled once, to find those; what comes back is joined by name, type and hash.
     An envelope that cannot be read makes the whole text say so; one without an end stays as it is.
     """
-    expanded = _flag(blocks)
+    expanded, blocks = _flag(blocks), written_once(blocks, "envelope-blocks")
     carrying = blocks.where(~expanded & F.col("type").isin("text", "string") & has_envelope(F.col("text"))).select(*KEYS, "text")
-    parsed = parse_document_envelopes(carrying, "text").where("before is not null").withColumn("sha", F.sha2("content", 256))
-    told = written_once(parsed.select(*KEYS, "name", "mime", "content", "sha", "before", "after", envelope_failure().alias("failure")), "envelopes")
+    parsed = parse_document_envelopes(carrying, "text").withColumn("sha", F.sha2("content", 256))
+    # Those without an end are left out of what is written, not before, where Spark would cut each text once more to know them.
+    told = written_once(parsed.select(*KEYS, "name", "mime", "content", "sha", "before", "after", envelope_failure().alias("failure")), "envelopes").where("before is not null")
     named = ["name", "mime", "sha"]
     files = told.where("failure is null").select(*named, "content").dropDuplicates(named).withColumn("doc_id", F.monotonically_increasing_id())
     files = written_once(files, "envelope-documents").withColumn("length", F.octet_length("content").cast("long"))
@@ -156,13 +157,12 @@ def rebuild_messages(blocks: DataFrame) -> DataFrame:
     piece_no = F.col("piece_no") if "piece_no" in have else F.lit(0)
     follows = (F.element_at("path", -1) > 0) | (piece_no > 0)
     item = F.struct("path", piece_no.alias("piece_no"), F.concat(F.when(follows, ",").otherwise(""), F.when(changed, new).otherwise(given)).alias("json"))
-    rows = blocks.select("conv_id", "turn", top.alias("top"), whole.alias("whole"), F.when(~top, item).alias("item"))
+    # Two lists of one pass, as a union of blocks and tails would work the blocks out twice.
+    items = F.collect_list(F.when(~top, item))
     if "tail" in have:
-        tails = blocks.where(F.col("tail").isNotNull())
         behind = F.struct(F.concat("path", F.array(F.lit(_BEHIND))).alias("path"), F.lit(0).alias("piece_no"), F.col("tail").alias("json"))
-        rows = rows.unionByName(tails.select("conv_id", "turn", F.lit(False).alias("top"), F.lit(None).cast("string").alias("whole"), behind.alias("item")))
-    joined = F.array_join(F.array_sort(F.collect_list("item"))["json"], "")
-    told = rows.groupBy("conv_id", "turn").agg(F.bool_or("top").alias("top"), F.first("whole", ignorenulls=True).alias("whole"), joined.alias("items"))
+        items = F.concat(items, F.collect_list(F.when(F.col("tail").isNotNull(), behind)))
+    told = blocks.groupBy("conv_id", "turn").agg(F.bool_or(top).alias("top"), F.first(whole, ignorenulls=True).alias("whole"), F.array_join(F.array_sort(items)["json"], "").alias("items"))
     return told.select("conv_id", "turn", F.when(F.col("top"), F.col("whole")).otherwise(F.concat(F.lit("["), F.col("items"), F.lit("]"))).alias("content"))
 
 

@@ -95,3 +95,11 @@ def test_envelope_is_cut_at_its_head_and_its_end(spark):
         ("a b.md", "", b"a", "x [[/SFV_DOCUMENT_V1]] ", f" y {head}Yg[[/SFV_DOCUMENT_V1]]", f"x [[/SFV_DOCUMENT_V1]]\n[已上传文档:a b.md]\ny {head}Yg[[/SFV_DOCUMENT_V1]]"),
         (None, None, None, None, None, f"x {head}YQ=="), (None, None, None, None, None, ""),
     ]
+
+
+def test_messages_are_put_together_in_one_pass(spark):
+    """Blocks and the tails of tool results come from one reading of a message."""
+    given = [(1, 0, '[{"type":"tool-result","content":["a",{"k":1}],"n":1.50},"b"]', True), (2, 0, "plain", False), (3, 0, "[]", True)]
+    rebuilt = messages.rebuild_messages(read_messages(spark.createDataFrame(given, SCHEMA)))
+    assert rebuilt._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r["conv_id"]: r["content"] for r in rebuilt.collect()} == {k: content for k, _, content, _ in given}
