@@ -37,9 +37,10 @@ def _pages(raw: pd.Series) -> pd.Series:
 
 
 def pdf_text_fallback(df: DataFrame, content: str = "content") -> DataFrame:
-    """``doc_id, page, type, id, text, location``: a block for each page with text, else one that says there is none."""
-    pages = df.select("doc_id", F.posexplode_outer(_pages(part_text(F.col(content)))).alias("page", "text"))
-    texts = pages.select("doc_id", F.col("page") + 1, collapse(xml_unescape(F.coalesce("text", F.lit("")))).alias("text")).toDF("doc_id", "page", "text")
-    found = texts.where("text <> ''").select("doc_id", "page", F.lit("text").alias("type"), F.concat(F.lit("pdf-"), F.col("page"), F.lit("-text")).alias("id"), "text", location(kind="pdf-page", page=F.col("page"), precision="page-level (fallback parser)").alias("location"))
-    bare = texts.groupBy("doc_id").agg(F.max(F.col("text") != "").alias("some")).where("not some")
-    return found.unionByName(bare.select("doc_id", F.lit(0).alias("page"), F.lit("text").alias("type"), F.lit("pdf-empty").alias("id"), F.lit(EMPTY).alias("text"), location(kind="pdf-document", precision="unknown").alias("location")))
+    """``doc_id, page, type, id, text, location``: a block for each page with text, else one that says there is none.
+    All pages of a file are found within its row, so it is read once and nothing is shuffled."""
+    raw = df.select("doc_id", _pages(part_text(F.col(content))).alias("pages"))
+    shown = F.filter(F.transform("pages", lambda p, k: F.struct((k + 1).alias("page"), collapse(xml_unescape(p)).alias("text"))), lambda p: p["text"] != "")
+    texts = raw.select("doc_id", F.posexplode_outer(shown).alias("n", "p")).select("doc_id", F.coalesce("p.page", F.lit(0)).alias("page"), F.coalesce("p.text", F.lit(EMPTY)).alias("text"), F.col("p").isNull().alias("bare"))
+    place = location(kind=F.when(F.col("bare"), "pdf-document").otherwise("pdf-page"), page=F.when(~F.col("bare"), F.col("page")), precision=F.when(F.col("bare"), "unknown").otherwise("page-level (fallback parser)"))
+    return texts.select("doc_id", "page", F.lit("text").alias("type"), F.when(F.col("bare"), "pdf-empty").otherwise(F.concat(F.lit("pdf-"), F.col("page"), F.lit("-text"))).alias("id"), "text", place.alias("location"))

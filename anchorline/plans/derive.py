@@ -199,4 +199,4 @@ def order_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as PDF text: a page for each line."""
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit("<< /Type /Page >> ("), F.replace(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("("), F.lit("\\(")), F.lit(")"), F.lit("\\)")), F.lit(") Tj\n")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("%PDF-1.4\n"), F.array_join(lines, "")).cast("binary").alias("content"))
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.concat(F.lit("%PDF-1.4\n"), F.array_join(lines, "")).cast("binary").alias("content"))

@@ -256,3 +256,13 @@ def test_markdown_blocks_are_found_within_the_row(spark):
         (1, "md-1", "one\ntwo", None), (2, "md-img-ref-2", "[Markdown 图片: a]", 2), (3, "md-3", "and", None), (4, "md-img-ref-4", "[Markdown 图片: c]", 2), (5, "md-5", "tail", None),
         (6, "md-6", "three", None), (7, "md-img-7", None, 6), (8, "md-8", "x", None), (9, "md-9", "y", None),
     ]
+
+
+def test_pdf_text_is_read_once_and_within_the_row(spark):
+    pdf = b"/Type /Page (a &amp;  b) Tj /Type /Page ( ) Tj /Type /Page [(c) (d)] TJ"
+    found = pdftext.pdf_text_fallback(spark.createDataFrame([(1, bytearray(pdf)), (2, bytearray(b"/Type /Page (&#32;) Tj")), (3, None)], "doc_id long, content binary"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Aggregate" not in plan
+    assert sorted((b["doc_id"], b["page"], b["id"], b["text"], b["location"]["kind"]) for b in found.collect()) == [
+        (1, 1, "pdf-1-text", "a & b", "pdf-page"), (1, 3, "pdf-3-text", "cd", "pdf-page"), (2, 0, "pdf-empty", pdftext.EMPTY, "pdf-document"), (3, 0, "pdf-empty", pdftext.EMPTY, "pdf-document"),
+    ]
