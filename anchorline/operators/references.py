@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,9 @@ _SPACE = " \t\n\v\f\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join
 _HIDDEN, _LINK, _LABEL, _BARE = (re.compile(p) for p in (HIDDEN, "(?i)" + LINK, LABEL, BARE))
 _ENVELOPE = re.compile(ENVELOPE)
 
+#: Texts whose segments are handed on together.
+_TEXTS = 256
+
 
 def _payload(digits: str) -> tuple[str, str, str] | None:
     """Token, name and MIME type in a hidden reference's digits."""
@@ -96,17 +100,24 @@ def _segments(text: str, max_refs: int) -> Iterator[tuple]:
 
 def split_references(df: DataFrame, keys: list[str], text: str = "text", max_refs: int = MAX_REFS) -> DataFrame:
     """Segments of each text that has a reference: ``keys``, ``seg_no, kind (text, ref), text, form, token, name, mime``.
-    Texts without any mark of a reference never leave the JVM."""
+    Texts without any mark of a reference never leave the JVM; of the others a task holds the segments of a few at a time."""
     marked = df.where(F.contains(F.col(text), F.lit(START)) | F.contains(F.col(text), F.lit("📎"))).select(*keys, F.col(text).alias("_text"))
-    columns = ["seg_no", "kind", "text", "form", "token", "name", "mime"]
+    kinds = {"seg_no": pa.int32(), **dict.fromkeys(("kind", "text", "form", "token", "name", "mime"), pa.string())}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(*key, n, *s) for *key, t in batch.itertuples(index=False) for n, s in enumerate(_segments(t, max_refs))]
-            yield pd.DataFrame(rows, columns=[*keys, *columns])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields[:-1])
-    return marked.mapInPandas(run, f"{kinds}, seg_no int, kind string, text string, form string, token string, name string, mime string")
+            for start in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(start, _TEXTS)
+                of, rows = [], []
+                for k in range(part.num_rows):
+                    for n, segment in enumerate(_segments(part.column(len(keys))[k].as_py(), max_refs)):
+                        of.append(k), rows.append((n, *segment))
+                columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+                at = pa.array(of, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in range(len(keys))), *(pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True))], [*keys, *kinds])
+
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields[:-1])
+    return marked.mapInArrow(run, f"{given}, seg_no int, kind string, text string, form string, token string, name string, mime string")
 
 
 def stripped(text: str | None, max_refs: int = MAX_REFS) -> str:

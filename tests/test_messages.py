@@ -279,3 +279,13 @@ def test_registered_inputs_grow(spark, tmp_path):
         for at in range(0, len(data), 2):
             h = (h * 33 ^ int.from_bytes(data[at : at + 2], "big")) & 0xFFFFFFFF
         assert found[k] == "h" + np.base_repr(h, 36).lower()
+
+
+def test_segments_are_handed_on_a_few_texts_at_a_time(spark):
+    """A task holds Arrow slices, no frame of a whole batch, and keys stay with their segments across slices."""
+    n = 2 * references._TEXTS + 1
+    given = spark.range(n, numPartitions=1).selectExpr("id AS k", "concat('a', id, ' [📎 d', id, '](sfv-document://t', id, ')') AS text")
+    found = references.split_references(given, ["k"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    assert sorted((r["k"], r["seg_no"], r["kind"], r["text"], r["token"]) for r in found.collect()) == [x for k in range(n) for x in ((k, 0, "text", f"a{k}", None), (k, 1, "ref", f"[📎 d{k}](sfv-document://t{k})", f"t{k}"))]
