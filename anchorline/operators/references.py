@@ -158,20 +158,22 @@ def has_envelope(text: Column) -> Column:
     return F.upper(text).contains("[[SFV_DOCUMENT_V1")
 
 
-def base64_bytes(code: Column) -> Column:
-    """What Base64 without white space stands for, padded or not; null where it is malformed or empty. Only a text of odd length is padded anew."""
+def base64_bytes(code: Column, empty: bool = False) -> Column:
+    """What Base64 without white space stands for, padded or not; null where it is malformed, or empty unless ``empty`` holds. Only a text of odd length is padded anew."""
 
     def padded(code: Column) -> Column:
         whole = F.rtrim(code, F.lit("="))
         return F.when(F.length(code) % 4 == 0, code).otherwise(F.rpad(whole, (F.ceil(F.length(whole) / 4) * 4).cast("int"), "="))
 
     good = lambda code: (code != "") & (F.length(code) % 4 != 1) & code.rlike("^[A-Za-z0-9+/]*={0,2}$")
-    return let(code, lambda c: F.when(good(c), F.try_to_binary(padded(c), F.lit("base64"))))
+    decoded = lambda c: F.when(good(c), F.try_to_binary(padded(c), F.lit("base64")))
+    return let(code, lambda c: F.when(c == "", F.lit(b"")).otherwise(decoded(c)) if empty else decoded(c))
 
 
-def parse_document_envelopes(df: DataFrame, col: str) -> DataFrame:
+def parse_document_envelopes(df: DataFrame, col: str, empty: bool = False) -> DataFrame:
     """``name, mime, content, before, after, stripped`` of the first document inside a text; null columns where there is none, or for a part that is malformed.
 
+    A payload of no characters is malformed, or a document without bytes where ``empty`` holds.
     The first head that an end follows is the first head, so a text is cut there and behind it, once each.
     """
     text = F.coalesce(F.col(col), F.lit(""))
@@ -184,7 +186,7 @@ def parse_document_envelopes(df: DataFrame, col: str) -> DataFrame:
     decoded = lambda c: F.try_url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B")))
     label = F.concat(F.lit("[已上传文档:"), F.coalesce(decoded("_name"), "_name"), F.lit("]"))
     parts = F.array_join(F.filter(F.array(js_trim(F.col("_before")), label, js_trim(F.col("_after"))), lambda x: x != ""), "\n")
-    told = {"name": decoded("_name"), "mime": decoded("_mime"), "content": base64_bytes(F.regexp_replace("_code", r"\s+", "")), "before": F.col("_before"), "after": F.col("_after"), "stripped": F.when(F.col("_before").isNotNull(), parts).otherwise(text)}
+    told = {"name": decoded("_name"), "mime": decoded("_mime"), "content": base64_bytes(F.regexp_replace("_code", r"\s+", ""), empty), "before": F.col("_before"), "after": F.col("_after"), "stripped": F.when(F.col("_before").isNotNull(), parts).otherwise(text)}
     return cut.withColumns(told).drop("_at_head", "_at_end", "_name", "_mime", "_before", "_code", "_after")
 
 
