@@ -50,17 +50,18 @@ def expand_blocks(blocks: DataFrame, segments: DataFrame, contexts: DataFrame) -
     return blocks.join(joined, KEYS, "left").select(*KEYS, F.when(F.col("failed").isNotNull(), "text").otherwise(F.col("type")).alias("type"), text.alias("text"), *others, F.col("failed").isNotNull().alias("expanded"))
 
 
-def expand_envelopes(blocks: DataFrame, contexts_of: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = contexts_of) -> DataFrame:
+def expand_envelopes(blocks: DataFrame, contexts_of: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = contexts_of, empty: bool = False) -> DataFrame:
     """Message blocks with the first document that a text carries in an envelope replaced by its context, and ``expanded``.
 
     Texts that were expanded already, and blocks that are no texts, stay. Documents go through ``contexts_of(files)``,
     which gives ``contexts(doc_id, context)`` and ``errors(doc_id, error)``; a document that several messages carry goes
     through it once. Payloads are shuffled once, to find those; what comes back is joined by name, type and hash.
-    An envelope that cannot be read makes the whole text say so; one without an end stays as it is.
+    An envelope that cannot be read makes the whole text say so; one without an end stays as it is. One without a
+    payload cannot be read, or carries a document without bytes where ``empty`` holds.
     """
     expanded, blocks = _flag(blocks), written_once(blocks, "envelope-blocks")
     carrying = blocks.where(~expanded & F.col("type").isin("text", "string") & has_envelope(F.col("text"))).select(*KEYS, "text")
-    parsed = parse_document_envelopes(carrying, "text").withColumn("sha", F.sha2("content", 256))
+    parsed = parse_document_envelopes(carrying, "text", empty).withColumn("sha", F.sha2("content", 256))
     # Those without an end are left out of what is written, not before, where Spark would cut each text once more to know them.
     told = written_once(parsed.select(*KEYS, "name", "mime", "content", "sha", "before", "after", envelope_failure().alias("failure")), "envelopes").where("before is not null")
     named = ["name", "mime", "sha"]
