@@ -65,7 +65,10 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Pairs ``u < v`` of distinct fingerprints (column ``fp``, already distinct) that differ in at most two bits, each once."""
+    """Pairs ``u < v`` of distinct fingerprints (column ``fp``, already distinct) that differ in at most two bits, each once.
+
+    Spark sizes the keys as the fingerprints that they are exploded from, a 33rd of what they are, so it is told to join them by a shuffle.
+    """
     high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     keys = [high.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i))).bitwiseOR(F.lit(i << 32)) for i in range(32)] + [low.bitwiseOR(F.lit(32 << 32))]
     indexed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
@@ -73,7 +76,7 @@ def links(fps: DataFrame) -> DataFrame:
     differ = F.col("u").bitwiseXOR(F.col("v"))
     high_bits, variant = F.bit_count(F.shiftrightunsigned(differ, 32)), F.shiftright(a["key"], 32)
     once = F.when(high_bits == 0, variant == 0).when(high_bits == 1, variant < 32).otherwise(variant == 32)
-    return a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.bit_count(differ) <= 2) & once).select("u", "v")
+    return a.join(b.hint("merge"), (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.bit_count(differ) <= 2) & once).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:

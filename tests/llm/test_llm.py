@@ -215,6 +215,12 @@ def test_links_find_every_pair(spark):
     assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_exploded_keys_are_not_broadcast(spark, tmp_path):
+    spark.range(100).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    plan = simhash.links(spark.read.parquet(str(tmp_path / "fps")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_quality_statistics_and_verdicts(spark):
     def by_hand(text):
         import re
