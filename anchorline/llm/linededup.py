@@ -232,7 +232,8 @@ def without_recurring(docs: DataFrame, depth: int = DEPTH, least_tokens: int = L
     row_key = F.xxhash64("doc_id", "text_key")
     rows = docs.toDF(*named).withColumn("doc_id", doc_id).withColumn("text_key", text_key).withColumn("row_key", row_key)
     rows = with_hits(rows, "row_key", found.select(row_key.alias("row_key")))
-    of = found.toDF("of", "of_key", "positions")
+    # Their positions take far more room in memory than in files, by which Spark would choose to broadcast them.
+    of = found.toDF("of", "of_key", "positions").hint("merge")
     some = rows.where("hit").join(of, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")), "left").select(*named, "positions")
     schema = docs.toDF(*named).schema.add("dropped_lines", ArrayType(StringType()))
 

@@ -99,7 +99,7 @@ def recurring_windows(found: DataFrame, window: int = WINDOW) -> DataFrame:
 
     some = found.select(place_key, "doc_id", "text_key", "start", "windows").mapInArrow(held, "at long, doc_id long, text_key long, start int, windows array<long>")
     those = left.select(F.col("doc_id").alias("of"), "text_key", "start", "at", "shared").distinct()
-    wide = some.join(those, ["at", "text_key", "start"]).where(F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text_key", "start", "shared", "windows")
+    wide = some.join(those.hint("merge"), ["at", "text_key", "start"]).where(F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text_key", "start", "shared", "windows")
     wide = materialize(wide, "compared-windows")
     twice = wide.select("shared", F.explode("windows").alias("window")).groupBy("window").agg(((F.count(F.lit(1)) > 1) | F.max("shared")).alias("twice")).where("twice").select("window")
     window_bits = context.broadcast(sieve(twice, "window"))

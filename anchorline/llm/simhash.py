@@ -224,7 +224,7 @@ def across_blocks(mixed_rows: DataFrame, found: DataFrame, texts: DataFrame, wid
         return F.greatest(F.ceil(F.count(of) / ROWS), F.ceil(F.sum(F.when(of.isNotNull(), F.col("n"))) / MANY)).cast("long")
 
     sizes = mixed_rows.groupBy("key").agg(blocks(F.when(F.col("root") != F.col("most"), 1)).alias("few_blocks"), blocks(F.col("n")).alias("all_blocks"))
-    dealt = hot_join(mixed_rows, materialize(sizes, "blocks"), "key").join(found.select("text_key", "keys"), "text_key")
+    dealt = hot_join(mixed_rows, materialize(sizes, "blocks"), "key").join(found.select("text_key", "keys").hint("merge"), "text_key")
     dealt = materialize(dealt.withColumn("before", F.filter("keys", lambda k: k < F.col("key"))).drop("keys"), "dealt")
     i, j = (F.pmod(F.xxhash64("text_key"), F.col(n)) for n in ("few_blocks", "all_blocks"))
     every_i, every_j = (F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)) for n in ("few_blocks", "all_blocks"))

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -221,6 +222,12 @@ def test_exploded_keys_are_not_broadcast(spark, tmp_path):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_positions_of_passages_are_not_broadcast(spark):
+    rows = [(k, f"a line of its own {k}\n" + " ".join(f"w{n}" for n in range(60)), "en", "x", 1) for k in range(4)]
+    plan = linededup.without_recurring(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[coalesce\(doc_id", plan)
+
+
 def test_quality_statistics_and_verdicts(spark):
     def by_hand(text):
         import re
