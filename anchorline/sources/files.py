@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import io
 import re
@@ -12,7 +13,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.parts import MEDIA, TEXTS
@@ -20,8 +21,8 @@ from ..operators.routing import IMAGE_MIME
 
 #: Bytes of one part and of all parts of a container, unpacked, beyond which it is an error.
 MAX_PART_BYTES, MAX_TOTAL_BYTES = 256 * 1024 * 1024, 1024 * 1024 * 1024
-#: Bytes of parts that are handed on together.
-BATCH_BYTES = 8 << 20
+#: Bytes of parts or files that are handed on together, and files.
+BATCH_BYTES, BATCH_FILES = 8 << 20, 1000
 
 #: What opening a file counts for, in bytes, where a task is given files; Spark's own 4 MB would put 32 small documents into a task.
 OPEN_BYTES = 64 * 1024
@@ -34,11 +35,40 @@ _MEDIA = pa.list_(pa.struct([("part_no", pa.int32()), ("part_path", pa.string())
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Files as ``path, modificationTime, length, content, name, doc_id``; the id is a hash of the path."""
+    """Files as ``path, modificationTime, length, content, name, doc_id``; the id is a hash of the path. The driver lists them, so millions want :func:`read_listed`."""
     files = spark.read.format("binaryFile").load(path)
     return files.withColumns({"name": F.element_at(F.split("path", "/"), -1), "doc_id": F.xxhash64("path")})
 
 
+def read_listed(paths: DataFrame) -> DataFrame:
+    """The files of ``paths(path)`` as ``path, length, content, name, doc_id``; as :func:`read_documents`, for any number of files.
+
+    Spark's own reader holds several kilobytes a file in the driver, which lists and deals them. Here the driver knows the tables of
+    paths alone: paths are dealt evenly, once each, and tasks open the files by their URI and hand them on in bounded batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = functools.cache(_opened_folder)
+        for batch in batches:
+            at, found, size = [], [], 0
+            for path in batch.column(0).to_pylist():
+                folder, _, name = path.rpartition("/")
+                to, root = opened(folder)
+                with to.open_input_stream(f"{root}/{name}") as file:
+                    content = file.read()
+                at.append(path), found.append(content)
+                size += len(content)
+                if size >= BATCH_BYTES or len(at) >= BATCH_FILES:
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.string()), pa.array(found, pa.binary())], ["path", "content"])
+                    at, found, size = [], [], 0
+            if at:
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.string()), pa.array(found, pa.binary())], ["path", "content"])
+
+    dealt = paths.select("path").repartition(4 * paths.sparkSession.sparkContext.defaultParallelism, "path").dropDuplicates()
+    files = dealt.mapInArrow(run, "path string, content binary")
+    return files.select("path", F.octet_length("content").cast("long").alias("length"), "content", F.element_at(F.split("path", "/"), -1).alias("name"), F.xxhash64("path").alias("doc_id"))
+
+
 @contextmanager
 def small_files(spark: SparkSession) -> Iterator[None]:
     """Jobs and streams that are started inside deal files to tasks by their size, so a task has many small ones, and list named files in a few tasks a core, not one a file."""
@@ -161,19 +191,32 @@ def packed(packages: DataFrame) -> DataFrame:
     return packages.select("name", "texts", "media").mapInArrow(run, "name string, content binary")
 
 
-def write_files(files: DataFrame, folder: str) -> int:
-    """Write ``files(name, content)`` into a folder that tasks reach by its URI, and say how many. A file that is written again is the same file."""
+def _opened_folder(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
+def write_files(files: DataFrame, folder: str, lists: str | None = None) -> int:
+    """Write ``files(name, content)`` into a folder that tasks reach by its URI, and say how many. A file that is written again is the same file, and one of null content is empty.
+
+    The paths go into the table ``lists``, where it is named, so that nobody has to list the folder (:func:`read_listed`).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to, at = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        to, at = _opened_folder(folder)
         to.create_dir(at, recursive=True)
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            names = batch.column(0).to_pylist()
+            for name, content in zip(names, batch.column(1), strict=True):
                 with to.open_output_stream(f"{at}/{name}") as out:
-                    out.write(content.as_buffer())
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
-
-    return files.select("name", "content").mapInArrow(run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+                    out.write(content.as_buffer() or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}" for name in names], pa.string())], ["path"])
+
+    written = files.select("name", "content").mapInArrow(run, "path string")
+    if lists is None:
+        return written.count()
+    observed = Observation()
+    written.observe(observed, F.count(F.lit(1)).alias("files")).write.mode("append").parquet(lists)
+    return observed.get["files"]
 
 
 def write_blocks(blocks: DataFrame, path: str, containers: DataFrame | None = None) -> None:

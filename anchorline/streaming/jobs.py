@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.blocks import extract_corpus
 from ..operators.messages import expand_messages
 from ..operators.references import TTL_MS, attachment_cards
+from ..sources.files import read_listed
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -27,6 +28,19 @@ def stream_extract(spark: SparkSession, path: str, sink: Callable[[DataFrame, Da
     return named.writeStream.foreachBatch(each)
 
 
+def stream_listed(spark: SparkSession, lists: str, sink: Callable[[DataFrame, DataFrame, DataFrame, int], None]):
+    """As :func:`stream_extract`, for files that are announced by new files of a table ``lists(path)`` (:func:`write_files`).
+
+    A stream of files keeps several kilobytes a file in the driver; here it knows the lists alone, however many files they name.
+    A file that is listed again in a later batch is read again, under the same id.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        sink(*extract_corpus(read_listed(batch).withColumn("mime", F.lit(""))), number)
+
+    return spark.readStream.schema("path string").parquet(lists).writeStream.foreachBatch(each)
+
+
 def batch_sink(path: str) -> Callable[[DataFrame, DataFrame, DataFrame, int], None]:
     """A sink of :func:`stream_extract` that keeps each batch under its number: a batch that is run again replaces itself, so every block is there once."""
 

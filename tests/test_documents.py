@@ -266,3 +266,15 @@ def test_pdf_text_is_read_once_and_within_the_row(spark):
     assert sorted((b["doc_id"], b["page"], b["id"], b["text"], b["location"]["kind"]) for b in found.collect()) == [
         (1, 1, "pdf-1-text", "a & b", "pdf-page"), (1, 3, "pdf-3-text", "cd", "pdf-page"), (2, 0, "pdf-empty", pdftext.EMPTY, "pdf-document"), (3, 0, "pdf-empty", pdftext.EMPTY, "pdf-document"),
     ]
+
+
+def test_listed_files_are_known_to_the_driver_by_their_lists_alone(spark, tmp_path):
+    given = spark.range(200).select(F.concat(F.lit("a b#"), "id", F.lit(".md")).alias("name"), F.when(F.col("id") > 0, F.concat(F.lit("text "), "id")).cast("binary").alias("content"))
+    lists = str(tmp_path / "lists")
+    assert files.write_files(given, str(tmp_path / "in"), lists) == 200
+    assert files.write_files(given.where("name = 'a b#7.md'"), str(tmp_path / "in"), lists) == 1
+    read = files.read_listed(spark.read.schema("path string").parquet(lists))
+    assert all(f.startswith(f"file://{lists}/") for f in read.inputFiles()) and len(read.inputFiles()) <= 8
+    assert read.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert sorted((r["name"], bytes(r["content"]), r["length"]) for r in read.collect()) == sorted((f"a b#{k}.md", f"text {k}".encode() if k else b"", len(f"text {k}") if k else 0) for k in range(200))
+    assert read.select("doc_id").distinct().count() == 200
